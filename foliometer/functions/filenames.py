@@ -6,23 +6,21 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from .. import constants as C
-from .text import blank, col
+from .text import blank, col, let
 from .udfs import nfkc
 
 
 def posix_name(path: Column | str) -> Column:
     """Last component of a slash-separated path."""
     trimmed = F.regexp_replace(col(path), r"(/+\.?)+$", "")
-    name = F.regexp_extract(trimmed, r"([^/]*)$", 1)
-    return F.when(name == ".", "").otherwise(name)
+    return F.regexp_replace(F.regexp_extract(trimmed, r"([^/]*)$", 1), r"^\.$", "")
 
 
 def windows_name(path: Column | str) -> Column:
     """Last component of a backslash-separated path, drive or share removed."""
     bare = F.regexp_replace(col(path), r"^(\\\\[^\\]+\\[^\\]+|[^\\]:)", "")
     trimmed = F.regexp_replace(bare, r"(\\+\.?)+$", "")
-    name = F.regexp_extract(trimmed, r"([^\\]*)$", 1)
-    return F.when(name == ".", "").otherwise(name)
+    return F.regexp_replace(F.regexp_extract(trimmed, r"([^\\]*)$", 1), r"^\.$", "")
 
 
 def base_name(path: Column | str) -> Column:
@@ -43,24 +41,25 @@ def sanitize_filename(path: Column | str, fallback: str = "file") -> Column:
     """Display-safe file name of at most 200 characters, extension kept."""
     base = base_name(path)
     # Only names with a non-ASCII character travel to the Python worker.
-    beyond_ascii = F.when(base.rlike(r"[^\x00-\x7F]"), base)
-    composed = F.coalesce(nfkc(beyond_ascii), base)
+    composed = F.coalesce(nfkc(F.when(base.rlike(r"[^\x00-\x7F]"), base)), base)
     safe = F.regexp_replace(composed, r'[<>:"/\\|?*\x00-\x1f]', "_")
     name = F.regexp_replace(safe, r"^[ .]+|[ .]+$", "")
+    return F.when(blank(path), fallback).otherwise(let(name, lambda n: _shortened(n, fallback)))
 
-    suffix = F.regexp_extract(name, r"(?s)\.([^.]+)$", 1)
-    stem = F.when(suffix == "", name).otherwise(F.regexp_replace(name, r"(?s)\.[^.]+$", ""))
-    stem = F.when(F.upper(stem).isin(*C.RESERVED_NAMES), F.concat(stem, F.lit("_"))).otherwise(stem)
 
-    room = F.when(suffix == "", F.lit(C.FILENAME_LENGTH)).otherwise(
-        F.lit(C.FILENAME_LENGTH - 1) - F.length(suffix)
-    )
+def _shortened(name: Column, fallback: str) -> Column:
+    """Reserved stems marked, stem cut to leave room for the extension."""
+    suffix = F.regexp_extract(name, r"(?s)\.([^.]+)$", 1)
+    tail = F.when(suffix == "", "").otherwise(F.concat(F.lit("."), suffix))
+    stem = F.regexp_replace(name, r"(?s)\.[^.]+$", "")
+    mark = F.when(F.upper(stem).isin(*C.RESERVED_NAMES), "_").otherwise("")
     # An oversized suffix eats into the stem from its end.
+    room = F.lit(C.FILENAME_LENGTH) - F.length(tail)
     kept = F.when(room >= 0, room).otherwise(F.greatest(F.lit(0), F.length(stem) + room))
-    short = F.substring(stem, F.lit(1), kept)
-    short = F.when(short == "", fallback).otherwise(short)
-    tail = F.when(suffix == "", "").otherwise(F.concat(F.lit("."), suffix))
-    return F.when(blank(name), fallback).otherwise(F.concat(short, tail))
+    short = F.substring(F.concat(stem, mark), F.lit(1), kept)
+    return F.when(name == "", fallback).otherwise(
+        F.concat(F.coalesce(F.nullif(short, F.lit("")), F.lit(fallback)), tail)
+    )
 
 
 def sharded_path(created_at: Column | str, stored_name: Column | str) -> Column:

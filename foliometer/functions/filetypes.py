@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from .. import constants as C
 from .filenames import file_extension
-from .text import blank, col, strip
+from .text import blank, col, let, strip
 
 
 def _starts(data: Column, signature: str) -> Column:
@@ -28,34 +28,51 @@ def sniff(filename: Column | str, head: Column | str, allowed=None) -> Column:
 
     ``error`` is ``unsupported`` or ``corrupted``; exactly one field is set.
     """
-    extension = file_extension(filename)
-    head = F.coalesce(col(head), F.lit(b""))
-    accepted = set(allowed) if allowed else {name for name, _, _ in C.FILE_TYPES}
-    media, matches = F.lit(None).cast("string"), F.lit(False)
-    for name, media_type, family in C.FILE_TYPES:
-        if name in accepted:
-            media = F.when(extension == name, media_type).otherwise(media)
-            matches = matches | ((extension == name) & _signature_matches(family, head))
-    error = F.when(media.isNull(), "unsupported").when(~matches, "corrupted")
-    return F.struct(F.when(error.isNull(), media).alias("media_type"), error.alias("error"))
+    accepted = {e: (m, f) for e, m, f in C.FILE_TYPES if not allowed or e in set(allowed)}
+    types = F.create_map(
+        *[
+            part
+            for extension, (media_type, family) in accepted.items()
+            for part in (
+                F.lit(extension),
+                F.struct(F.lit(media_type).alias("media_type"), F.lit(family).alias("family")),
+            )
+        ]
+    )
+    content = F.coalesce(col(head), F.lit(b""))
+
+    def verdict(kind: Column) -> Column:
+        genuine = F.lit(False)
+        for family in ("pdf", "office", "jpeg", "png"):
+            match = (kind["family"] == family) & _signature_matches(family, content)
+            genuine = genuine | match
+        error = F.when(kind.isNull(), "unsupported").when(~genuine, "corrupted")
+        media_type = F.when(genuine, kind["media_type"])
+        return F.struct(media_type.alias("media_type"), error.alias("error"))
+
+    return let(types[file_extension(filename)], verdict)
 
 
 def check_attachment(content_type: Column | str, data: Column | str) -> Column:
     """NULL for a valid screenshot, else the first failed rule."""
-    kind = F.lower(strip(F.split(F.coalesce(col(content_type), F.lit("")), ";")[0]))
+    declared = F.lower(strip(F.split(F.coalesce(col(content_type), F.lit("")), ";")[0]))
     data = F.coalesce(col(data), F.lit(b""))
     webp = _starts(data, C.RIFF_SIGNATURE) & (F.hex(F.substring(data, 9, 4)) == C.WEBP_MARK)
-    genuine = (
-        F.when(kind == "image/jpeg", _starts(data, C.JPEG_SIGNATURE))
-        .when(kind == "image/png", _starts(data, C.PNG_SIGNATURE))
-        .otherwise(webp)
-    )
-    return (
-        F.when(~kind.isin("image/jpeg", "image/png", "image/webp"), "unsupported_type")
-        .when(F.octet_length(data) == 0, "empty")
-        .when(F.octet_length(data) > C.ATTACHMENT_MAX_BYTES, "too_large")
-        .when(~genuine, "not_an_image")
-    )
+
+    def verdict(kind: Column) -> Column:
+        genuine = (
+            F.when(kind == "image/jpeg", _starts(data, C.JPEG_SIGNATURE))
+            .when(kind == "image/png", _starts(data, C.PNG_SIGNATURE))
+            .otherwise(webp)
+        )
+        return (
+            F.when(~kind.isin("image/jpeg", "image/png", "image/webp"), "unsupported_type")
+            .when(F.octet_length(data) == 0, "empty")
+            .when(F.octet_length(data) > C.ATTACHMENT_MAX_BYTES, "too_large")
+            .when(~genuine, "not_an_image")
+        )
+
+    return let(declared, verdict)
 
 
 def attachment_name(filename: Column | str) -> Column:

@@ -6,10 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from .filters import timestamp
-from .text import blank, col, strip
-
-_RANGES = "array<struct<first:bigint,last:bigint>>"
-
+from .text import blank, col, let, strip
 
 def _bounds(part: Column) -> Column:
     """First and last page of ``7`` or ``3-5``."""
@@ -27,34 +24,45 @@ def selection_ranges(spec: Column | str) -> Column:
     return F.when(well_formed, F.transform(parts, _bounds))
 
 
-def selection_error(spec: Column | str, total: Column | str) -> Column:
-    """``invalid``, ``empty`` or ``out_of_range``; NULL for a usable selection.
+def _forward(ranges: Column) -> Column:
+    return F.filter(ranges, lambda r: r["first"] <= r["last"])
 
-    Decided from the bounds alone: no page list is built for a hostile range.
-    """
-    ranges = F.filter(selection_ranges(spec), lambda r: r["first"] <= r["last"])
-    beyond = F.exists(ranges, lambda r: (r["first"] < 1) | (r["last"] > col(total)))
+
+def _range_error(ranges: Column, total: Column) -> Column:
+    beyond = F.exists(ranges, lambda r: (r["first"] < 1) | (r["last"] > total))
     return (
-        F.when(selection_ranges(spec).isNull(), "invalid")
+        F.when(ranges.isNull(), "invalid")
         .when(F.size(ranges) == 0, "empty")
         .when(beyond, "out_of_range")
     )
 
 
+def selection_error(spec: Column | str, total: Column | str) -> Column:
+    """``invalid``, ``empty`` or ``out_of_range``; NULL for a usable selection.
+
+    Decided from the bounds alone: no page list is built for a hostile range.
+    """
+    total = col(total)
+    return let(_forward(selection_ranges(spec)), lambda ranges: _range_error(ranges, total))
+
+
 def select_pages(spec: Column | str, total: Column | str) -> Column:
     """Ordered page numbers with repeats; NULL where the selection has an error.
 
     ``sequence`` counts down for a reversed range, which here selects nothing.
     """
-    ranges = F.filter(selection_ranges(spec), lambda r: r["first"] <= r["last"])
-    pages = F.flatten(F.transform(ranges, lambda r: F.sequence(r["first"], r["last"])))
-    return F.when(selection_error(spec, total).isNull(), pages.cast("array<int>"))
+    total = col(total)
+
+    def listed(ranges: Column) -> Column:
+        pages = F.flatten(F.transform(ranges, lambda r: F.sequence(r["first"], r["last"])))
+        return F.when(_range_error(ranges, total).isNull(), pages.cast("array<int>"))
+
+    return let(_forward(selection_ranges(spec)), listed)
 
 
 def out_of_range_pages(spec: Column | str, total: Column | str) -> Column:
     """The sorted distinct pages named by an ``out_of_range`` error."""
-    ranges = F.filter(selection_ranges(spec), lambda r: r["first"] <= r["last"])
-    total = col(total)
+    ranges, total = _forward(selection_ranges(spec)), col(total)
     low = F.flatten(
         F.transform(
             F.filter(ranges, lambda r: r["first"] < 1),

@@ -14,6 +14,14 @@ def col(value: Column | str) -> Column:
     return F.col(value) if isinstance(value, str) else value
 
 
+def let(value: Column, body) -> Column:
+    """``body(value)`` with ``value`` computed once, however often the body names it.
+
+    Repeating a long expression inside itself would outgrow the generated code.
+    """
+    return F.transform(F.array(value), body)[0]
+
+
 def strip(value: Column | str) -> Column:
     """Trim every kind of white space, not blanks alone."""
     return F.regexp_replace(col(value), r"^\s+|\s+$", "")

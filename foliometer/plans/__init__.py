@@ -5,7 +5,7 @@ from __future__ import annotations
 
 def load_queries():
     """All registered queries by name."""
-    from . import dashboards
+    from . import dashboards, scalars  # noqa: F401
     from .registry import QUERIES
 
     return QUERIES
