@@ -9,11 +9,12 @@ import unicodedata
 
 import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .. import constants as C
+from ..constants import DIFF_LINES, UNCHANGED_RATIO
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def nfkc(text: pd.Series) -> pd.Series:
     """U4: compatibility composition; NULL stays NULL."""
     return text.map(lambda value: unicodedata.normalize("NFKC", value), na_action="ignore")
@@ -23,7 +24,7 @@ def _ratio(left: str, right: str) -> float:
     return difflib.SequenceMatcher(None, left, right).ratio()
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def similarity(left: pd.Series, right: pd.Series) -> pd.Series:
     """Similarity of two texts in [0, 1]; NULL on the left stays NULL."""
     pairs = zip(left, right, strict=True)
@@ -34,10 +35,10 @@ def _differs(left: str, right: str) -> bool:
     """Whether the ratio is below the threshold, cheapest upper bound first."""
     matcher = difflib.SequenceMatcher(None, left, right)
     bounds = (matcher.real_quick_ratio, matcher.quick_ratio, matcher.ratio)
-    return any(bound() < C.UNCHANGED_RATIO for bound in bounds)
+    return any(bound() < UNCHANGED_RATIO for bound in bounds)
 
 
-@F.pandas_udf("boolean")
+@F.pandas_udf(T.BooleanType())
 def differs(left: pd.Series, right: pd.Series) -> pd.Series:
     """Whether two texts are less than 99.9 % similar; NULL on the left stays NULL."""
     pairs = zip(left, right, strict=True)
@@ -47,10 +48,10 @@ def differs(left: pd.Series, right: pd.Series) -> pd.Series:
 def _diff_lines(left: str, right: str) -> list[str]:
     lines = difflib.unified_diff(left.splitlines(), right.splitlines(), lineterm="", n=0)
     changes = [line for line in lines if line[:1] in ("+", "-")]
-    return [line for line in changes if not line.startswith(("+++", "---"))][: C.DIFF_LINES]
+    return [line for line in changes if not line.startswith(("+++", "---"))][: DIFF_LINES]
 
 
-@F.pandas_udf("array<string>")
+@F.pandas_udf(T.ArrayType(T.StringType()))
 def diff_lines(left: pd.Series, right: pd.Series) -> pd.Series:
     """First changed lines of two texts, marked + or -; NULL on the left stays NULL."""
     pairs = zip(left, right, strict=True)
@@ -76,7 +77,7 @@ def _redact(text: str, terms) -> str:
     return "".join(kept)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def remove_terms(text: pd.Series, terms: pd.Series) -> pd.Series:
     """Text without any occurrence of the terms, overlapping ones included."""
     pairs = zip(text, terms, strict=True)
@@ -92,7 +93,7 @@ def _overlay(base, override):
     return merged
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def overlay_json(base: pd.Series, override: pd.Series) -> pd.Series:
     """One JSON object laid over another; a missing side leaves the other alone."""
 
