@@ -5,7 +5,7 @@ from __future__ import annotations
 
 def load_queries():
     """All registered queries by name."""
-    from . import dashboards, scalars, tables  # noqa: F401
+    from . import dashboards, documents, scalars, streams, tables  # noqa: F401
     from .registry import QUERIES
 
     return QUERIES
