@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import constants as C
-from .text import col
+from .text import col, let
 
 WORD = r"[\p{L}\p{Nl}\p{No}]+"
 
@@ -27,26 +27,31 @@ def words(text: Column | str) -> Column:
     return F.transform(F.regexp_extract_all(col(text), F.lit(f"({WORD})"), 1), F.lower)
 
 
-def script_counts(text: Column | str) -> Column:
-    """Characters per script, as an array of struct(script, n) in tie-break order."""
-    return F.array(
+def _most_frequent_script(text: Column) -> Column:
+    """Name of the script with the most characters, the first one in order on a tie."""
+
+    def characters(name: str) -> Column:
+        return F.length(text) - F.length(F.regexp_replace(text, rf"\p{{Is{name}}}+", ""))
+
+    counted = F.array(
         *[
             F.struct(
-                F.lit(name).alias("script"),
-                F.regexp_count(col(text), F.lit(rf"\p{{Is{name}}}")).alias("n"),
+                characters(name).alias("n"), F.lit(-order).alias("place"), F.lit(name).alias("name")
             )
-            for name in C.CHARACTER_SCRIPTS
+            for order, name in enumerate(C.CHARACTER_SCRIPTS)
         ]
     )
+    return let(F.array_max(counted), lambda best: F.when(best["n"] > 0, best["name"]))
 
 
 def script(text: Column | str) -> Column:
-    """L2: script with the most characters; NULL for text without any."""
-    best = F.array_sort(
-        script_counts(text),
-        lambda a, b: F.when(a["n"] > b["n"], -1).when(a["n"] < b["n"], 1).otherwise(0),
-    )[0]
-    return F.when(best["n"] > 0, best["script"])
+    """L2: script with the most characters; NULL for text without any.
+
+    Text within the Latin code blocks needs no counting.
+    """
+    text = col(text)
+    latin = F.when(text.rlike(r"\p{IsLatin}"), "Latin")
+    return F.when(text.rlike(r"[^\x00-\u024F]"), _most_frequent_script(text)).otherwise(latin)
 
 
 def script_language(name: Column | str) -> Column:

@@ -5,9 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Whitespace as Python's str.split sees it: Unicode white space plus the
-# information separators.
-WHITESPACE = r"(?U)[\s\x1c-\x1f]+"
+# Fixed value: white space as Python's str.split sees it, as a character class.
+SPACE = r"\t-\r\x1c-\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 
 
 def col(value: Column | str) -> Column:
@@ -24,7 +23,7 @@ def let(value: Column, body) -> Column:
 
 def strip(value: Column | str) -> Column:
     """Trim every kind of white space, not blanks alone."""
-    return F.regexp_replace(col(value), r"^\s+|\s+$", "")
+    return F.regexp_replace(col(value), f"^[{SPACE}]+|[{SPACE}]+$", "")
 
 
 def blank(value: Column | str) -> Column:
@@ -35,7 +34,7 @@ def blank(value: Column | str) -> Column:
 
 def compact(value: Column | str) -> Column:
     """Comparison form without white space and letter case."""
-    return F.lower(F.regexp_replace(col(value), WHITESPACE, ""))
+    return F.lower(F.regexp_replace(col(value), f"[{SPACE}]+", ""))
 
 
 def normal_email(value: Column | str) -> Column:

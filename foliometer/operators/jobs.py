@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.measures import plan_limits
+from ..session import cut_lineage
 from .prefix import running_total
 
 FILES_PER_ROW = 1000
@@ -86,20 +87,23 @@ def nested_files(job_files: DataFrame, files: DataFrame, per_row: int = FILES_PE
     A job with up to ``per_row`` files of a role has one row (``part`` 0). A larger
     one is cut into further parts, so that no row and no task holds an unbounded list.
     """
-    links = _named_links(job_files, files)
-    keys, order = ["job_id", "role"], ["position", "file_id"]
-    sizes = links.groupBy(*keys).agg(F.count("*").alias("n"))
-    sized = links.join(sizes, keys, "inner")
-    small = sized.filter(F.col("n") <= per_row).withColumn("part", F.lit(0).cast("long"))
-    large = sized.filter(F.col("n") > per_row)
-    placed = running_total(large, keys, order, F.lit(1), "rank")
-    parts = placed.withColumn("part", F.floor((F.col("rank") - 1) / per_row)).drop("rank")
+    keys = ["job_id", "role"]
     item = F.struct("position", "file_id", "original_name")
-    return (
-        small.unionByName(parts)
-        .groupBy(*keys, "part")
-        .agg(F.array_sort(F.collect_list(item)).alias("files"))
-    )
+
+    def nested(links: DataFrame, part) -> DataFrame:
+        files_of = F.array_sort(F.collect_list(item)).alias("files")
+        return links.withColumn("part", part).groupBy(*keys, "part").agg(files_of)
+
+    links = _named_links(job_files, files)
+    whole = F.lit(0).cast("long")
+    sizes = job_files.groupBy(*keys).agg(F.count("*").alias("n"))
+    large_keys = cut_lineage(sizes.filter(F.col("n") > per_row).select(*keys))
+    if large_keys.isEmpty():
+        return nested(links, whole)
+    large = links.join(large_keys, keys, "left_semi")
+    placed = running_total(large, keys, ["position", "file_id"], F.lit(1), "rank")
+    parts = nested(placed, F.floor((F.col("rank") - 1) / per_row))
+    return nested(links.join(large_keys, keys, "left_anti"), whole).unionByName(parts)
 
 
 def run_summary(job_files: DataFrame, files: DataFrame) -> DataFrame:

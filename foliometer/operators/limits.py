@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -11,6 +14,8 @@ from ..functions.text import normal_email
 from ..session import cut_lineage
 
 DAY = 86_400
+# Open submissions that one task may settle; a few megabytes.
+FOLD_ROWS = 10_000
 
 
 def minute_window(ts: str = "ts"):
@@ -97,7 +102,8 @@ def _unobstructed(open_rows: DataFrame) -> DataFrame:
     )
     found = heads.groupBy(F.col("first.id").alias("id")).agg(F.count("*").alias("clear"))
     needed = F.col("email").isNotNull().cast("int") + F.col("ip").isNotNull().cast("int")
-    return open_rows.join(found, "id", "inner").filter(F.col("clear") == needed)
+    clear = open_rows.join(found, "id", "inner").filter(F.col("clear") == needed)
+    return clear.select(*open_rows.columns)
 
 
 def _accepted_lists(accepted: DataFrame, kind: str) -> DataFrame:
@@ -116,33 +122,56 @@ def _accepted_lists(accepted: DataFrame, kind: str) -> DataFrame:
 
 
 def _with_recent(rows: DataFrame, accepted: DataFrame) -> DataFrame:
-    """Number of accepted rows of the last day that share an identifier."""
-    day = F.floor(F.col("at") / (DAY * 1_000_000))
-    none = F.array().cast("array<struct<at:bigint,id:string>>")
-    joined = rows.withColumn("day", day)
+    """Rows with ``recent``: the accepted rows of the last day that share a key."""
+    joined = rows.withColumn("day", F.floor(F.col("at") / (DAY * 1_000_000)))
     for kind in ("email", "ip"):
         joined = joined.join(_accepted_lists(accepted, kind), [kind, "day"], "left")
-    either = F.array_union(
-        F.coalesce("email_accepted", none), F.coalesce("ip_accepted", none)
-    )
+    none = F.array().cast("array<struct<at:bigint,id:string>>")
+    either = F.array_union(F.coalesce("email_accepted", none), F.coalesce("ip_accepted", none))
     recent = F.filter(
         either,
         lambda a: (a["at"] >= F.col("at") - DAY * 1_000_000)
         & (F.struct(a["at"], a["id"]) < F.struct(F.col("at"), F.col("id"))),
     )
-    return joined.withColumn("recent", F.size(recent)).select(*rows.columns, "recent")
-
-
-def daily_limit(submissions: DataFrame, limit: int = C.FEEDBACK_PER_DAY) -> DataFrame:
+    return joined.select(*rows.columns, recent.alias("recent"))
+
+
+def _fold(limit: int):
+    """Verdicts of a bounded number of rows, one after the other."""
+
+    def fold(rows: pd.DataFrame) -> pd.DataFrame:
+        taken: dict[tuple, list] = {}
+        passed = []
+        for row in rows.sort_values(["at", "id"]).itertuples(index=False):
+            keys = [(k, v) for k, v in (("email", row.email), ("ip", row.ip)) if pd.notna(v)]
+            neighbours = {entry["id"] for entry in row.recent}
+            for key in keys:
+                since = row.at - DAY * 1_000_000
+                taken[key] = [entry for entry in taken.get(key, []) if entry[0] >= since]
+                neighbours.update(entry[1] for entry in taken[key])
+            if len(neighbours) < limit:
+                passed.append(row.id)
+                for key in keys:
+                    taken[key].append((row.at, row.id))
+        return pd.DataFrame({"id": passed}, dtype="object")
+
+    return fold
+
+
+def daily_limit(
+    submissions: DataFrame, limit: int = C.FEEDBACK_PER_DAY, fold_rows: int = FOLD_ROWS
+) -> DataFrame:
     """A submission is rejected after ``limit`` accepted ones within a day that
     share its e-mail address or its IP address.
 
     ``submissions(id, email, client_ip, created_at)``. A verdict depends on earlier
-    verdicts, and keys are linked by "or". Each round settles every submission whose
-    day before holds no open submission of the same keys, and then rejects the open
-    ones that already have ``limit`` accepted neighbours. Groups are never collected;
-    the number of rounds is the longest chain of dependent acceptances, about the
-    number of days a busy key spans. A round over few rows costs little.
+    verdicts, and keys are linked by "or". Each round accepts every open submission
+    whose day before holds no other open submission of the same keys: it is open
+    because its accepted neighbours are too few, and none can join them any more. Then
+    the open ones that now have ``limit`` accepted neighbours are rejected. Groups are
+    never collected; the number of rounds is the longest chain of dependent
+    acceptances, about the number of days a busy key spans. Once no more than
+    ``fold_rows`` submissions are open, one task settles them in order.
     """
     if limit <= 0:
         return submissions.withColumn("accepted", F.lit(True))
@@ -155,14 +184,23 @@ def daily_limit(submissions: DataFrame, limit: int = C.FEEDBACK_PER_DAY) -> Data
             F.unix_micros("created_at").alias("at"),
         )
     )
-    accepted = open_rows.limit(0)
-    while not open_rows.isEmpty():
-        settled = _unobstructed(open_rows).drop("clear")
-        passed = _with_recent(settled, accepted).filter(F.col("recent") < limit).drop("recent")
-        accepted = cut_lineage(accepted.unionByName(passed))
-        rest = open_rows.join(settled.select("id"), "id", "left_anti")
-        alive = _with_recent(rest, accepted).filter(F.col("recent") < limit).drop("recent")
-        open_rows = cut_lineage(alive)
-    chosen = accepted.select(F.col("id").alias("__id"), F.lit(True).alias("__ok"))
+    rounds = [open_rows.limit(0)]
+    while open_rows.count() > fold_rows:
+        fresh = _unobstructed(open_rows)
+        # A single accepted neighbour decides under a limit of one; otherwise all count.
+        before = reduce(DataFrame.unionByName, rounds if limit > 1 else rounds[:1])
+        rest = open_rows.join(fresh.select("id"), "id", "left_anti")
+        judged = _with_recent(rest, before.unionByName(fresh))
+        alive = judged.filter(F.size("recent") < limit).drop("recent")
+        settled = cut_lineage(
+            fresh.withColumn("ok", F.lit(True)).unionByName(alive.withColumn("ok", F.lit(False)))
+        )
+        rounds.append(settled.filter("ok").drop("ok"))
+        open_rows = settled.filter(~F.col("ok")).drop("ok")
+    accepted = reduce(DataFrame.unionByName, rounds)
+    last = _with_recent(open_rows, accepted).groupBy().applyInPandas(_fold(limit), "id string")
+    chosen = accepted.select("id").unionByName(last).select(
+        F.col("id").alias("__id"), F.lit(True).alias("__ok")
+    )
     joined = submissions.join(chosen, F.col("id").cast("string") == F.col("__id"), "left")
     return joined.withColumn("accepted", F.coalesce("__ok", F.lit(False))).drop("__id", "__ok")

@@ -131,7 +131,7 @@ def flag_marks(spans: DataFrame, marks: DataFrame, text: str | None = None) -> D
     trait = F.col("diagonal") | F.col("transparent")
     removed = F.coalesce(F.col("__mark") & trait, F.lit(False))
     if text:
-        needle = F.lower(F.regexp_replace(F.lit(text), r"(?U)[\s\x1c-\x1f]+", ""))
+        needle = compact(F.lit(text))
         removed = removed | ((needle != "") & F.contains(F.col("norm"), needle))
     return flagged.withColumn("removed", removed).select(*spans.columns, "removed")
 

@@ -56,14 +56,14 @@ query("W2_limit_stream", _WINDOW_COLUMNS, "requests", _WINDOWS)(
     "W3_daily_limit",
     "id:i email:s client_ip:s accepted:b",
     "feedback",
-    """WITH RECURSIVE queue AS (SELECT *, row_number() OVER (
+    """WITH queue AS (SELECT *, row_number() OVER (
       ORDER BY created_at, CAST(id AS VARCHAR)) AS n FROM feedback),
     step(n, taken, accepted) AS (
-      SELECT CAST(0 AS BIGINT), CAST([] AS STRUCT(at TIMESTAMP, email VARCHAR, ip VARCHAR)[]), false
+      SELECT CAST(0 AS BIGINT), CAST([] AS STRUCT(seen TIMESTAMP, email VARCHAR, ip VARCHAR)[]), false
       UNION ALL SELECT q.n, CASE WHEN hit THEN s.taken ELSE list_append(s.taken,
-        {'at': q.created_at, 'email': q.email, 'ip': q.client_ip}) END, NOT hit
-      FROM step s JOIN queue q ON q.n = s.n + 1, LATERAL (SELECT len(list_filter(s.taken, x ->
-        x.at >= q.created_at - INTERVAL 1 DAY AND (x.email = q.email OR x.ip = q.client_ip))) > 0
+        {'seen': q.created_at, 'email': q.email, 'ip': q.client_ip}) END, NOT hit
+      FROM step s JOIN queue q ON q.n = s.n + 1, LATERAL (SELECT len([x FOR x IN s.taken IF
+        x.seen >= q.created_at - INTERVAL 1 DAY AND (x.email = q.email OR x.ip = q.client_ip)]) > 0
         AS hit))
     SELECT q.id, q.email, q.client_ip, s.accepted FROM queue q JOIN step s USING (n)""",
 )

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.enrich import mark_returning
-from ..session import configure
+from ..session import configure, spread_small
 
 TABLES = (
     "region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events",
@@ -148,7 +148,8 @@ VIEWS["page_visits"] = f"""SELECT {_VISIT_COLUMNS},
 
 
 def raw(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    return configure(spark).read.parquet(f"{folder}/{name}.parquet")
+    table = configure(spark).read.parquet(f"{folder}/{name}.parquet")
+    return spread_small(table, "doc_id") if name == "documents" else table
 
 
 @cache
@@ -210,7 +211,7 @@ def with_views(query: str, *names: str) -> str:
         parts.append(f"{name} AS ({text})")
     if not parts:
         return query
-    head, rest = "WITH ", query.strip()
+    head, rest = "WITH RECURSIVE ", query.strip()
     if rest.upper().startswith("WITH "):
         return head + ",\n".join(parts) + ",\n" + rest[5:]
     return head + ",\n".join(parts) + "\n" + rest

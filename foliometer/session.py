@@ -66,3 +66,14 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(folder)
     return df.checkpoint(eager=True)
+
+
+def spread_small(df: DataFrame, *keys: str, split_bytes: int = 32 * 1024 * 1024) -> DataFrame:
+    """Spread a table over all cores where its files are too few to do so.
+
+    A table with at least ``split_bytes`` per core is read in enough splits as it is and
+    stays untouched; only a smaller one is shuffled, by ``keys``.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df.repartition(cores, *keys) if size < cores * split_bytes else df
