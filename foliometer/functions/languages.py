@@ -23,8 +23,8 @@ def language_list_error(languages: Column | str) -> Column:
 
 
 def words(text: Column | str) -> Column:
-    """Lower-cased runs of letters and letter-like numbers."""
-    return F.transform(F.regexp_extract_all(col(text), F.lit(f"({WORD})"), 1), F.lower)
+    """Runs of letters and letter-like numbers."""
+    return F.regexp_extract_all(col(text), F.lit(f"({WORD})"), 1)
 
 
 def _most_frequent_script(text: Column) -> Column:

@@ -5,8 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Fixed value: white space as Python's str.split sees it, as a character class.
-SPACE = r"\t-\r\x1c-\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+# Fixed value: white space as Python's str.split sees it, as a character class. The
+# characters below U+0100 are listed one by one, which the regex engine keeps as a bitmap.
+SPACE = (
+    r"\t\n\x0b\f\r\x1c\x1d\x1e\x1f\x20\x85\xa0"
+    r"\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+)
 
 
 def col(value: Column | str) -> Column:

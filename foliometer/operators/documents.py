@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions.filenames import file_stem
 from ..functions.pages import fill_template, page_matches, selection_error, selection_ranges
-from ..functions.text import blank
+from ..functions.text import blank, let
 from .prefix import running_total
 
 
@@ -55,38 +55,37 @@ def merge_documents(pages: DataFrame, plan: DataFrame) -> DataFrame:
 def _placed_ranges(ranges: Column) -> Column:
     """Ranges with ``skip``: how many pages the ranges before them select."""
 
-    def length(r: Column) -> Column:
-        return r["last"] - r["first"] + 1
+    def placed(kept: Column) -> Column:
+        def skipped(index: Column) -> Column:
+            return _covered(F.slice(kept, F.lit(1), index))
 
-    kept = F.filter(ranges, lambda r: r["first"] <= r["last"])
-
-    def skipped(index: Column) -> Column:
-        earlier = F.slice(kept, F.lit(1), index)
-        return F.aggregate(earlier, F.lit(0).cast("long"), lambda total, r: total + length(r))
+        return F.transform(
+            kept,
+            lambda r, i: F.struct(
+                r["first"].alias("first"), r["last"].alias("last"), skipped(i).alias("skip")
+            ),
+        )
 
-    return F.transform(
-        kept,
-        lambda r, i: F.struct(
-            r["first"].alias("first"), r["last"].alias("last"), skipped(i).alias("skip")
-        ),
-    )
+    return let(F.filter(ranges, lambda r: r["first"] <= r["last"]), placed)
 
 
 def _disjoint_ranges(ranges: Column) -> Column:
     """Sorted ranges without overlap that cover the same pages."""
-    ordered = F.array_sort(F.filter(ranges, lambda r: r["first"] <= r["last"]))
 
-    def reached(index: Column) -> Column:
-        earlier = F.slice(ordered, F.lit(1), index)
-        return F.coalesce(F.array_max(F.transform(earlier, lambda r: r["last"])), F.lit(0))
+    def cut(ordered: Column) -> Column:
+        def reached(index: Column) -> Column:
+            earlier = F.slice(ordered, F.lit(1), index)
+            return F.coalesce(F.array_max(F.transform(earlier, lambda r: r["last"])), F.lit(0))
 
-    cut = F.transform(
-        ordered,
-        lambda r, i: F.struct(
-            F.greatest(r["first"], reached(i) + 1).alias("first"), r["last"].alias("last")
-        ),
-    )
-    return F.filter(cut, lambda r: r["first"] <= r["last"])
+        return F.transform(
+            ordered,
+            lambda r, i: F.struct(
+                F.greatest(r["first"], reached(i) + 1).alias("first"), r["last"].alias("last")
+            ),
+        )
+
+    ordered = F.array_sort(F.filter(ranges, lambda r: r["first"] <= r["last"]))
+    return F.filter(let(ordered, cut), lambda r: r["first"] <= r["last"])
 
 
 def _checked(specs: DataFrame, pages: DataFrame, selection: str = "pages") -> DataFrame:

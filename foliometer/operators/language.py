@@ -21,7 +21,7 @@ def guess_language(texts: DataFrame, keys=("doc_id",)) -> DataFrame:
     split = texts.select(*keys, words("text").alias("words"))
     exploded = split.select(
         *keys, F.size("words").alias("n_words"), F.explode_outer("words").alias("word")
-    )
+    ).withColumn("word", F.lower("word"))
     hit = exploded.join(F.broadcast(stopword_table(spark)), "word", "left")
     counters = [F.count_if(F.col("lang") == lang).alias(lang) for lang in C.STOPWORDS]
     counted = hit.groupBy(*keys).agg(F.max("n_words").alias("n_words"), *counters)

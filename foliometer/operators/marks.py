@@ -31,11 +31,13 @@ def _strongest(marks: DataFrame, key: str) -> DataFrame:
 
 
 def _traits(spans: DataFrame) -> DataFrame:
-    """Spans with their normal form and whether they look unlike body text."""
+    """Spans with the two traits, and their normal form where they have one of them."""
     return (
-        spans.withColumn("norm", compact("text"))
-        .withColumn("diagonal", _diagonal_angle(F.col("rotation_deg")))
+        spans.withColumn("diagonal", _diagonal_angle(F.col("rotation_deg")))
         .withColumn("transparent", F.col("alpha") < C.OPAQUE)
+        .withColumn(
+            "norm", F.when(F.col("diagonal") | F.col("transparent"), compact("text"))
+        )
     )
 
 
@@ -51,8 +53,10 @@ def detect_marks(spans: DataFrame, lengths: DataFrame) -> DataFrame:
         | (diagonal & (size >= C.STRONG_DIAGONAL_SIZE))
         | (transparent & (size >= C.STRONG_ALPHA_SIZE))
     )
-    candidates = _traits(spans).filter(
-        F.length("norm").between(C.MARK_TEXT_MIN, C.MARK_TEXT_MAX) & (diagonal | transparent)
+    candidates = (
+        _traits(spans)
+        .filter(diagonal | transparent)
+        .filter(F.length("norm").between(C.MARK_TEXT_MIN, C.MARK_TEXT_MAX))
     )
     seen = (
         candidates.groupBy("doc_id", "norm", "page_no")
@@ -128,11 +132,10 @@ def flag_marks(spans: DataFrame, marks: DataFrame, text: str | None = None) -> D
     """
     known = marks.select("doc_id", "norm").distinct().withColumn("__mark", F.lit(True))
     flagged = _traits(spans).join(known, ["doc_id", "norm"], "left")
-    trait = F.col("diagonal") | F.col("transparent")
-    removed = F.coalesce(F.col("__mark") & trait, F.lit(False))
+    removed = F.coalesce("__mark", F.lit(False))
     if text:
         needle = compact(F.lit(text))
-        removed = removed | ((needle != "") & F.contains(F.col("norm"), needle))
+        removed = removed | ((needle != "") & F.contains(compact("text"), needle))
     return flagged.withColumn("removed", removed).select(*spans.columns, "removed")
 
 

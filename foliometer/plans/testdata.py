@@ -10,6 +10,7 @@ from functools import cache
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.text import let
 from ..operators.enrich import mark_returning
 from ..session import configure, spread_small
 
@@ -161,20 +162,24 @@ def _sources(view: str) -> tuple[str, ...]:
 
 def doc_pages(spark: SparkSession, folder: str) -> DataFrame:
     """Documents cut into pages of five lines, each document within its own row."""
-    lines = F.split("text", "\n")
-    total = F.ceil(F.size(lines) / LINES_PER_PAGE).cast("int")
 
-    def page(number):
-        first = (number - 1) * LINES_PER_PAGE + 1
-        return F.struct(
-            number.alias("page_no"),
-            F.array_join(F.slice(lines, first, LINES_PER_PAGE), "\n").alias("text"),
-        )
+    def total(lines):
+        return F.ceil(F.size(lines) / LINES_PER_PAGE).cast("int")
 
-    cut = F.transform(F.sequence(F.lit(1), total), page)
+    def cut(lines):
+        def page(number):
+            first = (number - 1) * LINES_PER_PAGE + 1
+            return F.struct(
+                number.alias("page_no"),
+                total(lines).alias("total_pages"),
+                F.array_join(F.slice(lines, first, LINES_PER_PAGE), "\n").alias("text"),
+            )
+
+        return F.transform(F.sequence(F.lit(1), total(lines)), page)
+
+    pages = let(F.split("text", "\n"), cut)
     documents = raw(spark, folder, "documents")
-    exploded = documents.select("doc_id", total.alias("total_pages"), F.explode(cut).alias("p"))
-    return exploded.select("doc_id", "p.page_no", "total_pages", "p.text")
+    return documents.select("doc_id", F.explode(pages).alias("p")).select("doc_id", "p.*")
 
 
 def view(spark: SparkSession, folder: str, name: str) -> DataFrame:
