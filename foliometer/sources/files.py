@@ -16,6 +16,7 @@ def read_binary(spark: SparkSession, path: str, pattern: str | None = None) -> D
     """Files under ``path`` as rows; files over the largest plan limit are not loaded.
 
     The length filter is pushed into the listing, so larger files are never opened.
+    Spark's file sources pass over empty files.
     """
     reader = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
     if pattern:
