@@ -14,6 +14,10 @@ from ..functions.filenames import file_stem
 from ..functions.pages import fill_template, page_matches, selection_error, selection_ranges
 from ..functions.text import blank, let
 from .prefix import running_total
+from .skew import attach
+
+# Pages that are joined to ranges together.
+BLOCK = 256
 
 
 def document_lengths(pages: DataFrame) -> DataFrame:
@@ -21,6 +25,12 @@ def document_lengths(pages: DataFrame) -> DataFrame:
     return pages.groupBy("doc_id").agg(F.count("*").cast("int").alias("n_pages"))
 
 
+def _to_pages(pages: DataFrame, per_document: DataFrame, how: str = "left") -> DataFrame:
+    """Pages joined to one row per document, long documents spread over tasks."""
+    counts = document_lengths(pages).withColumnRenamed("n_pages", "rows")
+    return attach(pages, per_document, ["doc_id"], ["page_no"], counts, how)
+
+
 def page_counts(documents: DataFrame, pages: DataFrame) -> DataFrame:
     """Page count per known document; one without pages is an error."""
     counted = documents.select("doc_id").join(document_lengths(pages), "doc_id", "left")
@@ -69,6 +79,23 @@ def _placed_ranges(ranges: Column) -> Column:
     return let(F.filter(ranges, lambda r: r["first"] <= r["last"]), placed)
 
 
+def _pages_in(pages: DataFrame, ranges: DataFrame) -> DataFrame:
+    """Pages joined to the ranges (``r``) of their document that contain them.
+
+    Pages meet ranges block by block: a long document is spread over tasks, and a page
+    is only compared with the ranges that touch its block.
+    """
+
+    def block(page: Column) -> Column:
+        return F.floor((page - 1) / BLOCK)
+
+    touched = F.explode(F.sequence(block(F.col("r.first")), block(F.col("r.last"))))
+    blocks = ranges.withColumn("block", touched)
+    keyed = pages.withColumn("block", block(F.col("page_no")))
+    within = F.col("page_no").between(F.col("r.first"), F.col("r.last"))
+    return keyed.join(blocks, ["doc_id", "block"], "inner").filter(within).drop("block")
+
+
 def _disjoint_ranges(ranges: Column) -> Column:
     """Sorted ranges without overlap that cover the same pages."""
 
@@ -123,16 +150,11 @@ def extract_pages(pages: DataFrame, specs: DataFrame) -> DataFrame:
     ranges = usable.select(
         "doc_id", F.explode(_placed_ranges(selection_ranges("pages"))).alias("r")
     )
-    within = F.col("page_no").between(F.col("r.first"), F.col("r.last"))
-    return (
-        pages.join(ranges, "doc_id", "inner")
-        .filter(within)
-        .select(
-            "doc_id",
-            (F.col("r.skip") + F.col("page_no") - F.col("r.first") + 1).alias("out_page"),
-            "page_no",
-            "text",
-        )
+    return _pages_in(pages, ranges).select(
+        "doc_id",
+        (F.col("r.skip") + F.col("page_no") - F.col("r.first") + 1).alias("out_page"),
+        "page_no",
+        "text",
     )
 
 
@@ -155,18 +177,14 @@ def split_documents(pages: DataFrame, specs: DataFrame) -> DataFrame:
         "label",
         F.explode(_placed_ranges(selection_ranges("label"))).alias("r"),
     )
-    ranged = (
-        pages.join(pieces, "doc_id", "inner")
-        .filter(F.col("page_no").between(F.col("r.first"), F.col("r.last")))
-        .select(
-            "doc_id",
-            "name",
-            "part",
-            "label",
-            (F.col("r.skip") + F.col("page_no") - F.col("r.first") + 1).alias("out_page"),
-            "page_no",
-            "text",
-        )
+    ranged = _pages_in(pages, pieces).select(
+        "doc_id",
+        "name",
+        "part",
+        "label",
+        (F.col("r.skip") + F.col("page_no") - F.col("r.first") + 1).alias("out_page"),
+        "page_no",
+        "text",
     )
     singly = pages.join(
         specs.filter("every_page").select("doc_id", "name"), "doc_id", "inner"
@@ -208,7 +226,7 @@ def delete_pages(pages: DataFrame, specs: DataFrame) -> DataFrame:
         + F.greatest(F.lit(0), F.least(r["last"], page - 1) - r["first"] + 1),
     )
     return (
-        pages.join(usable, "doc_id", "inner")
+        _to_pages(pages, usable, "inner")
         .filter(~doomed)
         .select("doc_id", (page - below).alias("out_page"), "page_no", "text")
     )
@@ -279,7 +297,7 @@ def rotate_pages(pages: DataFrame, specs: DataFrame) -> DataFrame:
     turned = F.col("angle").isNotNull() & F.col("error").isNull() & selected & parity
     rotation = F.when(turned, F.pmod(F.col("rotation") + F.col("angle"), F.lit(360)))
     return (
-        pages.join(checked, "doc_id", "left")
+        _to_pages(pages, checked)
         .withColumn("rotation", F.coalesce(rotation, "rotation"))
         .drop("angle", "apply_to", "chosen")
     )
@@ -299,7 +317,7 @@ def stamp_pages(pages: DataFrame, specs: DataFrame, now) -> DataFrame:
         return F.when(chosen & ~blank(template), text)
 
     return (
-        pages.join(specs, "doc_id", "left")
+        _to_pages(pages, specs)
         .withColumn("header", line("header_text"))
         .withColumn("footer", line("footer_text"))
         .drop("filename", "header_text", "footer_text", "pages", "page_range")
@@ -318,7 +336,7 @@ def number_pages(pages: DataFrame, specs: DataFrame, now) -> DataFrame:
     )
     skipped = F.col("skip_first") & (F.col("page_no") == 1)
     return (
-        pages.join(specs, "doc_id", "left")
+        _to_pages(pages, specs)
         .withColumn("page_label", F.when(~skipped, text))
         .drop("format", "start_at", "skip_first")
     )

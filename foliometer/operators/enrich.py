@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from .. import constants as C
 from ..functions import traffic
+from .skew import attach
 
 
 def mark_returning(visits: DataFrame) -> DataFrame:
@@ -15,10 +16,11 @@ def mark_returning(visits: DataFrame) -> DataFrame:
     The first visit per visitor is a plain aggregation and is joined back, so a
     visitor with very many visits is never sorted in one task.
     """
-    first = visits.groupBy("visitor_id").agg(
-        F.min(F.struct("created_at", "id")).alias("__first")
+    reduced = visits.groupBy("visitor_id").agg(
+        F.min(F.struct("created_at", "id")).alias("__first"), F.count("*").alias("rows")
     )
-    joined = visits.join(first, "visitor_id", "left")
+    first, counts = reduced.drop("rows"), reduced.drop("__first")
+    joined = attach(visits, first, ["visitor_id"], ["id"], counts)
     later = F.struct("created_at", "id") > F.col("__first")
     return joined.select(*visits.columns, F.coalesce(later, F.lit(False)).alias("is_returning"))
 
@@ -58,7 +60,7 @@ def session_sources(visits: DataFrame) -> DataFrame:
 
 def attribute_sources(jobs: DataFrame, visits: DataFrame) -> DataFrame:
     """Jobs with the traffic source of their session, ``Direct`` by default."""
-    joined = jobs.join(session_sources(visits), "session_id", "left")
+    joined = attach(jobs, session_sources(visits), ["session_id"], ["id"])
     source = F.when(F.coalesce(F.col("source"), F.lit("")) != "", F.col("source"))
     return joined.withColumn("source", F.coalesce(source, F.lit(C.DIRECT_SOURCE)))
 
@@ -73,7 +75,7 @@ def seen_before(jobs: DataFrame, visits: DataFrame) -> DataFrame:
         .groupBy("visitor_id")
         .agg(F.min("created_at").alias("__since"))
     )
-    joined = jobs.join(first, "visitor_id", "left")
+    joined = attach(jobs, first, ["visitor_id"], ["id"])
     seen = F.coalesce(F.col("__since") < F.col("created_at"), F.lit(False))
     return joined.withColumn("is_returning", seen).drop("__since")
 

@@ -35,7 +35,7 @@ def latest_tool_of_file(job_files: DataFrame, jobs: DataFrame) -> DataFrame:
 
     Equally old jobs are told apart by the larger job id.
     """
-    links = job_files.select("job_id", "file_id").distinct()
+    links = job_files.select("job_id", "file_id")
     dated = jobs.select(F.col("id").alias("job_id"), "tool", "created_at")
     return (
         links.join(dated, "job_id", "inner")
@@ -72,13 +72,10 @@ def display_names(job_files: DataFrame, files: DataFrame) -> DataFrame:
     A link whose file is gone still takes its place and then yields no name.
     """
     place = F.struct(F.col("role") != "input", "position", "file_id")
-    first = F.min_by(F.struct("original_name"), place).alias("f")
-    return (
-        _named_links(job_files, files)
-        .groupBy("job_id")
-        .agg(first)
-        .select("job_id", F.col("f.original_name").alias("file_name"))
-    )
+    first = job_files.groupBy("job_id").agg(F.min_by("file_id", place).alias("file_id"))
+    # Names are looked up for one file per job, not for every link.
+    names = files.select(F.col("id").alias("file_id"), F.col("original_name").alias("file_name"))
+    return first.join(names, "file_id", "left").select("job_id", "file_name")
 
 
 def nested_files(job_files: DataFrame, files: DataFrame, per_row: int = FILES_PER_ROW) -> DataFrame:
@@ -127,10 +124,11 @@ def run_summary(job_files: DataFrame, files: DataFrame) -> DataFrame:
 def get_many(requests: DataFrame, files: DataFrame) -> DataFrame:
     """Files of request lists (``request_id, ids``) in the order asked for.
 
-    Missing ids drop out, repeated ones come back repeatedly.
+    Missing ids drop out, repeated ones come back repeatedly; ``pos`` holds the order
+    within a request.
     """
     wanted = requests.select("request_id", F.posexplode("ids").alias("pos", "id"))
-    return wanted.join(files, "id", "inner").orderBy("request_id", "pos")
+    return wanted.join(files, "id", "inner")
 
 
 def admit_jobs(requests: DataFrame, request_files: DataFrame, files, tools) -> DataFrame:
@@ -140,8 +138,7 @@ def admit_jobs(requests: DataFrame, request_files: DataFrame, files, tools) -> D
     file_id)``, ``tools(tool, min_files, max_files, extensions)``. Per-file rules are
     checked file by file in request order, before the rule on the combined size.
     """
-    profile = F.broadcast(tools)  # one row per tool
-    demands = requests.join(profile, "tool", "inner").withColumn("limits", plan_limits("plan"))
+    demands = requests.join(tools, "tool", "inner").withColumn("limits", plan_limits("plan"))
     stored = files.select(
         F.col("id").alias("file_id"),
         F.col("user_id").alias("owner"),

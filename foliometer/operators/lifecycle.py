@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from .. import constants as C
 from ..functions.measures import clamp_progress
+from .skew import attach
 
 FINISHING = ("completed", "failed", "cancelled")
 
@@ -27,8 +28,11 @@ def job_states(events: DataFrame, keep_stage: bool = False) -> DataFrame:
     expired job had before (``before_expiry``).
     """
     kind = F.col("kind")
-    retries = events.groupBy("job_id").agg(F.max(_when_at(kind == "retry")).alias("reopened"))
-    current = events.join(retries, "job_id", "inner").filter(
+    retries = events.groupBy("job_id").agg(
+        F.max(_when_at(kind == "retry")).alias("reopened"), F.count("*").alias("rows")
+    )
+    counts = retries.select("job_id", "rows")
+    current = attach(events, retries.drop("rows"), ["job_id"], ["ts", "seq"], counts).filter(
         F.col("reopened").isNull() | (F.struct("ts", "seq") >= F.col("reopened"))
     )
     finishes = current.groupBy("job_id").agg(
@@ -46,7 +50,7 @@ def job_states(events: DataFrame, keep_stage: bool = False) -> DataFrame:
     )
     place = F.struct("ts", "seq")
     return (
-        current.join(finishes, "job_id", "inner")
+        attach(current, finishes, ["job_id"], ["ts", "seq"], counts)
         .groupBy("job_id")
         .agg(
             F.max_by(stage, F.when(advance, place)).alias("stage"),

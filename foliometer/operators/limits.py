@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from .. import constants as C
 from ..functions.text import normal_email
 from ..session import cut_lineage
+from .skew import attach
 
 DAY = 86_400
 # Open submissions that one task may settle; a few megabytes.
@@ -46,7 +47,7 @@ def rate_limit(requests: DataFrame, limit: int) -> DataFrame:
         .groupBy(*keys)
         .agg(F.max(F.struct("ts", "id")).alias("__last"))
     )
-    joined = known.join(last, keys, "inner")
+    joined = attach(known, last, keys, ["id"])
     return joined.withColumn("rejected", F.struct("ts", "id") > F.col("__last")).drop("__last")
 
 
@@ -125,7 +126,7 @@ def _with_recent(rows: DataFrame, accepted: DataFrame) -> DataFrame:
     """Rows with ``recent``: the accepted rows of the last day that share a key."""
     joined = rows.withColumn("day", F.floor(F.col("at") / (DAY * 1_000_000)))
     for kind in ("email", "ip"):
-        joined = joined.join(_accepted_lists(accepted, kind), [kind, "day"], "left")
+        joined = attach(joined, _accepted_lists(accepted, kind), [kind, "day"], ["id"])
     none = F.array().cast("array<struct<at:bigint,id:string>>")
     either = F.array_union(F.coalesce("email_accepted", none), F.coalesce("ip_accepted", none))
     recent = F.filter(

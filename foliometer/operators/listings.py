@@ -149,6 +149,16 @@ def _top_first(df: DataFrame, name: str, sort, page: int, size: int, q, **values
     return page_of(filtered(df, spec, q, **values), sort_columns(spec, sort), page, size)
 
 
+def _of_page(df: DataFrame, column: str, page: DataFrame, key: str) -> DataFrame:
+    """Rows of a table that a page refers to.
+
+    A page has at most 100 rows, so its keys can be sent to every task and the table
+    is filtered where it is read.
+    """
+    keys = F.broadcast(page.select(F.col(key).alias(column)))
+    return df.join(keys, column, "left_semi")
+
+
 def list_users(users, jobs, q=None, sort=None, page=1, size=DEFAULT_SIZE, **values):
     """Users with their number of jobs.
 
@@ -160,9 +170,7 @@ def list_users(users, jobs, q=None, sort=None, page=1, size=DEFAULT_SIZE, **valu
         rows = counted.na.fill(0, ["conversions"])
         return _top_first(rows, "users", sort, page, size, q, **values)
     top = _top_first(users, "users", sort, page, size, q, **values)
-    # The page has at most 100 rows, so its ids can be sent to every task.
-    ids = F.broadcast(top.select(F.col("id").alias("user_id")))
-    counts = rows_per_user(jobs.join(ids, "user_id", "left_semi"), "conversions")
+    counts = rows_per_user(_of_page(jobs, "user_id", top, "id"), "conversions")
     rows = top.join(counts, "id", "left").na.fill(0, ["conversions"])
     return rows.orderBy(*sort_columns(LISTINGS["users"], sort))
 
@@ -176,20 +184,19 @@ def list_subscriptions(subscriptions, users, q=None, sort=None, page=1, size=DEF
 def list_files(files, users, job_files, jobs, q=None, sort=None, page=1, size=DEFAULT_SIZE, **v):
     """Files with owner and latest tool, looked up for one page only."""
     top = _top_first(files, "files", sort, page, size, q, **v)
-    ids = F.broadcast(top.select(F.col("id").alias("file_id")))  # at most 100 rows
-    links = job_files.join(ids, "file_id", "left_semi")
+    links = _of_page(job_files, "file_id", top, "id")
     tools = latest_tool_of_file(links, jobs).withColumnRenamed("file_id", "id")
-    rows = with_user_email(top, users, "owner_email").join(tools, "id", "left")
+    owners = _of_page(users, "id", top, "user_id")
+    rows = with_user_email(top, owners, "owner_email").join(tools, "id", "left")
     return rows.orderBy(*sort_columns(LISTINGS["files"], sort))
 
 
 def list_jobs(jobs, users, job_files, files, q=None, sort=None, page=1, size=DEFAULT_SIZE, **v):
     """Jobs with user and file name, looked up for one page only."""
     top = _top_first(jobs, "jobs", sort, page, size, q, **v)
-    ids = F.broadcast(top.select(F.col("id").alias("job_id")))  # at most 100 rows
-    links = job_files.join(ids, "job_id", "left_semi")
+    links = _of_page(job_files, "job_id", top, "id")
     names = display_names(links, files).withColumnRenamed("job_id", "id")
-    rows = with_user_email(top, users).join(names, "id", "left")
+    rows = with_user_email(top, _of_page(users, "id", top, "user_id")).join(names, "id", "left")
     return rows.orderBy(*sort_columns(LISTINGS["jobs"], sort))
 
 
@@ -218,4 +225,4 @@ def live_feed(jobs: DataFrame, users: DataFrame, now, n: int = 15) -> DataFrame:
     since = timestamp(now) - F.expr(f"INTERVAL {C.LIVE_WINDOW_MINUTES} MINUTES")
     order = (F.desc("created_at"), F.asc("id"))
     newest = jobs.filter(F.col("created_at") >= since).orderBy(*order).limit(n)
-    return with_user_email(newest, users).orderBy(*order)
+    return with_user_email(newest, _of_page(users, "id", newest, "user_id")).orderBy(*order)

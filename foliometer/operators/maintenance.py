@@ -10,6 +10,7 @@ from .. import constants as C
 from ..functions.filters import expired_file, expired_job, timestamp
 from ..functions.text import normal_email, strip
 from ..functions.udfs import overlay_json
+from .skew import attach
 
 
 def expire_files(files: DataFrame, now, expires: str = "expires_at") -> DataFrame:
@@ -98,7 +99,7 @@ def patch(df: DataFrame, patches: DataFrame, key: str, order: str | None = None)
 def forget_owner(df: DataFrame, deleted: DataFrame, column: str = "user_id") -> DataFrame:
     """M5: rows of deleted users stay, without their owner."""
     gone = deleted.select(F.col("id").alias(column)).distinct().withColumn("__gone", F.lit(True))
-    joined = df.join(gone, column, "left")
+    joined = attach(df, gone, [column], ["id"])
     owner = F.when(F.col("__gone").isNull(), F.col(column))
     return joined.withColumn(column, owner).select(*df.columns)
 

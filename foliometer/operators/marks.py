@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from .. import constants as C
 from ..functions.text import compact
+from .skew import attach
 
 
 def _diagonal_angle(degrees: Column) -> Column:
@@ -127,11 +128,11 @@ def detect_image_marks(placements: DataFrame, lengths: DataFrame) -> DataFrame:
 def flag_marks(spans: DataFrame, marks: DataFrame, text: str | None = None) -> DataFrame:
     """Spans with ``removed``: a detected mark that carries a trait, or the user's text.
 
-    The join key holds the text as well as the document; where one mark fills a long
-    document, the adaptive skew join splits it.
+    The join key holds the text as well as the document; a mark that fills a long
+    document is spread, and so are the spans without a trait, which match nothing.
     """
     known = marks.select("doc_id", "norm").distinct().withColumn("__mark", F.lit(True))
-    flagged = _traits(spans).join(known, ["doc_id", "norm"], "left")
+    flagged = attach(_traits(spans), known, ["doc_id", "norm"], ["page_no", "span_no"])
     removed = F.coalesce("__mark", F.lit(False))
     if text:
         needle = compact(F.lit(text))

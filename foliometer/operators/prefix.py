@@ -22,11 +22,14 @@ def running_total(df: DataFrame, keys, order, value: Column, name: str) -> DataF
     a group of copies is spread over partitions.
     """
     keys, order = list(keys), list(order)
-    ordered = df.withColumn("__value", value).withColumn("__row", F.monotonically_increasing_id())
+    # Row numbers and slice numbers depend on the partitioning they were taken in. Both
+    # are stored before use, so that a lost executor cannot bring different ones back.
+    numbered = cut_lineage(
+        df.withColumn("__value", value).withColumn("__row", F.monotonically_increasing_id())
+    )
     sorting = [*keys, *order, "__row"]
-    # The slice numbers are only meaningful for one materialised partitioning.
     sliced = cut_lineage(
-        ordered.repartitionByRange(*sorting).withColumn("__slice", F.spark_partition_id())
+        numbered.repartitionByRange(*sorting).withColumn("__slice", F.spark_partition_id())
     )
     local = W.partitionBy(*keys, "__slice").orderBy(*order, "__row").rowsBetween(
         W.unboundedPreceding, W.currentRow

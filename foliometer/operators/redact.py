@@ -10,6 +10,7 @@ from ..functions.text import strip
 from ..functions.udfs import remove_terms
 from .documents import document_lengths
 from .options import MAX_TERMS
+from .skew import attach
 
 
 def term_lists(terms: DataFrame) -> DataFrame:
@@ -52,12 +53,15 @@ def term_hits(pages: DataFrame, terms: DataFrame) -> DataFrame:
         "terms", lambda t: F.struct(
             t.alias("term"), F.regexp_count(F.col("text"), term_regex(t)).alias("n"))
     )
-    return (
-        lists.join(pages.select("doc_id", "text"), "doc_id", "left")
+    texts = pages.select("doc_id", "page_no", "text")
+    found = (
+        attach(texts, lists, ["doc_id"], ["page_no"], how="inner")
         .select("doc_id", F.explode(counted).alias("h"))
         .groupBy("doc_id", F.col("h.term").alias("term"))
-        .agg(F.coalesce(F.sum("h.n"), F.lit(0)).alias("hits"))
+        .agg(F.sum("h.n").alias("hits"))
     )
+    asked = lists.select("doc_id", F.explode("terms").alias("term"))
+    return asked.join(found, ["doc_id", "term"], "left").na.fill(0, ["hits"])
 
 
 def redaction_verdicts(pages: DataFrame, terms: DataFrame) -> DataFrame:
@@ -93,7 +97,8 @@ def redact(pages: DataFrame, terms: DataFrame) -> DataFrame:
     )
     lists = term_lists(terms).select("doc_id", "terms")
     plan = verdicts.join(lists, "doc_id", "inner")
-    kept = pages.join(plan, "doc_id", "left").filter(~F.coalesce("failed", F.lit(False)))
+    planned = attach(pages, plan, ["doc_id"], ["page_no"])
+    kept = planned.filter(~F.coalesce("failed", F.lit(False)))
     target = F.when(F.col("terms").isNotNull(), F.col("text"))
     wanted = F.coalesce("terms", F.array().cast("array<string>"))
     return kept.withColumn("text", F.coalesce(remove_terms(target, wanted), "text")).drop(

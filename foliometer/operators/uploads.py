@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from .. import constants as C
 from ..functions.filetypes import sniff
 from ..functions.measures import plan_limits
+from .skew import without_hot_keys
 
 LARGEST_BATCH = max(files for files, _, _ in C.PLAN_LIMITS.values())
 
@@ -23,7 +24,8 @@ def validate_uploads(items: DataFrame, check_types: bool = True) -> DataFrame:
     plan = F.lower(F.coalesce(F.max("plan"), F.lit(C.DEFAULT_PLAN)))
     batches = (
         items.groupBy("batch_id")
-        .agg(F.count("*").alias("n_files"), plan.alias("plan"))
+        .agg(F.count("*").alias("rows"), plan.alias("plan"))
+        .withColumn("n_files", F.col("rows"))
         .withColumn("limits", plan_limits("plan"))
         .withColumn("oversized", F.col("n_files") > F.col("limits.max_files"))
     )
@@ -45,7 +47,8 @@ def validate_uploads(items: DataFrame, check_types: bool = True) -> DataFrame:
         ),
     )
     failures = (
-        items.withColumn("kind", kind)
+        without_hot_keys(items, batches, ["batch_id"])
+        .withColumn("kind", kind)
         .select("batch_id", "position", "size_bytes", "kind")
         .join(small, "batch_id", "inner")
         .withColumn("taken", taken)

@@ -48,13 +48,12 @@ def allocate(rows: DataFrame, key: Column, extension: Column, created_at: Column
 def write_by_day(rows: DataFrame, path: str, ts: str = "created_at") -> None:
     """Append rows partitioned by year, month and day.
 
-    Rows are spread by day and a hash of the row, so a busy day is written by several
-    tasks and a quiet one into few files.
+    Adaptive execution sizes the write tasks: a busy day is split over several, quiet
+    days share one, and no day is scattered over more files than its size needs.
     """
     parts = {"year": F.date_format(ts, "yyyy"), "month": F.date_format(ts, "MM"),
              "day": F.date_format(ts, "dd")}
-    spread = F.pmod(F.xxhash64(*rows.columns), F.lit(16))
-    dated = rows.withColumns(parts).repartition("year", "month", "day", spread)
+    dated = rows.withColumns(parts).hint("rebalance", "year", "month", "day")
     dated.write.mode("append").partitionBy("year", "month", "day").parquet(path)
 
 

@@ -48,15 +48,6 @@ def _finish(writer: DataStreamWriter, checkpoint: str) -> None:
     query.awaitTermination()
 
 
-def drain(stream: DataFrame, label: str) -> DataFrame:
-    """Append everything available to Parquet files and return these."""
-    spark = stream.sparkSession
-    folder = scratch(spark, label)
-    writer = stream.writeStream.outputMode("append").format("parquet")
-    _finish(writer.option("path", f"{folder}/rows"), f"{folder}/checkpoint")
-    return spark.read.schema(stream.schema).parquet(f"{folder}/rows")
-
-
 def drain_batches(
     stream: DataFrame, merge: Callable[[DataFrame, int], None], folder: str, mode: str = "append"
 ) -> None:

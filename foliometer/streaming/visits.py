@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.measures import trend_bucket
 from ..operators.enrich import classify_visits
+from ..operators.skew import attach
 from ..session import scratch
 from ..sources.visits import split_visits
 from .runner import KeyedLog, drain_batches, drain_updates
@@ -14,7 +15,7 @@ from .runner import KeyedLog, drain_batches, drain_updates
 
 def flag_returning(batch: DataFrame, first_visits: DataFrame) -> DataFrame:
     """Visits of one micro-batch with ``is_returning`` against the visitors known so far."""
-    joined = batch.join(first_visits, "visitor_id", "left")
+    joined = attach(batch, first_visits, ["visitor_id"], ["id"])
     known = F.coalesce("known", F.lit(False))
     later = F.struct("created_at", "id") > F.col("first")
     flag = F.coalesce(known | later, F.lit(False))

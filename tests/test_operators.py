@@ -105,7 +105,7 @@ def test_owner_lookup_keeps_anonymous_rows(frame):
 def test_get_many(frame):
     requests = frame([("r", ["b", "zz", "a", "b"])], "request_id string, ids array<string>")
     files = frame([("a", 1), ("b", 2)], "id string, size int")
-    got = [(r.pos, r.id) for r in jobs.get_many(requests, files).collect()]
+    got = rows_of(jobs.get_many(requests, files), "pos", "id")
     assert got == [(0, "b"), (2, "a"), (3, "b")]
 
 
