@@ -206,11 +206,16 @@ def list_feedback(feedback, q=None, page=1, size=DEFAULT_SIZE, **values):
     return _top_first(rows, "feedback", None, page, size, q, **values)
 
 
-def newest_of_owner(df: DataFrame, owner, limit: int = 50, offset: int = 0) -> DataFrame:
-    """O3: an owner's rows, newest first, at most 100 at a time."""
+def newest_of_owner(
+    df: DataFrame, owner, limit: int = 50, offset: int = 0, status: str | None = None
+) -> DataFrame:
+    """O3: an owner's rows, newest first, at most 100 at a time.
+
+    Jobs are listed in any state, files only while ``status`` is active.
+    """
     if not 1 <= limit <= MAX_SIZE:
         raise ValueError("limit must lie within 1 and 100")
-    mine = df.filter(F.col("user_id") == owner)
+    mine = optional_equals(df.filter(F.col("user_id") == owner), status=status)
     return mine.orderBy(F.desc_nulls_first("created_at"), F.asc("id")).offset(offset).limit(limit)
 
 

@@ -467,6 +467,20 @@ def _mine(t):
     return listings.newest_of_owner(t.processing_jobs, 7)
 
 
+@query(
+    "O3_active_files_of_owner",
+    "id:i original_name:s created_at:t",
+    "stored_files",
+    _page_sql(
+        "*", "(SELECT * REPLACE (user_id % 5 AS user_id) FROM stored_files)",
+        "user_id = 2 AND status = 'active'", "created_at DESC, id", 60, 20,
+    ),
+)
+def _my_files(t):
+    files = t.stored_files.withColumn("user_id", F.col("user_id") % 5)
+    return listings.newest_of_owner(files, 2, limit=60, offset=20, status="active")
+
+
 @query(
     "O4_fixed_order",
     "fingerprint:s resolved:b last_seen_at:t",

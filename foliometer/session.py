@@ -16,6 +16,8 @@ RUNTIME_SETTINGS = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     # Split a hot join partition even where that costs a later shuffle.
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
+    # Apply "first n per group" before the shuffle for every request limit in use.
+    "spark.sql.optimizer.windowGroupLimitThreshold": "100000",
 }
 
 
