@@ -17,6 +17,8 @@ from .skew import attach
 DAY = 86_400
 # Open submissions that one task may settle; a few megabytes.
 FOLD_ROWS = 10_000
+# Results of rounds kept apart before they are stored as one.
+MAX_ROUND_FRAMES = 8
 
 
 def minute_window(ts: str = "ts"):
@@ -186,10 +188,11 @@ def daily_limit(
         )
     )
     rounds = [open_rows.limit(0)]
+    nothing = rounds[0]
     while open_rows.count() > fold_rows:
         fresh = _unobstructed(open_rows)
         # A single accepted neighbour decides under a limit of one; otherwise all count.
-        before = reduce(DataFrame.unionByName, rounds if limit > 1 else rounds[:1])
+        before = reduce(DataFrame.unionByName, rounds) if limit > 1 else nothing
         rest = open_rows.join(fresh.select("id"), "id", "left_anti")
         judged = _with_recent(rest, before.unionByName(fresh))
         alive = judged.filter(F.size("recent") < limit).drop("recent")
@@ -197,6 +200,8 @@ def daily_limit(
             fresh.withColumn("ok", F.lit(True)).unionByName(alive.withColumn("ok", F.lit(False)))
         )
         rounds.append(settled.filter("ok").drop("ok"))
+        if len(rounds) > MAX_ROUND_FRAMES:
+            rounds = [cut_lineage(reduce(DataFrame.unionByName, rounds))]
         open_rows = settled.filter(~F.col("ok")).drop("ok")
     accepted = reduce(DataFrame.unionByName, rounds)
     last = _with_recent(open_rows, accepted).groupBy().applyInPandas(_fold(limit), "id string")

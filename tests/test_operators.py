@@ -213,14 +213,17 @@ def sequential_limit(rows, limit):
     return sorted(a[0] for a in accepted)
 
 
-@pytest.mark.parametrize(("limit", "fold_rows"), [(1, 0), (2, 0), (1, 60), (3, 1000)])
-def test_daily_limit_equals_one_by_one(frame, limit, fold_rows):
+@pytest.mark.parametrize(
+    ("limit", "fold_rows", "n"), [(1, 0, 120), (2, 0, 40), (1, 60, 120), (3, 1000, 200)]
+)
+def test_daily_limit_equals_one_by_one(frame, monkeypatch, limit, fold_rows, n):
+    monkeypatch.setattr(limits, "MAX_ROUND_FRAMES", 3)
     rng = random.Random(limit)
     rows = [
         (f"s{i:03d}", rng.choice([" A@x ", "a@X", "b@x", "c@x", f"u{i}@x"]),
          rng.choice(["1", "2", None, "", f"ip{i % 30}"]),
          T0 + timedelta(minutes=rng.randrange(4 * 1440)))
-        for i in range(120)
+        for i in range(n)
     ]
     df = frame(rows, "id string, email string, client_ip string, created_at timestamp")
     got = limits.daily_limit(df, limit, fold_rows)
