@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import constants as C
 from ..functions.languages import script, script_language, stopword_table, words
+from ..functions.text import let
 
 
 def guess_language(texts: DataFrame, keys=("doc_id",)) -> DataFrame:
@@ -59,29 +60,20 @@ def document_language(
     the languages of their pages by frequency with English appended, at most four.
     """
     sample = pages.filter(F.col("page_no") <= sample_pages)
-    keys = ["doc_id", "page_no"]
-    guessed = guess_language(sample, keys).select(*keys, F.col("language").alias("guess"))
-    known = (
-        sample.select(*keys, script("text").alias("script"))
-        .join(guessed, keys, "left")
-        .withColumn("guess", F.when(F.col("script") == "Latin", F.col("guess")))
-    )
-
-    def most_frequent(column: str) -> DataFrame:
-        """Values per document, by frequency and then by first page; a handful each."""
-        counted = (
-            known.filter(F.col(column).isNotNull())
-            .groupBy("doc_id", column)
-            .agg(F.count("*").alias("n"), F.min("page_no").alias("first"))
+    # The script travels as part of the key, so the text is read once.
+    keys = ["doc_id", "page_no", "script"]
+    guessed = guess_language(sample.withColumn("script", script("text")), keys)
+    guess = F.when(F.col("script") == "Latin", F.col("language")).alias("guess")
+    # A document has one entry per sampled page.
+    entries = (
+        guessed.select(*keys, guess)
+        .groupBy("doc_id")
+        .agg(F.array_sort(F.collect_list(F.struct("page_no", "script", "guess"))).alias("e"))
+        .select(
+            "doc_id",
+            _by_frequency(F.transform("e", lambda e: e["script"])).alias("scripts"),
+            _by_frequency(F.transform("e", lambda e: e["guess"])).alias("guesses"),
         )
-        entry = F.struct((-F.col("n")).alias("n"), "first", column)
-        return counted.groupBy("doc_id").agg(F.array_sort(F.collect_list(entry)).alias(column))
-
-    scripts = most_frequent("script").select(
-        "doc_id", F.col("script")[0]["script"].alias("script")
-    )
-    guesses = most_frequent("guess").select(
-        "doc_id", F.transform("guess", lambda g: g["guess"]).alias("guesses")
     )
     listed = F.coalesce("guesses", F.array().cast("array<string>"))
     with_english = F.when(F.array_contains(listed, "eng"), listed).otherwise(
@@ -96,8 +88,8 @@ def document_language(
     return (
         pages.select("doc_id")
         .distinct()
-        .join(scripts, "doc_id", "left")
-        .join(guesses, "doc_id", "left")
+        .join(entries, "doc_id", "left")
+        .withColumn("script", F.get("scripts", F.lit(0)))
         .select(
             "doc_id",
             language.alias("language"),
@@ -105,3 +97,19 @@ def document_language(
             F.col("script").isNotNull().alias("detected"),
         )
     )
+
+
+def _by_frequency(values: Column) -> Column:
+    """Distinct values of a short array, the most frequent first, then the earliest."""
+
+    def ranked(known: Column) -> Column:
+        def rank(value: Column) -> Column:
+            copies = F.size(F.filter(known, lambda other: other == value))
+            return F.struct(
+                (-copies).alias("n"), F.array_position(known, value).alias("at"), value.alias("v")
+            )
+
+        order = F.array_sort(F.transform(F.array_distinct(known), rank))
+        return F.transform(order, lambda entry: entry["v"])
+
+    return let(F.array_compact(values), ranked)

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from .. import constants as C
 from ..functions.filters import has_attachment, optional_equals, search, timestamp, unread_only
 from ..functions.measures import enum_rank
+from ..session import cut_lineage
 from .dashboard import page_counts, rows_per_user
 from .jobs import display_names, latest_tool_of_file, with_subscriber, with_user_email
 
@@ -144,7 +145,10 @@ def listing(
 
 
 def _top_first(df: DataFrame, name: str, sort, page: int, size: int, q, **values) -> DataFrame:
-    """A page whose sort key needs no look-up, cut before the look-ups run."""
+    """A page whose sort key needs no look-up, cut before the look-ups run.
+
+    Its few rows are stored where several look-ups use them, so the table is read once.
+    """
     spec = LISTINGS[name]
     return page_of(filtered(df, spec, q, **values), sort_columns(spec, sort), page, size)
 
@@ -169,7 +173,7 @@ def list_users(users, jobs, q=None, sort=None, page=1, size=DEFAULT_SIZE, **valu
         counted = users.join(rows_per_user(jobs, "conversions"), "id", "left")
         rows = counted.na.fill(0, ["conversions"])
         return _top_first(rows, "users", sort, page, size, q, **values)
-    top = _top_first(users, "users", sort, page, size, q, **values)
+    top = cut_lineage(_top_first(users, "users", sort, page, size, q, **values))
     counts = rows_per_user(_of_page(jobs, "user_id", top, "id"), "conversions")
     rows = top.join(counts, "id", "left").na.fill(0, ["conversions"])
     return rows.orderBy(*sort_columns(LISTINGS["users"], sort))
@@ -183,7 +187,7 @@ def list_subscriptions(subscriptions, users, q=None, sort=None, page=1, size=DEF
 
 def list_files(files, users, job_files, jobs, q=None, sort=None, page=1, size=DEFAULT_SIZE, **v):
     """Files with owner and latest tool, looked up for one page only."""
-    top = _top_first(files, "files", sort, page, size, q, **v)
+    top = cut_lineage(_top_first(files, "files", sort, page, size, q, **v))
     links = _of_page(job_files, "file_id", top, "id")
     tools = latest_tool_of_file(links, jobs).withColumnRenamed("file_id", "id")
     owners = _of_page(users, "id", top, "user_id")
@@ -193,7 +197,7 @@ def list_files(files, users, job_files, jobs, q=None, sort=None, page=1, size=DE
 
 def list_jobs(jobs, users, job_files, files, q=None, sort=None, page=1, size=DEFAULT_SIZE, **v):
     """Jobs with user and file name, looked up for one page only."""
-    top = _top_first(jobs, "jobs", sort, page, size, q, **v)
+    top = cut_lineage(_top_first(jobs, "jobs", sort, page, size, q, **v))
     links = _of_page(job_files, "job_id", top, "id")
     names = display_names(links, files).withColumnRenamed("job_id", "id")
     rows = with_user_email(top, _of_page(users, "id", top, "user_id")).join(names, "id", "left")
@@ -229,5 +233,5 @@ def live_feed(jobs: DataFrame, users: DataFrame, now, n: int = 15) -> DataFrame:
     """Last jobs of the past fifteen minutes with the user's e-mail."""
     since = timestamp(now) - F.expr(f"INTERVAL {C.LIVE_WINDOW_MINUTES} MINUTES")
     order = (F.desc("created_at"), F.asc("id"))
-    newest = jobs.filter(F.col("created_at") >= since).orderBy(*order).limit(n)
+    newest = cut_lineage(jobs.filter(F.col("created_at") >= since).orderBy(*order).limit(n))
     return with_user_email(newest, _of_page(users, "id", newest, "user_id")).orderBy(*order)
