@@ -31,6 +31,11 @@ def prepare(spark: SparkSession) -> SparkSession:
     configure(spark)
     if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") != str(BATCH_ROWS):
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    # Row numbers come from the splits of a table. Their size must not change when an
+    # executor is lost between two reads.
+    if spark.conf.get("spark.sql.files.minPartitionNum", None) is None:
+        cores = spark.sparkContext.defaultParallelism
+        spark.conf.set("spark.sql.files.minPartitionNum", str(cores))
     return spark
 
 

@@ -35,7 +35,7 @@ from .files import write_file
 from .tokens import vocabulary, word_ids
 
 MAGIC = b"TOKHUF01"
-HEADER = struct.Struct("<8s2I5QI")
+HEADER = "<8s2I5QI"
 BLOCK_IDS = 65_536
 INTERVAL = 256
 FILE_IDS = 1_000_000
@@ -137,7 +137,7 @@ def pack_file(part: int, seq: int, start: int, keys: list, ids: list[np.ndarray]
     blocks = [encode_block(every[at : at + BLOCK_IDS], code, INTERVAL) for at in range(0, len(every), BLOCK_IDS)]
     sizes = [min(BLOCK_IDS, len(every) - at) for at in range(0, len(every), BLOCK_IDS)]
     parts = [
-        HEADER.pack(MAGIC, part, seq, start, len(keys), len(every), len(blocks), INTERVAL, crc),
+        struct.pack(HEADER, MAGIC, part, seq, start, len(keys), len(every), len(blocks), INTERVAL, crc),
         np.array([key is None for key in keys], np.uint8).tobytes(),
         np.array([key or 0 for key in keys], "<i8").tobytes(),
         np.array([len(x) for x in ids], "<u8").tobytes(),
@@ -150,10 +150,10 @@ def pack_file(part: int, seq: int, start: int, keys: list, ids: list[np.ndarray]
 
 def unpack_file(data: bytes, code: Code, crc: int):
     """(part, seq, start, document keys, ids of each) of a token file."""
-    magic, part, seq, start, n_docs, n_ids, n_blocks, interval, table_crc = HEADER.unpack_from(data)
+    magic, part, seq, start, n_docs, n_ids, n_blocks, interval, table_crc = struct.unpack_from(HEADER, data)
     if magic != MAGIC or table_crc != crc:
         raise ValueError("not a token file of this code")
-    at = HEADER.size
+    at = struct.calcsize(HEADER)
 
     def read(kind: str, count: int) -> np.ndarray:
         nonlocal at
