@@ -19,6 +19,8 @@ from .common import MIX_1, STEP, mixed, stored
 from .graph import components
 
 BAND_ROWS = "key long, node long, rep long"
+# Nodes of a bucket that a task compares together.
+BLOCK_MEMBERS = 5000
 
 
 def band_keys(minima: np.ndarray, bands: int, rows: int) -> np.ndarray:
@@ -60,17 +62,17 @@ def bucket_links(rows: DataFrame) -> DataFrame:
     return stored(found.select("key", "link.a", "link.b"), "buckets")
 
 
-def linked(buckets: DataFrame, confirm) -> DataFrame:
+def linked(buckets: DataFrame, confirm, across) -> DataFrame:
     """(node, component) under all confirmed links between nodes that share a bucket.
 
     ``confirm`` takes distinct pairs (a, b) and returns those that are similar. First the
     links of ``buckets`` are confirmed and united. Buckets whose nodes then are in several
-    components may hide further links: their pairs across components are made, confirmed as
-    well and united. Pairs inside a component cannot change the result and are never made.
+    components may hide further links: ``across`` takes their (key, node, component) and
+    returns links between components. Pairs inside a component cannot change the result and
+    are never looked at.
     """
     first = stored(confirm(buckets.select("a", "b").distinct()), "links")
     groups = components(first)
-
     members = buckets.select("key", F.col("a").alias("node")).union(
         buckets.select("key", F.col("b").alias("node"))
     )
@@ -78,16 +80,104 @@ def linked(buckets: DataFrame, confirm) -> DataFrame:
         "key", "node", F.coalesce("component", "node").alias("component")
     )
     labelled = stored(labelled, "members")
-    several = labelled.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y"))
-    several = stored(several.filter("x <> y").select("key"), "mixed")
-    open_members = labelled.join(several, "key")
-    one, two = (
-        open_members.select("key", F.col("node").alias(n), F.col("component").alias(c))
-        for n, c in (("a", "of_a"), ("b", "of_b"))
+    several = labelled.groupBy("key").agg(
+        F.min("component").alias("x"), F.max("component").alias("y"), F.count("*").alias("members")
     )
-    pairs = one.join(two, "key").filter("a < b AND of_a <> of_b").select("a", "b").distinct()
-    done = buckets.select("a", "b").distinct()
-    second = stored(confirm(pairs.join(done, ["a", "b"], "left_anti")), "links")
+    several = stored(several.filter("x <> y").select("key", "members"), "mixed")
+    second = stored(across(labelled.join(several, "key")), "links")
     if second.isEmpty():
         return groups
     return components(first.union(second))
+
+
+def all_across(confirm, tried: DataFrame):
+    """``across`` by pairs: those of different components that are not in ``tried``."""
+
+    def across(members):
+        one, two = (
+            members.select("key", F.col("node").alias(n), F.col("component").alias(c))
+            for n, c in (("a", "of_a"), ("b", "of_b"))
+        )
+        pairs = one.join(two, "key").filter("a < b AND of_a <> of_b").select("a", "b").distinct()
+        return confirm(pairs.join(tried.select("a", "b").distinct(), ["a", "b"], "left_anti"))
+
+    return across
+
+
+def indexed_across(items: DataFrame, shingles, percent: int, block: int = BLOCK_MEMBERS):
+    """``across`` by an inverted index per bucket, without a row per pair.
+
+    ``items`` is (node, item), ``shingles`` gives the distinct shingle hashes of a list of
+    items and how many each has. A bucket of more than ``block`` members is cut into parts
+    by hash, and every two parts meet in a task of their own.
+    """
+
+    def across(members):
+        parts = F.ceil(F.col("members") / block).cast("int")
+        part = F.pmod(F.xxhash64("node"), parts).cast("int")
+        rows = members.withColumn("part", part).withColumn("other", F.explode(F.sequence(F.lit(0), parts - 1)))
+        rows = rows.select(
+            "key", F.least("part", "other").alias("one"), F.greatest("part", "other").alias("two"), "node", "component"
+        )
+        rows = stored(rows, "open-members").join(items, "node")
+        ordered = rows.repartition("key", "one", "two").sortWithinPartitions("key", "one", "two")
+        return ordered.select("key", "one", "two", "node", "component", "item").mapInArrow(run, "a long, b long").distinct()
+
+    def finish(table):
+        nodes, groups = (table.column(c).to_numpy() for c in ("node", "component"))
+        hashes, sizes = shingles(table.column("item").to_pylist())
+        return across_links(nodes, groups, hashes, sizes, percent)
+
+    def run(batches):
+        parts, current = [], None
+
+        def links():
+            a, b = finish(pa.Table.from_batches(parts))
+            return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
+
+        for batch in batches:
+            keys = list(zip(*(batch.column(c).to_pylist() for c in ("key", "one", "two")), strict=True))
+            cuts = [0, *[i for i in range(1, len(keys)) if keys[i] != keys[i - 1]], len(keys)]
+            for first, last in zip(cuts, cuts[1:], strict=False):
+                if first == last:
+                    continue
+                if parts and keys[first] != current:
+                    yield links()
+                    parts = []
+                current = keys[first]
+                parts.append(batch.slice(first, last - first))
+        if parts:
+            yield links()
+
+    return across
+
+
+def across_links(nodes, groups, hashes, sizes, percent):
+    """Links (a, b) between similar sets of different groups; at least one for each two groups.
+
+    ``hashes`` holds the sets one after another, ``sizes`` how many entries each has. Sets of
+    the largest group are looked up by those of the others.
+    """
+    names, group, members = np.unique(groups, return_inverse=True, return_counts=True)
+    if len(names) < 2:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    owner = np.repeat(np.arange(len(nodes)), sizes)
+    order = np.argsort(hashes, kind="stable")
+    posted, sorted_hashes = owner[order], hashes[order]
+    begin = np.searchsorted(sorted_hashes, hashes, "left")
+    end = np.searchsorted(sorted_hashes, hashes, "right")
+    starts = np.cumsum(sizes) - sizes
+    out_a, out_b = [], []
+    for at in np.flatnonzero(group != np.argmax(members)):
+        mine = slice(starts[at], starts[at] + sizes[at])
+        length = end[mine] - begin[mine]
+        before = np.cumsum(length) - length
+        found = posted[np.repeat(begin[mine] - before, length) + np.arange(length.sum())]
+        shared = np.bincount(found, minlength=len(nodes))
+        close = (100 * shared >= percent * (sizes[at] + sizes - shared)) & (group != group[at])
+        hits = np.flatnonzero(close)
+        if len(hits):
+            _, once = np.unique(group[hits], return_index=True)
+            out_a += [nodes[at]] * len(once)
+            out_b += nodes[hits[once]].tolist()
+    return np.array(out_a, np.int64), np.array(out_b, np.int64)

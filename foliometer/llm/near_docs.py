@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from .banding import BAND_ROWS, band_keys, bucket_links, linked, local_stars
+from .banding import BAND_ROWS, all_across, band_keys, bucket_links, linked, local_stars
 from .common import (
     long_lists,
     map_batches,
@@ -198,7 +198,7 @@ def document_groups(docs: DataFrame, settings: Settings) -> tuple[DataFrame, Dat
         union = F.size("shingles_a") + F.size("shingles_b") - shared
         return both.filter(100 * shared >= settings.percent * union).select("a", "b")
 
-    groups = linked(buckets, confirm)
+    groups = linked(buckets, confirm, all_across(confirm, buckets))
     named = nodes.join(groups, "node", "left")
     named = named.withColumn("component", F.coalesce("component", "node"))
     return sets, stored(named, "node-groups")

@@ -9,6 +9,7 @@ every component the first line (by doc_id, then position) stays.
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import lru_cache, partial
 
 import numpy as np
 import pyarrow as pa
@@ -18,8 +19,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from ..operators.skew import attach
-from .banding import BAND_ROWS, band_keys, bucket_links, linked, local_stars
-from .common import STEP, map_batches, mixed, multipliers, only_ids, stored, without_clashes
+from .banding import BAND_ROWS, band_keys, bucket_links, indexed_across, linked, local_stars
+from .common import STEP, map_batches, mixed, multipliers, only_ids, stored, windows, without_clashes
 
 # Lines whose signatures a task computes together.
 BLOCK = 512
@@ -160,10 +161,15 @@ def similar(percent: int, size: int):
     """Whether two texts have sets of character shingles that are similar enough."""
 
     def run(batches):
+        # The smallest line of a bucket meets many others one after another.
+        @lru_cache(maxsize=1024)
+        def shingles(line):
+            return {line[i : i + size] for i in range(len(line) - size + 1)}
+
         for batch in batches:
             keep = []
             for one, two in zip(*(batch.column(c).to_pylist() for c in ("line_a", "line_b")), strict=True):
-                x, y = ({line[i : i + size] for i in range(len(line) - size + 1)} for line in (one, two))
+                x, y = shingles(one), shingles(two)
                 shared = len(x & y)
                 keep.append(100 * shared >= percent * (len(x) + len(y) - shared))
             chosen = batch.filter(pa.array(keep, pa.bool_()))
@@ -172,6 +178,19 @@ def similar(percent: int, size: int):
     return run
 
 
+@lru_cache(maxsize=20_000)
+def line_shingles(line: str, size: int) -> np.ndarray:
+    """64-bit hashes of the distinct character shingles of a line."""
+    codes = np.frombuffer(line.encode("utf-32-le"), np.uint32).astype(np.uint64)
+    return np.unique(windows(codes, size))
+
+
+def distinct_shingles(lines: list[str], size: int) -> tuple[np.ndarray, np.ndarray]:
+    """The sets of lines one after another, and how many hashes each has."""
+    sets = [line_shingles(line, size) for line in lines]
+    return np.concatenate(sets), np.array([len(found) for found in sets])
+
+
 def removed_lines(docs: DataFrame, settings: Settings) -> DataFrame:
     """(row, line_no) of the lines to remove; ``docs`` has a stable ``row`` number."""
     every = stored(occurrences(docs, settings), "lines")
@@ -191,7 +210,10 @@ def removed_lines(docs: DataFrame, settings: Settings) -> DataFrame:
             pairs = pairs.join(texts.select(F.col("node").alias(side), F.col("line").alias(f"line_{side}")), side)
         return pairs.mapInArrow(similar(settings.percent, settings.shingle), "a long, b long")
 
-    groups = linked(buckets, confirm)
+    across = indexed_across(
+        texts.withColumnRenamed("line", "item"), partial(distinct_shingles, size=settings.shingle), settings.percent
+    )
+    groups = linked(buckets, confirm, across)
     named = nodes.join(groups, "node", "left").withColumn("component", F.coalesce("component", "node"))
     named = stored(named, "line-groups")
     firsts = named.groupBy("component").agg(
