@@ -162,15 +162,15 @@ def mixed_documents(docs: DataFrame, **settings) -> DataFrame:
     Whole documents are returned: the one at which a source's target is met goes in if at
     least half of its words are due, so a source differs from its target by less than a
     document. Documents without words are in no mix and go. Extra columns stay; no column
-    may be called ``__row``.
+    may be called ``__document``.
     """
-    numbered = docs.withColumn("__row", F.monotonically_increasing_id())
-    mixed = mix(numbered, keep=("__row",), **settings).select(
-        "doc_id", "size", F.explode("visits").alias("visit"), "__row"
+    numbered = docs.withColumn("__document", F.monotonically_increasing_id())
+    mixed = mix(numbered, keep=("__document",), **settings).select(
+        "doc_id", "size", F.explode("visits").alias("visit"), "__document"
     )
     due = mixed.filter(2 * F.col("visit.words") >= F.col("size")).select(
-        "__row", F.col("visit.pass").alias("__pass"), F.col("visit.position").alias("__position")
+        "__document", F.col("visit.pass").alias("__pass"), F.col("visit.position").alias("__position")
     )
-    rows = numbered.join(stored(due, "visits"), "__row")
-    sort = ["__position", "doc_id", "__row", "__pass"]
+    rows = numbered.join(stored(due, "visits"), "__document")
+    sort = ["__position", "doc_id", "__document", "__pass"]
     return rows.repartitionByRange(*sort).sortWithinPartitions(*sort).select(*docs.columns)
