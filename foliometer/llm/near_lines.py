@@ -271,6 +271,8 @@ def kept_lines(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
     Documents that lose all their lines with a word are dropped; all others stay.
     """
     columns = docs.columns
-    rows = dedup_lines(docs, settings, tuple(columns))
+    # Other columns may have the names that are worked with here.
+    others = {name: f"__column_{at}" for at, name in enumerate(columns) if name not in ("doc_id", "text")}
+    rows = dedup_lines(docs.withColumnsRenamed(others), settings, tuple(others.values()))
     lost = (F.col("n_removed") > 0) & ~F.coalesce("text", F.lit("")).rlike(r"[^\x20\x09-\x0D]")
-    return rows.filter(~lost).select(*columns)
+    return rows.filter(~lost).withColumnsRenamed({new: old for old, new in others.items()}).select(*columns)
