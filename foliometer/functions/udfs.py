@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..constants import DIFF_LINES, UNCHANGED_RATIO
+from .text import SPACE
 
 
 @F.pandas_udf(T.StringType())
@@ -60,7 +61,7 @@ def diff_lines(left: pd.Series, right: pd.Series) -> pd.Series:
 
 def term_pattern(term: str) -> str:
     """Regular expression of a redaction term: any white space matches any other."""
-    return r"\s+".join(re.escape(word) for word in term.split())
+    return f"[{SPACE}]+".join(re.escape(word) for word in term.split())
 
 
 def _redact(text: str, terms) -> str:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import constants as C
-from ..functions.text import strip
+from ..functions.text import SPACE, strip
 from ..functions.udfs import remove_terms
 from .documents import document_lengths
 from .options import MAX_TERMS
@@ -34,12 +34,12 @@ def term_lists(terms: DataFrame) -> DataFrame:
 def term_regex(term: Column) -> Column:
     """Pattern of a term: letter case ignored, any white space matches any other."""
     quoted = F.transform(
-        F.split(term, r"\s+"),
+        F.split(term, f"[{SPACE}]+"),
         lambda word: F.concat(
             F.lit(r"\Q"), F.replace(word, F.lit(r"\E"), F.lit(r"\E\\E\Q")), F.lit(r"\E")
         ),
     )
-    return F.concat(F.lit("(?iuU)"), F.array_join(quoted, r"\s+"))
+    return F.concat(F.lit("(?iuU)"), F.array_join(quoted, f"[{SPACE}]+"))
 
 
 def term_hits(pages: DataFrame, terms: DataFrame) -> DataFrame:

@@ -11,15 +11,14 @@ from ..functions.filetypes import sniff
 from ..functions.measures import plan_limits
 from .skew import without_hot_keys
 
-LARGEST_BATCH = max(files for files, _, _ in C.PLAN_LIMITS.values())
-
 
 def validate_uploads(items: DataFrame, check_types: bool = True) -> DataFrame:
     """Verdict per batch with the first failing file and its reason.
 
     ``items(batch_id, position, filename, head, size_bytes, plan)``. A batch over the
     plan's file count is rejected from its count alone; only batches of at most 100
-    files reach the running total, so no window grows with the data.
+    files reach the running total, so no window grows with the data. Very large ones among
+    the oversized are left out before the shuffle; that changes no verdict.
     """
     plan = F.lower(F.coalesce(F.max("plan"), F.lit(C.DEFAULT_PLAN)))
     batches = (
@@ -47,7 +46,7 @@ def validate_uploads(items: DataFrame, check_types: bool = True) -> DataFrame:
         ),
     )
     failures = (
-        without_hot_keys(items, batches, ["batch_id"])
+        without_hot_keys(items, batches.filter("oversized"), ["batch_id"])
         .withColumn("kind", kind)
         .select("batch_id", "position", "size_bytes", "kind")
         .join(small, "batch_id", "inner")

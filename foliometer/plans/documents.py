@@ -20,11 +20,11 @@ LENGTHS = "SELECT doc_id, count(*) AS n_pages FROM doc_pages GROUP BY doc_id"
     "doc_pages",
     """SELECT d.doc_id, count(p.doc_id) AS n_pages,
     CASE WHEN count(p.doc_id) = 0 THEN 'no_pages' END AS error
-    FROM documents d LEFT JOIN (SELECT * FROM doc_pages WHERE page_no > 1) p USING (doc_id)
+    FROM documents d LEFT JOIN doc_pages p USING (doc_id)
     GROUP BY d.doc_id""",
 )
 def _page_counts(t):
-    return documents.page_counts(t.raw("documents"), t.doc_pages.filter("page_no > 1"))
+    return documents.page_counts(t.raw("documents"), t.doc_pages)
 
 
 _MERGE_PLAN = """SELECT doc_id % 100 AS out_doc, doc_id * 10 AS input_pos, doc_id FROM documents

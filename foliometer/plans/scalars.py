@@ -573,7 +573,7 @@ def _has_attachment(t):
         CASE WHEN n_chars % 3 = 0 THEN 'pages_pattern' END)
       WHEN 1 THEN concat_ws(',', CASE WHEN n_chars % 2 = 1 THEN 'pages_choice' END,
         CASE WHEN n_chars % 50 NOT BETWEEN 6 AND 36 THEN 'font_size_range' END,
-        CASE WHEN length(substr(text, 1, 300)) > 200 THEN 'header_text_length' END,
+        CASE WHEN length(text) > 200 THEN 'header_text_length' END,
         CASE WHEN n_chars % 2 = 0 THEN 'page_range_required' END)
       WHEN 2 THEN CASE WHEN n_chars % 2 = 1 THEN 'format_page' ELSE '' END
       ELSE CASE WHEN n_chars % 3 = 0 THEN 'pages_required' ELSE '' END END AS errors
@@ -602,7 +602,7 @@ def _option_errors(t):
         .when(
             kind == 1,
             options(
-                "header_text", F.substring("text", 1, 300),
+                "header_text", F.col("text"),
                 "font_size", (F.col("n_chars") % 50).cast("string"),
                 "pages", F.when(odd, "some").otherwise("custom"),
             ),

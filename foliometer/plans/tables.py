@@ -331,11 +331,10 @@ def _seen(t):
     "plain_visits event_jobs",
     """SELECT j.id, coalesce(s.source, 'Direct') AS source FROM event_jobs j LEFT JOIN (
       SELECT session_id, arg_min(source, (created_at, id)) AS source FROM plain_visits
-      WHERE visitor_id <> '3' GROUP BY session_id) s ON s.session_id = j.session_id""",
+      GROUP BY session_id) s ON s.session_id = j.session_id""",
 )
 def _session_source(t):
-    visits = t.plain_visits.filter("visitor_id <> '3'")
-    return enrich.attribute_sources(t.event_jobs, visits)
+    return enrich.attribute_sources(t.event_jobs, t.plain_visits)
 
 
 @query(

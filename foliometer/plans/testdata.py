@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import let
 from ..operators.enrich import mark_returning
-from ..session import configure, spread_small
+from ..session import configure
 
 TABLES = (
     "region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events",
@@ -101,7 +101,8 @@ FROM customer""",
     ELSE CAST(DATE '2024-02-01' + CAST(c_custkey % 90 AS INT) AS TIMESTAMP) END AS renews_at,
   CAST(DATE '2023-01-01' + CAST((c_custkey * 7 + n_nationkey * 31) % 300 AS INT) AS TIMESTAMP)
     AS created_at
-FROM customer JOIN nation ON n_nationkey < 3 WHERE c_custkey % 3 = 0""",
+FROM (SELECT *, 0 AS n_nationkey FROM customer UNION ALL SELECT *, 1 AS n_nationkey FROM customer
+  UNION ALL SELECT *, 2 AS n_nationkey FROM customer) WHERE c_custkey % 3 = 0""",
     "feedback": """SELECT conv_id * 1000 + turn AS id,
   concat('User ', CAST(conv_id % 50 AS STRING)) AS name,
   concat('user', CAST(conv_id % 50 AS STRING), '@example.com') AS email,
@@ -150,7 +151,7 @@ VIEWS["page_visits"] = f"""SELECT {_VISIT_COLUMNS},
 
 def raw(spark: SparkSession, folder: str, name: str) -> DataFrame:
     table = configure(spark).read.parquet(f"{folder}/{name}.parquet")
-    return spread_small(table, "doc_id") if name == "documents" else table
+    return table
 
 
 @cache

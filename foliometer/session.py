@@ -46,12 +46,17 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8) -> SparkS
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder: ``spark.checkpoint.dir`` where it is set."""
+    """The cluster's shared folder: ``spark.checkpoint.dir``.
+
+    Only a session on one machine may do without the setting; it gets a temporary folder.
+    """
     known = spark.conf.get("spark.checkpoint.dir", None)
     if known:
         return known.rstrip("/")
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
+        if not context.master.startswith(("local[", "local-cluster[")) and context.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
         context.setCheckpointDir(tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
     return context.getCheckpointDir().rstrip("/")
 
@@ -68,14 +73,3 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(folder)
     return df.checkpoint(eager=True)
-
-
-def spread_small(df: DataFrame, *keys: str, split_bytes: int = 32 * 1024 * 1024) -> DataFrame:
-    """Spread a table over all cores where its files are too few to do so.
-
-    A table with at least ``split_bytes`` per core is read in enough splits as it is and
-    stays untouched; only a smaller one is shuffled, by ``keys``.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return df.repartition(cores, *keys) if size < cores * split_bytes else df

@@ -423,3 +423,15 @@ def test_batch_map_turns_errors_into_rows(frame):
     assert results.count() == 6
     outcomes = rows_of(batchmap.job_outcomes(results), "job_id", "status", "error_code", "outputs")
     assert outcomes == [("j", "failed", "INTERNAL_SERVER_ERROR", 2), ("k", "completed", None, 2)]
+
+
+def test_a_lowered_hot_key_limit_changes_no_verdict(spark, frame):
+    rows = [("b", n, "a.exe", bytearray(b"xx"), 2, "pro") for n in range(60)]
+    items = frame(rows, "batch_id string, position int, filename string, head binary, size_bytes long, plan string")
+    usual = rows_of(uploads.validate_uploads(items))
+    spark.conf.set("spark.foliometer.hotRows", "10")
+    try:
+        assert rows_of(uploads.validate_uploads(items)) == usual
+    finally:
+        spark.conf.unset("spark.foliometer.hotRows")
+    assert usual[0][2] is False
