@@ -12,13 +12,6 @@ from __future__ import annotations
 JOB_STATUSES = ("pending", "queued", "processing", "completed", "failed", "cancelled", "expired")
 TERMINAL_STATUSES = ("completed", "failed", "cancelled", "expired")
 EXPIRABLE_STATUSES = ("completed", "failed", "cancelled")
-FILE_STATUSES = ("active", "expired", "deleted")
-FILE_CATEGORIES = ("upload", "processed", "thumbnail")
-JOB_FILE_ROLES = ("input", "output")
-USER_STATUSES = ("active", "suspended", "inactive")
-SUBSCRIPTION_STATUSES = ("active", "expired", "cancelled", "trialing")
-LOG_LEVELS = ("error", "warning", "info")
-AUDIT_CATEGORIES = ("audit", "security")
 
 # --- Fixed values: feedback ---------------------------------------------------
 FEEDBACK_LABELS = {
@@ -29,7 +22,6 @@ FEEDBACK_LABELS = {
     "performance": "Performance Issue",
     "other": "Other",
 }
-FEEDBACK_PER_MINUTE = 5
 FEEDBACK_PER_DAY = 1
 ATTACHMENT_MAX_BYTES = 1024 * 1024
 ATTACHMENT_NAME_LENGTH = 255
@@ -37,13 +29,13 @@ ATTACHMENT_NAME_LENGTH = 255
 # --- Fixed values: retention and limits ---------------------------------------
 RETENTION_HOURS = 24
 SCRATCH_MAX_AGE_MINUTES = 120
-UPLOADS_PER_MINUTE = 30
 LIVE_WINDOW_MINUTES = 15
+# Levels of objects that settings and their overrides may share.
+SETTINGS_DEPTH = 16
 EVENT_FEED_CAP = 600
 PROGRESS_CEILING = 90
 ERROR_MESSAGE_LENGTH = 500
 ERROR_STACK_LENGTH = 8000
-JOB_MESSAGE_LENGTH = 2000
 
 # --- Fixed values: plan ceilings (files, MB per file, MB in total) -------------
 PLAN_LIMITS = {
@@ -129,7 +121,6 @@ PAGE_SELECTION_PATTERN = r"^\s*\d+(\s*-\s*\d+)?(\s*,\s*\d+(\s*-\s*\d+)?)*\s*$"
 PAGE_RANGE_PATTERN = r"^\d+(-\d+)?(,\d+(-\d+)?)*$"
 COLOR_PATTERN = r"^#[0-9a-fA-F]{6}$"
 AREA_MODES = ("black", "white", "color", "blur", "pixelate")
-SCRUBBED_OPTIONS = ("user_password", "owner_password", "password")
 
 # --- Fixed values: repeated-mark thresholds -------------------------------------
 OPAQUE = 0.999

@@ -3,9 +3,9 @@
 from __future__ import annotations
 
 import difflib
-import json
 import re
 import unicodedata
+from itertools import islice
 
 import pandas as pd
 from pyspark.sql import functions as F
@@ -14,6 +14,9 @@ from pyspark.sql import types as T
 from ..constants import DIFF_LINES, UNCHANGED_RATIO
 from .text import SPACE
 
+# A changed line of a diff; one that starts with three marks counts as a heading.
+CHANGE = re.compile(r"\+(?!\+\+)|-(?!--)")
+
 
 @F.pandas_udf(T.StringType())
 def nfkc(text: pd.Series) -> pd.Series:
@@ -48,8 +51,7 @@ def differs(left: pd.Series, right: pd.Series) -> pd.Series:
 
 def _diff_lines(left: str, right: str) -> list[str]:
     lines = difflib.unified_diff(left.splitlines(), right.splitlines(), lineterm="", n=0)
-    changes = [line for line in lines if line[:1] in ("+", "-")]
-    return [line for line in changes if not line.startswith(("+++", "---"))][: DIFF_LINES]
+    return list(islice(filter(CHANGE.match, lines), DIFF_LINES))
 
 
 @F.pandas_udf(T.ArrayType(T.StringType()))
@@ -85,22 +87,12 @@ def remove_terms(text: pd.Series, terms: pd.Series) -> pd.Series:
     return pd.Series([None if t is None else _redact(t, w) for t, w in pairs], dtype="object")
 
 
-def _overlay(base, override):
-    if not (isinstance(base, dict) and isinstance(override, dict)):
-        return override
-    merged = dict(base)
-    for key, value in override.items():
-        merged[key] = _overlay(base[key], value) if key in base else value
-    return merged
-
+def _hits(text: str, term: str) -> int:
+    return sum(1 for _ in re.finditer(term_pattern(term), text, re.IGNORECASE))
 
-@F.pandas_udf(T.StringType())
-def overlay_json(base: pd.Series, override: pd.Series) -> pd.Series:
-    """One JSON object laid over another; a missing side leaves the other alone."""
 
-    def merge(below, above):
-        if below is None or above is None:
-            return above if below is None else below
-        return json.dumps(_overlay(json.loads(below), json.loads(above)), ensure_ascii=False)
-
-    return pd.Series([merge(b, o) for b, o in zip(base, override, strict=True)], dtype="object")
+@F.pandas_udf(T.ArrayType(T.LongType()))
+def count_terms(text: pd.Series, terms: pd.Series) -> pd.Series:
+    """Occurrences of each term, found as ``remove_terms`` finds them; no text has none."""
+    pairs = zip(text, terms, strict=True)
+    return pd.Series([[_hits(t or "", term) for term in w] for t, w in pairs], dtype="object")

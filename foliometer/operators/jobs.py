@@ -6,7 +6,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.measures import plan_limits
-from ..session import cut_lineage
 from .prefix import running_total
 
 FILES_PER_ROW = 1000
@@ -66,41 +65,40 @@ def _named_links(job_files: DataFrame, files: DataFrame) -> DataFrame:
     return job_files.join(names, "file_id", "left")
 
 
+def naming_files(job_files: DataFrame) -> DataFrame:
+    """The file that names each job: its first input, else its first linked file."""
+    place = F.struct(F.col("role") != "input", "position", "file_id")
+    return job_files.groupBy("job_id").agg(F.min_by("file_id", place).alias("file_id"))
+
+
 def display_names(job_files: DataFrame, files: DataFrame) -> DataFrame:
-    """Name of a job: its first input, else its first linked file.
+    """Name of a job (see ``naming_files``).
 
-    A link whose file is gone still takes its place and then yields no name.
+    A link whose file is gone still takes its place and then yields no name. Names are
+    looked up for one file per job, not for every link.
     """
-    place = F.struct(F.col("role") != "input", "position", "file_id")
-    first = job_files.groupBy("job_id").agg(F.min_by("file_id", place).alias("file_id"))
-    # Names are looked up for one file per job, not for every link.
+    return names_of(naming_files(job_files), files)
+
+
+def names_of(naming: DataFrame, files: DataFrame) -> DataFrame:
+    """(job_id, file_name) from the file that names each job."""
     names = files.select(F.col("id").alias("file_id"), F.col("original_name").alias("file_name"))
-    return first.join(names, "file_id", "left").select("job_id", "file_name")
+    return naming.join(names, "file_id", "left").select("job_id", "file_name")
 
 
 def nested_files(job_files: DataFrame, files: DataFrame, per_row: int = FILES_PER_ROW) -> DataFrame:
     """Files of each job as arrays in position order, inputs and outputs apart.
 
-    A job with up to ``per_row`` files of a role has one row (``part`` 0). A larger
-    one is cut into further parts, so that no row and no task holds an unbounded list.
+    A row holds up to ``per_row`` files, ``part`` 0 the first ones of the job and role, so
+    that no row and no task holds an unbounded list.
     """
     keys = ["job_id", "role"]
     item = F.struct("position", "file_id", "original_name")
-
-    def nested(links: DataFrame, part) -> DataFrame:
-        files_of = F.array_sort(F.collect_list(item)).alias("files")
-        return links.withColumn("part", part).groupBy(*keys, "part").agg(files_of)
-
-    links = _named_links(job_files, files)
-    whole = F.lit(0).cast("long")
-    sizes = job_files.groupBy(*keys).agg(F.count("*").alias("n"))
-    large_keys = cut_lineage(sizes.filter(F.col("n") > per_row).select(*keys))
-    if large_keys.isEmpty():
-        return nested(links, whole)
-    large = links.join(large_keys, keys, "left_semi")
-    placed = running_total(large, keys, ["position", "file_id"], F.lit(1), "rank")
-    parts = nested(placed, F.floor((F.col("rank") - 1) / per_row))
-    return nested(links.join(large_keys, keys, "left_anti"), whole).unionByName(parts)
+    links = job_files.select(*keys, "position", "file_id")
+    ranked = running_total(links, keys, ["position", "file_id"], F.lit(1), "rank")
+    part = F.floor((F.col("rank") - 1) / per_row).alias("part")
+    files_of = F.array_sort(F.collect_list(item)).alias("files")
+    return _named_links(ranked, files).groupBy(*keys, part).agg(files_of)
 
 
 def run_summary(job_files: DataFrame, files: DataFrame) -> DataFrame:

@@ -13,10 +13,12 @@ from ..functions.filters import has_attachment, optional_equals, search, timesta
 from ..functions.measures import enum_rank
 from ..session import cut_lineage
 from .dashboard import page_counts, rows_per_user
-from .jobs import display_names, latest_tool_of_file, with_subscriber, with_user_email
+from .jobs import latest_tool_of_file, names_of, naming_files, with_subscriber, with_user_email
 
 DEFAULT_SIZE = 20
 MAX_SIZE = 100
+# Job ids that may be broadcast to filter the table of jobs: a few megabytes.
+BROADCAST_LINKS = 100_000
 
 
 @dataclass(frozen=True)
@@ -188,8 +190,13 @@ def list_subscriptions(subscriptions, users, q=None, sort=None, page=1, size=DEF
 def list_files(files, users, job_files, jobs, q=None, sort=None, page=1, size=DEFAULT_SIZE, **v):
     """Files with owner and latest tool, looked up for one page only."""
     top = cut_lineage(_top_first(files, "files", sort, page, size, q, **v))
-    links = _of_page(job_files, "file_id", top, "id")
-    tools = latest_tool_of_file(links, jobs).withColumnRenamed("file_id", "id")
+    links = cut_lineage(_of_page(job_files.select("job_id", "file_id"), "file_id", top, "id"))
+    # Files of a page may belong to any number of jobs, so their ids are counted before
+    # they are sent to every task.
+    linked = links.select(F.col("job_id").alias("id"))
+    few = links.count() <= BROADCAST_LINKS
+    touched = jobs.join(F.broadcast(linked) if few else linked, "id", "left_semi")
+    tools = latest_tool_of_file(links, touched).withColumnRenamed("file_id", "id")
     owners = _of_page(users, "id", top, "user_id")
     rows = with_user_email(top, owners, "owner_email").join(tools, "id", "left")
     return rows.orderBy(*sort_columns(LISTINGS["files"], sort))
@@ -199,7 +206,9 @@ def list_jobs(jobs, users, job_files, files, q=None, sort=None, page=1, size=DEF
     """Jobs with user and file name, looked up for one page only."""
     top = cut_lineage(_top_first(jobs, "jobs", sort, page, size, q, **v))
     links = _of_page(job_files, "job_id", top, "id")
-    names = display_names(links, files).withColumnRenamed("job_id", "id")
+    naming = cut_lineage(naming_files(links))
+    named = _of_page(files, "id", naming, "file_id")
+    names = names_of(naming, named).withColumnRenamed("job_id", "id")
     rows = with_user_email(top, _of_page(users, "id", top, "user_id")).join(names, "id", "left")
     return rows.orderBy(*sort_columns(LISTINGS["jobs"], sort))
 

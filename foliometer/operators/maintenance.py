@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .. import constants as C
 from ..functions.filters import expired_file, expired_job, timestamp
 from ..functions.text import normal_email, strip
-from ..functions.udfs import overlay_json
 from .skew import attach
 
 
@@ -65,7 +64,7 @@ def bulk_users(users: DataFrame, ids: DataFrame, action: str) -> DataFrame:
     if action == "delete":
         return users.join(ids.select("id"), "id", "left_anti").withColumn("changed", F.lit(False))
     if action not in ("suspend", "activate"):
-        raise ValueError(f"Unknown bulk action: {action}")
+        raise ValueError(f"action must be delete, suspend or activate, not {action!r}")
     target = "suspended" if action == "suspend" else "active"
     joined = users.join(_listed(ids, "id"), "id", "left")
     changed = F.col("__listed").isNotNull() & (F.col("status") != target)
@@ -76,16 +75,13 @@ def bulk_users(users: DataFrame, ids: DataFrame, action: str) -> DataFrame:
     )
 
 
-def patch(df: DataFrame, patches: DataFrame, key: str, order: str | None = None) -> DataFrame:
+def patch(df: DataFrame, patches: DataFrame, key: str, order: str) -> DataFrame:
     """M4: non-null fields of a patch overwrite; later patches (``order``) win per field."""
     fields = [name for name in patches.columns if name not in (key, order)]
-    if order:
-        latest = [
-            F.max_by(name, F.when(F.col(name).isNotNull(), F.col(order))).alias(f"__{name}")
-            for name in fields
-        ]
-    else:
-        latest = [F.max(name).alias(f"__{name}") for name in fields]
+    latest = [
+        F.max_by(name, F.when(F.col(name).isNotNull(), F.col(order))).alias(f"__{name}")
+        for name in fields
+    ]
     changes = patches.groupBy(key).agg(*latest)
     joined = df.join(changes, key, "left")
     return joined.select(
@@ -163,12 +159,38 @@ def register_users(candidates: DataFrame, users: DataFrame) -> DataFrame:
     return first.join(taken, "email", "left_anti").select("u.*")
 
 
-def overlay_settings(base: DataFrame, overrides: DataFrame) -> DataFrame:
+def _members(value: Column) -> Column:
+    """Members of a JSON object by name; NULL for any other value."""
+    return F.try_variant_get(value, "$", "map<string,variant>")
+
+
+def _laid_over(below: Column, above: Column, depth: int) -> Column:
+    if not depth:
+        return F.raise_error(F.lit("settings are nested too deeply")).cast("variant")
+    both = F.map_zip_with(
+        _members(below),
+        _members(above),
+        lambda _, x, y: F.when(y.isNull(), x).when(x.isNull(), y).otherwise(
+            _laid_over(x, y, depth - 1)),
+    )
+    return F.when(both.isNull(), above).otherwise(F.to_variant_object(both))
+
+
+def overlay_settings(
+    base: DataFrame, overrides: DataFrame, depth: int = C.SETTINGS_DEPTH
+) -> DataFrame:
     """Settings per key with overrides laid over them: objects are merged,
-    lists and scalars replaced."""
+    lists and scalars replaced.
+
+    Merged objects list their members by name. Objects that share names over more than
+    ``depth`` levels are an error. A key without an override, or only there, keeps its text.
+    """
     above = overrides.select("key", F.col("value").alias("__above"))
     joined = base.select("key", "value").join(above, "key", "full")
-    return joined.select("key", overlay_json("value", "__above").alias("value"))
+    merged = F.to_json(_laid_over(F.parse_json("value"), F.parse_json("__above"), depth))
+    one_side = F.col("value").isNull() | F.col("__above").isNull()
+    value = F.when(one_side, F.coalesce("value", "__above")).otherwise(merged)
+    return joined.select("key", value.alias("value"))
 
 
 def mark_read(messages: DataFrame, ids: DataFrame, read: bool = True) -> DataFrame:

@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .. import constants as C
-from ..functions.text import SPACE, strip
-from ..functions.udfs import remove_terms
+from ..functions.text import strip
+from ..functions.udfs import count_terms, remove_terms
 from .documents import document_lengths
 from .options import MAX_TERMS
 from .skew import attach
@@ -31,31 +31,21 @@ def term_lists(terms: DataFrame) -> DataFrame:
     return sizes.join(lists, "doc_id", "left")
 
 
-def term_regex(term: Column) -> Column:
-    """Pattern of a term: letter case ignored, any white space matches any other."""
-    quoted = F.transform(
-        F.split(term, f"[{SPACE}]+"),
-        lambda word: F.concat(
-            F.lit(r"\Q"), F.replace(word, F.lit(r"\E"), F.lit(r"\E\\E\Q")), F.lit(r"\E")
-        ),
-    )
-    return F.concat(F.lit("(?iuU)"), F.array_join(quoted, f"[{SPACE}]+"))
-
-
 def term_hits(pages: DataFrame, terms: DataFrame) -> DataFrame:
     """Occurrences of each term per document, counted on the original text.
 
     A page carries the short list of its document's terms; the text itself is never
-    multiplied.
+    multiplied. Terms are counted by the function that also removes them: were there two
+    definitions of a match, a document could pass for clean that is not.
     """
     lists = term_lists(terms).filter(F.col("terms").isNotNull()).select("doc_id", "terms")
-    counted = F.transform(
-        "terms", lambda t: F.struct(
-            t.alias("term"), F.regexp_count(F.col("text"), term_regex(t)).alias("n"))
-    )
+    counted = F.zip_with(
+        "terms", "counts", lambda term, n: F.struct(term.alias("term"), n.alias("n"))
+    )
     texts = pages.select("doc_id", "page_no", "text")
     found = (
         attach(texts, lists, ["doc_id"], ["page_no"], how="inner")
+        .select("doc_id", "terms", count_terms("text", "terms").alias("counts"))
         .select("doc_id", F.explode(counted).alias("h"))
         .groupBy("doc_id", F.col("h.term").alias("term"))
         .agg(F.sum("h.n").alias("hits"))
@@ -132,7 +122,7 @@ def check_areas(areas: DataFrame, pages: DataFrame) -> DataFrame:
 
 def areas_per_page(checked: DataFrame) -> DataFrame:
     """Valid areas per page; a document with a faulty area has none."""
-    faulty = checked.filter(F.col("error").isNotNull()).select("doc_id").distinct()
+    faulty = checked.filter(F.col("error").isNotNull()).select("doc_id")
     return (
         checked.join(faulty, "doc_id", "left_anti")
         .groupBy("doc_id", "page_no")
@@ -146,7 +136,7 @@ def remove_in_areas(spans: DataFrame, checked: DataFrame) -> DataFrame:
     ``spans`` carry ``x0, y0, x1, y1``. The equality part of the join is the page; a
     page has at most 200 areas. Documents with a faulty area are left out entirely.
     """
-    faulty = checked.filter(F.col("error").isNotNull()).select("doc_id").distinct()
+    faulty = checked.filter(F.col("error").isNotNull()).select("doc_id")
     areas = checked.filter(F.col("error").isNull()).select(
         "doc_id", "page_no", *[F.col(name).alias(f"a_{name}") for name in ("x0", "y0", "x1", "y1")]
     )

@@ -341,10 +341,12 @@ def _session_source(t):
     "J13_nested_files",
     "job_id:i role:s part:i files:s",
     "job_files stored_files",
-    """SELECT job_id, role, 0 AS part, string_agg(concat(position, ':', file_id, ':',
+    """SELECT job_id, role, (n - 1) // 1000 AS part, string_agg(concat(position, ':', file_id, ':',
     original_name), ',' ORDER BY position, file_id) AS files FROM (
-      SELECT l.*, f.original_name FROM job_files l LEFT JOIN stored_files f ON l.file_id = f.id)
-    GROUP BY job_id, role""",
+      SELECT l.*, f.original_name, row_number() OVER (
+        PARTITION BY job_id, role ORDER BY position, file_id) AS n
+      FROM job_files l LEFT JOIN stored_files f ON l.file_id = f.id)
+    GROUP BY job_id, role, part""",
 )
 def _nested(t):
     nested = jobs.nested_files(t.job_files, t.stored_files)

@@ -12,22 +12,36 @@ from ..functions.filters import timestamp
 LARGEST_FILE = max(per_file for _, per_file, _ in C.PLAN_LIMITS.values()) * C.MEGABYTE
 
 
-def read_binary(spark: SparkSession, path: str, pattern: str | None = None) -> DataFrame:
-    """Files under ``path`` as rows; files over the largest plan limit are not loaded.
+def read_binary(
+    spark: SparkSession, path: str, pattern: str | None = None, largest: int = LARGEST_FILE
+) -> DataFrame:
+    """Files under ``path`` as rows; larger ones come without content, as ``file_too_large``.
 
-    The length filter is pushed into the listing, so larger files are never opened.
+    The length filters are pushed into the listing, so larger files are never opened.
     Spark's file sources pass over empty files.
     """
     reader = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
     if pattern:
         reader = reader.option("pathGlobFilter", pattern)
-    return reader.load(path).filter(F.col("length") <= LARGEST_FILE)
+    found = reader.load(path)
+    read = found.filter(F.col("length") <= largest).withColumn("error", F.lit(None).cast("string"))
+    listed = found.filter(F.col("length") > largest).drop("content")
+    refused = listed.withColumns(
+        {"content": F.lit(None).cast("binary"), "error": F.lit("file_too_large")}
+    )
+    return read.unionByName(refused)
 
 
 def manifest(files: DataFrame, content: str = "content") -> DataFrame:
-    """S3: checksum and size of each file instead of its content."""
+    """S3: checksum and size of each file instead of its content.
+
+    A file that was not read has no checksum, and the ``length`` of its listing as its size.
+    """
+    size = F.octet_length(content).cast("long")
+    if "length" in files.columns:
+        size = F.coalesce(size, "length")
     return files.withColumns(
-        {"checksum_sha256": F.sha2(content, 256), "size_bytes": F.octet_length(content).cast("long")}
+        {"checksum_sha256": F.sha2(content, 256), "size_bytes": size}
     ).drop(content)
 
 

@@ -66,21 +66,25 @@ def trend_stream(
 ) -> DataFrame:
     """Distinct visitors per day, week, month or year, kept up to date.
 
-    The exact form keeps one state row per (bucket, visitor) and counts these when the
-    result is read. ``approx`` keeps a sketch per bucket instead.
+    State is kept per day: one row per visitor, or with ``approx`` one sketch. Days that
+    the watermark has passed leave the state, and visits later than that are not counted.
+    Days are put together into buckets when the result is read.
     """
-    bucket = trend_bucket("created_at", group_by)
+    days = F.window("created_at", "1 day")
     timed = visits.withWatermark("created_at", delay)
+    bucket = trend_bucket("day", group_by).alias("bucket")
     if approx:
-        counted = timed.groupBy(bucket.alias("bucket")).agg(
-            F.approx_count_distinct("visitor_id").alias("v")
+        sketches = timed.groupBy(days).agg(F.hll_sketch_agg("visitor_id").alias("sketch"))
+        daily = drain_updates(
+            sketches.select(F.col("window.start").alias("day"), "sketch"), ["day"], "trend"
         )
-        return drain_updates(counted, ["bucket"], "trend")
-    keys = ["bucket", "visitor_id"]
-    pairs = timed.groupBy(bucket.alias("bucket"), "visitor_id").agg(F.count("*").alias("views"))
-    return (
-        drain_updates(pairs, keys, "trend")
-        .filter(F.col("visitor_id").isNotNull())
-        .groupBy("bucket")
-        .agg(F.count("*").alias("v"))
+        estimate = F.hll_sketch_estimate(F.hll_union_agg("sketch"))
+        return daily.groupBy(bucket).agg(estimate.alias("v"))
+    pairs = timed.groupBy(days, "visitor_id").agg(F.count("*").alias("views"))
+    daily = drain_updates(
+        pairs.select(F.col("window.start").alias("day"), "visitor_id", "views"),
+        ["day", "visitor_id"],
+        "trend",
     )
+    seen = daily.filter(F.col("visitor_id").isNotNull()).select(bucket, "visitor_id").distinct()
+    return seen.groupBy("bucket").agg(F.count("*").alias("v"))

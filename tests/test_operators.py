@@ -353,7 +353,7 @@ def test_bulk_users(frame):
     suspended = rows_of(maintenance.bulk_users(users, ids, "suspend"))
     assert suspended == [("1", "suspended", True), ("2", "suspended", False), ("3", "active", False)]
     assert rows_of(maintenance.bulk_users(users, ids, "delete"), "id") == [("3",)]
-    with pytest.raises(ValueError, match="Unknown bulk action"):
+    with pytest.raises(ValueError, match="delete, suspend or activate"):
         maintenance.bulk_users(users, ids, "promote")
 
 
@@ -396,6 +396,9 @@ def test_settings_overlay(frame):
     assert merged({"a": {"b": 1}}, {"a": {}}) == {"a": {"b": 1}}
     assert merged({"a": {"b": 1}}, {"a": None}) == {"a": None}
     assert merged({"a": 1}, {"a": {"b": {}}}) == {"a": {"b": {}}}
+    assert merged({"a": {"b": 1}}, {"a": "{}"}) == {"a": "{}"}
+    assert merged({"a": {"b": {"c": [{"d": 1}]}}}, {"a": {"b": {"c": [], "e": None}}}) == {
+        "a": {"b": {"c": [], "e": None}}}
 
 
 def test_overlay_of_missing_sides(frame):

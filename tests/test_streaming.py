@@ -74,6 +74,18 @@ def test_trend_stream(frame, stream_of):
         .agg(F.countDistinct("visitor_id").alias("v"))
     )
     assert rows_of(visits.trend_stream(stream)) == expected
+    assert rows_of(visits.trend_stream(stream, approx=True)) == expected
+
+
+def test_trend_stream_leaves_out_visits_behind_the_watermark(spark):
+    folder = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+    schema = "visitor_id string, created_at timestamp"
+    moments = [("a", T0), ("b", T0 + timedelta(days=3)), ("c", T0 + timedelta(days=4)), ("late", T0)]
+    for row in moments:
+        spark.createDataFrame([row], schema).coalesce(1).write.mode("append").parquet(folder)
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(folder)
+    got = dict(rows_of(visits.trend_stream(stream, "monthly")))
+    assert got == {T0: 3}
 
 
 def test_limit_stream(frame, stream_of):
@@ -153,6 +165,10 @@ def test_binary_manifest(spark):
         "b.bin": (2, hashlib.sha256(b"de").hexdigest()),
     }
     assert files.scratch_entries(spark, str(folder)).count() == 2
+    limited = files.manifest(files.read_binary(spark, str(folder), largest=2))
+    assert rows_of(limited.filter("error IS NOT NULL"), "size_bytes", "checksum_sha256", "error") == [
+        (3, None, "file_too_large")]
+    assert limited.filter("error IS NULL").count() == 1
 
 
 def test_layout_by_day(spark, frame):
