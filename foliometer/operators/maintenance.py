@@ -173,7 +173,8 @@ def _laid_over(below: Column, above: Column, depth: int) -> Column:
         lambda _, x, y: F.when(y.isNull(), x).when(x.isNull(), y).otherwise(
             _laid_over(x, y, depth - 1)),
     )
-    return F.when(both.isNull(), above).otherwise(F.to_variant_object(both))
+    # ``both`` is named once: twice would double the expression on every level.
+    return F.coalesce(F.to_variant_object(both), above)
 
 
 def overlay_settings(
