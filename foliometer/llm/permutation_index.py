@@ -4,7 +4,9 @@ Pivots are a bounded sample of the vectors. A vector is represented by its neare
 in order. The index posts it under each of them, with the place the pivot has; a query
 collects the postings of its own nearest pivots, ranks what it finds by footrule distance
 (how far the pivots' places are apart; a missing pivot stands behind the last place), and
-compares the best ranked by exact inner product.
+compares the best ranked by exact inner product. How many are compared is measured: every
+shard looks up the true neighbours of some of its own vectors and sees how far down the
+ranking they stand.
 """
 
 from __future__ import annotations
@@ -17,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import stored, without_clashes
+from .common import mixed, stored, without_clashes
 
 
 @dataclass(frozen=True)
@@ -25,16 +27,19 @@ class Settings:
     """Parameters of index and search.
 
     ``pivots`` bounds the sample: that many vectors, whatever the size of the table. ``near``
-    is how many of them represent a vector. The best ``rerank`` of each shard's vectors by
-    footrule distance, as a share, but not fewer than ``least``, are compared exactly;
-    measured recall is in the README. Shards hold about ``shard_rows`` vectors and query blocks
-    ``block_rows`` queries.
+    is how many of them represent a vector. The best of each shard's vectors by footrule
+    distance are compared exactly: so many that they hold the share ``recall`` of the true
+    neighbours of ``probes`` of the shard's vectors, not fewer than the share ``rerank`` of
+    the shard, and not fewer than ``least``. Measured recall is in the README. Shards hold
+    about ``shard_rows`` vectors and query blocks ``block_rows`` queries.
     """
 
     pivots: int = 256
-    near: int = 24
+    near: int = 128
     rerank: float = 0.05
     least: int = 400
+    recall: float = 0.97
+    probes: int = 128
     shard_rows: int = 32_768
     block_rows: int = 4096
     neighbours: int = 20
@@ -119,6 +124,18 @@ class Shard:
             return np.arange(len(distance))
         return np.flatnonzero(distance <= np.partition(distance, count - 1)[count - 1])
 
+    def enough(self, places: np.ndarray, probes: np.ndarray, settings: Settings) -> int:
+        """How many of the first ranked hold ``settings.recall`` of the probes' true neighbours."""
+        few = min(settings.neighbours, len(self.vectors) - 1)
+        ranks = []
+        for probe in probes:
+            scores = self.vectors @ self.vectors[probe]
+            scores[probe] = -np.inf
+            distance = self.footrule(places[probe])
+            true = np.argpartition(-scores, few - 1)[:few]
+            ranks.append(np.searchsorted(np.sort(distance), distance[true], "right"))
+        return int(np.quantile(np.concatenate(ranks), settings.recall, method="higher"))
+
 
 def search(rows: DataFrame, settings: Settings = Settings()) -> DataFrame:  # noqa: B008
     """(query_id, rank, vec_id, score): for each query the nearest vectors found.
@@ -156,8 +173,14 @@ def search(rows: DataFrame, settings: Settings = Settings()) -> DataFrame:  # no
                 return
             ids = table.column("ids").filter(pa.array(~asked)).to_pylist()
             names = table.column("query_id").filter(pa.array(asked)).to_pylist()
-            shard = Shard(base, nearest_pivots(base, pivots, settings.near), len(pivots))
+            places = nearest_pivots(base, pivots, settings.near)
+            shard = Shard(base, places, len(pivots))
             count = max(settings.least, int(np.ceil(settings.rerank * len(base))))
+            if count < len(base):
+                # By the ids, not by the order in which rows arrive.
+                lots = mixed(np.array([one[0] for one in ids], np.int64).view(np.uint64))
+                probes = np.argsort(lots, kind="stable")[: settings.probes]
+                count = max(count, shard.enough(places, probes, settings))
             out: list[list] = [[], [], []]
             for name, vector, near in zip(names, wanted, nearest_pivots(wanted, pivots, settings.near), strict=True):
                 chosen = shard.best(near, count)

@@ -278,6 +278,22 @@ def test_neighbours(spark):
     assert hits >= 0.9 * 20 * len(asked)
 
 
+def test_neighbours_of_shards_far_above_the_floor(spark):
+    rng = np.random.default_rng(2)
+    every = rng.normal(size=(4000, 48))
+    every /= np.linalg.norm(every, axis=1, keepdims=True)
+    df = prepare(spark).createDataFrame([(i, v.tolist()) for i, v in enumerate(every)], "vec_id long, embedding array<double>")
+    got = defaultdict(set)
+    for r in permutation_index.search(df, permutation_index.Settings(least=40, shard_rows=2000)).collect():
+        got[r.query_id].add(r.vec_id)
+    hits = 0
+    for q in range(0, 4000, 20):
+        scores = every @ every[q]
+        scores[q] = -np.inf
+        hits += len(got[q] & set(np.argsort(-scores)[:20].tolist()))
+    assert hits >= 0.9 * 20 * 200
+
+
 def test_empty_tables(spark):
     none = prepare(spark).createDataFrame([], DOCS)
     for run in (suffixes.repeated_bytes, near_docs.near_documents, near_lines.dedup_lines, quality.quality,
