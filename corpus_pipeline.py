@@ -21,7 +21,7 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without lines of which a near-equal one comes earlier."""
     prepare(spark)
-    return near_lines.kept_lines(docs)
+    return near_lines.kept_lines(docs, near_lines.EVERY_LINE)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -34,8 +34,8 @@ class Settings:
     """Parameters of the search.
 
     A pair at the threshold 0.75 is missed by all bands with a probability of 5e-4, one at
-    0.8 with 3e-5. Lines of fewer characters than a shingle are one shingle; such lines are
-    removed only as exact copies. Lines shorter than ``least_chars`` are always kept.
+    0.8 with 3e-5. Lines of fewer characters than a shingle are removed only as exact copies.
+    Lines shorter than ``least_chars`` are always kept.
     """
 
     shingle: int = 8
@@ -45,6 +45,10 @@ class Settings:
     least_chars: int = 20
 
 
+# Every line that is not blank takes part.
+EVERY_LINE = Settings(least_chars=1)
+
+
 def plain(line: str) -> str:
     """A line as it is compared."""
     return line.strip(BLANK).translate(LOWER)
@@ -234,7 +238,7 @@ def dedup_lines(docs: DataFrame, settings: Settings = Settings(), keep: tuple[st
     """(doc_id, n_lines, n_removed, text, ``keep``): documents without the lines removed.
 
     Lines are cut at line feeds and their text is left as it was. A null text stays null and
-    has no lines; an empty one has one line. Blank and very short lines stay. Where several
+    has no lines; an empty one has one line. Blank lines and those under ``least_chars`` stay. Where several
     rows share a doc_id their lines are told apart; null ids come last in the order that
     decides which line stays. ``docs`` must be read from files or stored, so that its rows
     come in the same order each time.

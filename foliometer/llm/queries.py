@@ -65,7 +65,7 @@ def op8_best_two_fit(spark: SparkSession, folder: str) -> DataFrame:
 
 def op9_fuzzy_lines(spark: SparkSession, folder: str) -> DataFrame:
     """Lines and removed lines of every document, and a digest of the text that stays."""
-    rows = near_lines.dedup_lines(table(spark, folder, "documents"))
+    rows = near_lines.dedup_lines(table(spark, folder, "documents"), near_lines.EVERY_LINE)
     digest = F.sha2(F.coalesce("text", F.lit("")), 256)
     return rows.select("doc_id", "n_lines", "n_removed", digest.alias("kept_sha256"))
 

@@ -8,6 +8,7 @@ import re
 import zlib
 from collections import Counter, defaultdict
 
+import corpus_pipeline
 import duckdb
 import numpy as np
 import pytest
@@ -130,6 +131,35 @@ def test_fuzzy_lines(docs, rows):
     assert near_lines.kept_lines(docs).columns == docs.columns
 
 
+def test_short_lines_take_part(spark, tmp_path):
+    rng = random.Random(3)
+    lines = ["Menu", "ok", "é", "Read more here", "read more hers", "x" * 8, "x" * 9, *(words_text(rng, n) for n in (1, 2, 3, 9))]
+    texts = ["\n".join([f" {rng.choice(lines)}\t", "", *rng.choices(lines, k=4), f"own {i}"]) for i in range(30)]
+    prepare(spark).createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    said = [[near_lines.plain(x) for x in t.split("\n")] for t in texts]
+    known = sorted({x for own in said for x in own if x})
+    grams = {x: {x[i : i + 8] for i in range(len(x) - 7)} or {x} for x in known}
+    label = {x: x for x in known}
+    for i, a in enumerate(known):
+        for b in known[:i]:
+            if label[a] != label[b] and 100 * len(grams[a] & grams[b]) >= 75 * len(grams[a] | grams[b]):
+                label = {k: label[b] if v == label[a] else v for k, v in label.items()}
+    seen, kept = set(), []
+    for own, text in zip(said, texts, strict=True):
+        stay = []
+        for x, line in zip(own, text.split("\n"), strict=True):
+            if not x or label[x] not in seen:
+                stay.append(line)
+            seen.add(label.get(x))
+        kept.append("\n".join(stay))
+    got = {r.doc_id: r for r in queries.op9_fuzzy_lines(spark, str(tmp_path)).collect()}
+    for i, text in enumerate(kept):
+        assert got[i].kept_sha256 == hashlib.sha256(text.encode()).hexdigest()
+        assert got[i].n_removed == len(said[i]) - len(text.split("\n"))
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    assert found(corpus_pipeline.line_dedup(spark, docs, "")) == sorted(enumerate(kept), key=repr)
+
+
 def test_quality(docs, rows):
     want = []
     for row in rows:
