@@ -39,7 +39,9 @@ class Settings:
 
     A pair at the threshold 0.75 is missed by all bands with a probability of 3.5e-6, one at
     0.8 with 6e-9. ``slack`` is by how much an estimate may fall below the threshold before
-    its pair is ruled out; 0.2 is six standard deviations.
+    its pair is ruled out; 0.2 is six standard deviations. Sets of fewer than ``few``
+    shingles have no estimate, because the low bits of their minima agree by less than chance
+    for some pairs; they are compared in full.
     """
 
     shingle: int = 5
@@ -48,6 +50,7 @@ class Settings:
     rows: int = 6
     minima: int = 256
     slack: float = 0.2
+    few: int = 32
 
 
 PACKED = 8  # longs of a signature: 256 minima of 2 bits
@@ -123,7 +126,7 @@ def band_rows(docs: DataFrame, settings: Settings) -> DataFrame:
 
 
 def full_sets(docs: DataFrame, settings: Settings) -> DataFrame:
-    """(node, shingles, signature) of documents, one row per node."""
+    """(node, shingles, signature) of documents, one row per node; small sets have no signature."""
 
     def start():
         known, factors = word_hashes(), multipliers(settings.minima)
@@ -148,9 +151,8 @@ def full_sets(docs: DataFrame, settings: Settings) -> DataFrame:
 
     schema = "node long, shingles array<long>, signature array<long>"
     rows = map_batches(without_clashes(docs, "text"), start, schema)
-    return rows.groupBy("node").agg(
-        F.first("shingles").alias("shingles"), F.first("signature").alias("signature")
-    )
+    signature = F.when(F.size(F.first("shingles")) >= settings.few, F.first("signature"))
+    return rows.groupBy("node").agg(F.first("shingles").alias("shingles"), signature.alias("signature"))
 
 
 def estimate(one: str, two: str, bits: int = 2) -> Column:
@@ -192,7 +194,7 @@ def document_groups(docs: DataFrame, settings: Settings) -> tuple[DataFrame, Dat
 
     def confirm(pairs):
         close = estimate("signature_a", "signature_b") >= settings.percent / 100 - settings.slack
-        likely = with_both(pairs, "signature").filter(close).select("a", "b")
+        likely = with_both(pairs, "signature").filter(F.coalesce(close, F.lit(True))).select("a", "b")
         both = with_both(likely, "shingles")
         shared = F.size(F.array_intersect("shingles_a", "shingles_b"))
         union = F.size("shingles_a") + F.size("shingles_b") - shared

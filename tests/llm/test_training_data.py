@@ -112,6 +112,23 @@ def test_near_documents(docs, rows):
     assert kept.count() == len({g for g, s in zip(label, sets, strict=True) if s}) + sum(not s for s in sets)
 
 
+def test_estimates_do_not_lose_small_documents(spark):
+    factors, known = near_docs.multipliers(256), near_docs.word_hashes()
+    lost = []
+    for at in range(40_000):
+        words = [f"w{at}x{i}" for i in range(8)]
+        pair = [" ".join(words[:n]) for n in (7, 8)]
+        one, two = (near_docs.minima_of(near_docs.word_shingles(t.encode(), known, 5), factors) & 3 for t in pair)
+        if ((one == two).mean() - 0.25) / 0.75 < 0.55:
+            lost.append(pair)
+            if len(lost) == 3:
+                break
+    assert lost
+    texts = [text for pair in lost for text in pair]
+    df = prepare(spark).createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert found(near_docs.near_documents(df), "doc_id", "component_id") == [(i, i // 2 * 2) for i in range(len(texts))]
+
+
 def test_fuzzy_lines(docs, rows):
     known = {near_lines.plain(x) for r in rows for x in (r[1] or "").split("\n")}
     known = sorted(x for x in known if len(x) >= 20)
