@@ -94,6 +94,8 @@ def heads_of(shard: Lists, parts: list[np.ndarray], at: int, name: int, count: i
 def above(shard: Lists, parts: list[np.ndarray], at: int, name: int, cutoff, best: int):
     """Phases two and three: (ids, whole scores) of the shard's best that reach the cutoff."""
     other = shard.ids != name
+    if cutoff == -LONG:  # held there, the true one may be less
+        cutoff = None
     if cutoff is None:
         places = np.flatnonzero(other)
     else:
@@ -105,7 +107,10 @@ def above(shard: Lists, parts: list[np.ndarray], at: int, name: int, cutoff, bes
     ids = shard.ids[places]
     if cutoff is not None:
         ids, scores = ids[scores >= cutoff], scores[scores >= cutoff]
-    order = np.lexsort((ids, -scores)) if scores.dtype != object else np.array(sorted(range(len(ids)), key=lambda i: (-scores[i], ids[i])), int)
+    if scores.dtype == object:
+        scores = np.array([max(-LONG, min(LONG - 1, score)) for score in scores], np.int64)
+    # Ascending order of the complement is descending order, without an overflow at the ends.
+    order = np.lexsort((ids, ~scores if scores.dtype == np.int64 else -scores))
     ids, scores = ids[order], scores[order]
     first = np.zeros(len(ids), bool)
     first[np.unique(ids, return_index=True)[1]] = True  # the best row of an id that repeats
@@ -174,7 +179,7 @@ def top_scores(rows: DataFrame, settings: Settings = Settings()) -> DataFrame:
     id or with components that are null or not finite take no part, vectors of zeros do. Rows
     that repeat count once; of several vectors under one id the best score counts. Further
     columns are not looked at, and an empty table gives no rows. Scores beyond 64 bits are held
-    at the ends of that range.
+    at the ends of that range and tie there.
     """
     kind = rows.schema["vec_id"].dataType
     vectors = integer_vectors(rows, settings.scale).withColumn("vec_id", F.col("vec_id").cast("long"))
