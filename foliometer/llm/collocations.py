@@ -4,18 +4,18 @@ Nodes are runs of four words and edges runs of five: an edge leads from its firs
 to its last four. Every word occurrence starts exactly one run, the longest one that its piece
 of text allows: an edge, or, near the end of the piece, a shorter run that no edge leaves. So
 the occurrences of a node are what flows out of it over its edges, plus those at a piece's end;
-the same holds one size down, where the runs of four words are the edges, and so on to the
-empty run, through which all words of a language flow.
-
-A run also ends before a word that occurs too rarely for any candidate. Such words are told by a
-table of counters of fixed size, so some pass for frequent; the counts of frequent runs are exact
-all the same, because every occurrence of one is in the flow of the run that starts there.
-
-Tasks count the runs of their own texts first and pass them on packed: a dictionary of words
-and columns of numbers, by hash of the run. A run of any frequency reaches a bucket as one row
-per packet. Each round sums the runs of one size, keeps the frequent ones, and passes the flow on
-to runs a word shorter. Only frequent runs are written out as text. Among them unary nodes, whose
-whole flow goes over one edge, are compacted into that edge.
+the same holds one size down, where the runs of four words are the edges, and so on.
+
+A run also ends before a word, or a pair of words, that occurs too rarely for any candidate.
+These are told by a table of counters of fixed size, so some pass for frequent; the counts of
+frequent runs are exact all the same, because every occurrence of one is in the flow of the
+run that starts there.
+
+A task builds the graph of its own texts, derives the flow of its nodes of every size, and passes
+both on packed, by hash of the run: a dictionary of words and columns of numbers. A run of
+any frequency reaches its bucket as one row per task, so no run makes a hot one. Buckets sum and
+write out what is frequent as text. There unary nodes, whose whole flow goes over one edge, are
+compacted into that edge.
 """
 
 from __future__ import annotations
@@ -40,6 +40,9 @@ BREAK = b"."
 SLICE_BYTES = 4 << 20
 PACKET_ROWS = 1 << 20
 MERGE_ROWS = 1 << 22
+MIN_BUCKETS = 16
+# Counters that one task sums at a time.
+PART = 1 << 20
 
 SCHEMA = "bucket int, lang string, size int, phrase string, n long, names array<string>, words binary, columns binary, counts binary, width int"
 
@@ -49,14 +52,15 @@ class Settings:
     """``longest`` words per run, ``least`` occurrences of a candidate, ``best`` rows per language.
 
     ``bucket_bytes`` is the text whose runs one bucket sums; memory of a task follows from it.
-    ``slots`` is the number of counters of words, a bit of each of which every task holds.
+    ``slots`` counters of words and pairs, a multiple of PART, bound what the driver receives and
+    every task holds: a bit for each, 32 MB.
     """
 
     longest: int = 5
     least: int = 100
     best: int = 2000
     bucket_bytes: int = 8 << 20
-    slots: int = 1 << 24
+    slots: int = 1 << 28
 
 
 class Numbers(dict):
@@ -74,10 +78,12 @@ class Numbers(dict):
     def of(self, words: list[bytes]) -> np.ndarray:
         return np.fromiter(map(self.__getitem__, words), np.int32, len(words))
 
-    def slots(self, lang: str, count: int) -> np.ndarray:
-        """The counter of each word in a language."""
+    def slots(self, lang: str, words: np.ndarray, count: int) -> tuple[np.ndarray, np.ndarray]:
+        """The counters of the words, and of the pairs that start at all but the last of them."""
         seed = mixed(np.array([xxhash.xxh3_64_intdigest(lang.encode())], np.uint64))
-        return (mixed(seed * STEP + np.array(self.hashes, np.uint64)) % np.uint64(count)).astype(np.int64)
+        alone = mixed(seed * STEP + np.array(self.hashes, np.uint64))[words]
+        pairs = mixed(alone[:-1] * STEP + alone[1:])
+        return alone % np.uint64(count), pairs % np.uint64(count)
 
 
 def token_slices(text: bytes) -> Iterator[tuple[list[bytes], bool]]:
@@ -94,12 +100,17 @@ def token_slices(text: bytes) -> Iterator[tuple[list[bytes], bool]]:
         at, tokens = end, tokens[-4:]
 
 
-def runs(words: np.ndarray, starts: int, longest: int) -> np.ndarray:
-    """(longest, occurrences): the words from each of the first ``starts`` places to the piece's end."""
+def runs(words: np.ndarray, joined: np.ndarray, starts: int, longest: int) -> np.ndarray:
+    """(longest, occurrences): the words from each of the first ``starts`` places to the run's end.
+
+    ``joined`` says of all words but the last whether a run may go on to the next one.
+    """
     padded = np.concatenate([words, np.zeros(longest, np.int32)])
+    joined = np.concatenate([joined, np.zeros(longest + 1, bool)])
     columns = [padded[:starts]]
     for shift in range(1, longest):
-        columns.append(np.where(columns[-1] == 0, 0, padded[shift : shift + starts]))
+        on = (columns[-1] != 0) & joined[shift - 1 : shift - 1 + starts]
+        columns.append(np.where(on, padded[shift : shift + starts], 0))
     return np.stack(columns)[:, columns[0] != 0]
 
 
@@ -139,8 +150,24 @@ class Packet:
         at = np.flatnonzero(new)
         return hashes[at], columns[:, at], np.add.reduceat(counts, at) if len(at) else counts
 
-    def rows_out(self, width: int, buckets: int) -> Iterator[tuple]:
-        """Rows of SCHEMA, one per bucket that runs of ``width`` words fall into."""
+    def with_nodes(self) -> Packet:
+        """The graph's edges and, from the flow, its nodes of every size, each once."""
+        out = Packet(self.width)
+        out.numbers, out.langs = self.numbers, self.langs
+        flow = self
+        for size in range(self.width, 0, -1):
+            _, columns, counts = flow.summed(size)
+            flow = Packet(size)
+            flow.numbers, flow.langs = self.numbers, self.langs
+            flow.add(columns, counts)
+            exact = columns[-1] != 0
+            padding = np.zeros((self.width - size, np.count_nonzero(exact)), np.int32)
+            out.add(np.concatenate([columns[:, exact], padding]), counts[exact])
+        return out
+
+    def rows_out(self, buckets: int) -> Iterator[tuple]:
+        """Rows of SCHEMA, one per bucket that runs fall into."""
+        width = self.width
         hashes, columns, counts = self.summed(width)
         lots = ((hashes >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)
         edges = np.flatnonzero(np.diff(lots, prepend=-1.0))
@@ -180,13 +207,13 @@ class Packet:
             self.parts, self.rows = [(columns, counts)], 0
 
     def frequent(self, least: int) -> Iterator[tuple]:
-        """Rows of SCHEMA for the runs of exactly this width that occur often enough."""
-        columns, counts = self.parts[0]
+        """Rows of SCHEMA for the runs that occur often enough."""
+        _, columns, counts = self.summed(self.width)
         names = list(self.numbers)
         langs = list(self.langs)
-        for at in np.flatnonzero((counts >= least) & (columns[-1] != 0)):
-            phrase = b" ".join([names[i] for i in columns[1:, at]]).decode()
-            yield whole_row(langs[columns[0, at]], self.width, phrase, int(counts[at]))
+        for at in np.flatnonzero(counts >= least):
+            words = [names[i] for i in columns[1:, at] if i]
+            yield whole_row(langs[columns[0, at]], len(words), b" ".join(words).decode(), int(counts[at]))
 
 
 def whole_row(lang: str, size: int, phrase: str, n: int) -> tuple:
@@ -217,90 +244,138 @@ def words_by_lang(batch: pa.RecordBatch) -> Iterator[tuple[str, list[bytes], boo
             yield name, tokens, more
 
 
-def word_slots(texts: DataFrame, settings: Settings) -> bytes:
-    """A bit per counter: set where the words of a language that share it may be frequent.
+def sliced(slots: np.ndarray, counts: np.ndarray) -> Iterator[tuple[int, bytes, bytes]]:
+    """(part, steps between counters, counts) of sorted counters; both compress to a byte or two."""
+    packed = zstandard.ZstdCompressor(level=1)
+    cuts = np.flatnonzero(np.diff(slots // PART, prepend=-1))
+    for first, last in zip(cuts, [*cuts[1:], len(slots)], strict=True):
+        own = (slots[first:last] % PART).astype(np.uint32)
+        steps = np.diff(own, prepend=np.uint32(0)).view(np.uint8).reshape(-1, 4).T
+        amounts = counts[first:last].astype(np.uint32).view(np.uint8).reshape(-1, 4).T
+        yield int(slots[first] // PART), packed.compress(steps.tobytes()), packed.compress(amounts.tobytes())
+
+
+def opened(steps: bytes, amounts: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """What ``sliced`` made of one part."""
+    tool = zstandard.ZstdDecompressor()
+    both = [np.frombuffer(tool.decompress(data), np.uint8).reshape(4, -1).T.copy().view(np.uint32)[:, 0] for data in (steps, amounts)]
+    return np.cumsum(both[0], dtype=np.int64), both[1]
+
+
+def frequent_slots(texts: DataFrame, settings: Settings) -> bytes:
+    """A bit per counter: set where the words and pairs of a language that share it may be frequent.
 
     The driver receives ``slots`` / 8 bytes, whatever the size of the table.
     """
+    names = ["part", "steps", "amounts"]
+
+    def count(batches):
+        found, held = [], 0
+
+        def out():
+            slots, counts = np.unique(np.concatenate(found), return_counts=True)
+            rows = zip(*sliced(slots.astype(np.int64), counts), strict=True)
+            kinds = (pa.int32(), pa.binary(), pa.binary())
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(rows, kinds, strict=True)], names)
 
-    def run(batches):
         for batch in batches:
-            out = []
             for name, tokens, more in words_by_lang(batch):
                 numbers = Numbers()
-                counts = np.bincount(numbers.of(tokens[:-4] if more else tokens), minlength=1)[1:]
-                slots = numbers.slots(name, settings.slots)[1 : len(counts) + 1]
-                out.append(pa.RecordBatch.from_arrays([pa.array(slots), pa.array(counts)], ["slot", "n"]))
-            yield from out
-
-    counted = texts.mapInArrow(run, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n"))
-    many = counted.filter(F.col("n") >= settings.least)
-    bits = many.groupBy(F.bitmap_bucket_number(F.col("slot") + 1).alias("part")).agg(
-        F.bitmap_construct_agg(F.bitmap_bit_position(F.col("slot") + 1)).alias("bits")
-    )
-    table = np.zeros((settings.slots + 32767) // 32768 * 4096, np.uint8)
-    for part, bitmap in bits.collect():
-        table[(part - 1) * 4096 : part * 4096] = np.frombuffer(bytes(bitmap), np.uint8)
+                words = numbers.of(tokens)
+                starts = max(0, len(words) - 4) if more else len(words)
+                alone, pairs = numbers.slots(name, words, settings.slots)
+                real = words != 0
+                found += [alone[:starts][real[:starts]], pairs[:starts][(real[:-1] & real[1:])[:starts]]]
+                held += len(found[-1]) + len(found[-2])
+                if held >= 2 * PACKET_ROWS:
+                    yield out()
+                    found, held = [], 0
+        if held:
+            yield out()
+
+    def settle(batches):
+        totals, current = None, None
+
+        def bits():
+            many = np.packbits(totals >= settings.least, bitorder="little").tobytes()
+            return pa.RecordBatch.from_arrays([pa.array([current], pa.int32()), pa.array([many], pa.binary())], ["part", "bits"])
+
+        for batch in batches:
+            for part, steps, amounts in zip(*(batch.column(c).to_pylist() for c in names), strict=True):
+                if part != current:
+                    if totals is not None:
+                        yield bits()
+                    totals, current = np.zeros(PART, np.int64), part
+                slots, counts = opened(steps, amounts)
+                totals[slots] += counts
+        if totals is not None:
+            yield bits()
+
+    counted = texts.mapInArrow(count, "part int, steps binary, amounts binary")
+    parts = settings.slots // PART
+    summed = counted.repartition(min(parts, width_of(texts)), "part").sortWithinPartitions("part")
+    table = np.zeros(settings.slots // 8, np.uint8)
+    for row in summed.mapInArrow(settle, "part int, bits binary").collect():
+        table[row["part"] * PART // 8 : (row["part"] + 1) * PART // 8] = np.frombuffer(bytes(row["bits"]), np.uint8)
     return table.tobytes()
 
 
+def width_of(df: DataFrame) -> int:
+    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+
 def text_runs(texts: DataFrame, settings: Settings, buckets: int) -> DataFrame:
-    """Packets of the longest runs of (lang, text), summed per task, and its words by language."""
+    """Packets of the edges and nodes of (lang, text), summed per task, and its words by language."""
     schema = arrow_schema()
-    bits = texts.sparkSession.sparkContext.broadcast(word_slots(texts, settings))
+    bits = texts.sparkSession.sparkContext.broadcast(frequent_slots(texts, settings))
 
     def run(batches):
-        table = np.unpackbits(np.frombuffer(bits.value, np.uint8), bitorder="little").view(bool)
+        table = np.frombuffer(bits.value, np.uint8)
         packet, totals = Packet(settings.longest), {}
+
+        def frequent(slots):
+            return (table[slots >> np.uint64(3)] >> (slots & np.uint64(7)).astype(np.uint8)) & 1 == 1
+
         for batch in batches:
             for name, tokens, more in words_by_lang(batch):
                 starts = max(0, len(tokens) - 4) if more else len(tokens)
                 words = packet.numbers.of(tokens)
                 totals[name] = totals.get(name, 0) + int(np.count_nonzero(words[:starts]))
-                frequent = table[packet.numbers.slots(name, settings.slots)]
-                columns = runs(np.where(frequent[words], words, 0), starts, settings.longest)
+                alone, pairs = packet.numbers.slots(name, words, settings.slots)
+                columns = runs(np.where(frequent(alone), words, 0), frequent(pairs), starts, settings.longest)
                 lang = np.full((1, columns.shape[1]), packet.lang(name), np.int32)
                 packet.add(np.concatenate([lang, columns]), np.ones(columns.shape[1], np.int64))
-                if packet.rows >= PACKET_ROWS:
-                    yield batch_of(list(packet.rows_out(settings.longest, buckets)), schema)
+                if max(packet.rows, len(packet.numbers)) >= PACKET_ROWS:
+                    yield batch_of(list(packet.with_nodes().rows_out(buckets)), schema)
                     packet = Packet(settings.longest)
         out = [whole_row(lang, 0, "", n) for lang, n in totals.items()]
         if packet.rows:
-            out += packet.rows_out(settings.longest, buckets)
+            out += packet.with_nodes().rows_out(buckets)
         if out:
             yield batch_of(out, schema)
 
     return texts.mapInArrow(run, SCHEMA)
 
 
-def flow_round(rows: DataFrame, width: int, least: int, buckets: int, partitions: int) -> DataFrame:
-    """Sum runs of ``width`` words, keep the frequent ones, pass the flow on a word shorter.
-
-    Frequent runs of earlier rounds and the totals of languages go through.
-    """
+def summed_runs(rows: DataFrame, settings: Settings, partitions: int) -> DataFrame:
+    """The frequent runs of all packets; the totals of languages go through."""
     schema = arrow_schema()
 
     def settle(packet: Packet) -> Iterator[pa.RecordBatch]:
-        if not packet.rows:
-            return
-        _, columns, counts = packet.summed(width)
-        packet.parts = [(columns, counts)]
-        out = list(packet.frequent(least))
-        if width > 1:
-            out += packet.rows_out(width - 1, buckets)
+        out = list(packet.frequent(settings.least)) if packet.rows else []
         if out:
             yield batch_of(out, schema)
 
     def run(batches):
-        packet, current = Packet(width), None
+        packet, current = Packet(settings.longest), None
         for batch in batches:
-            whole = batch.filter(pa.array(np.array(batch.column("phrase").is_valid())))
-            if whole.num_rows:
-                yield whole
-            for row in batch.filter(pa.array(np.array(batch.column("phrase").is_null()))).to_pylist():
+            whole = np.array(batch.column("phrase").is_valid())
+            if whole.any():
+                yield batch.filter(pa.array(whole))
+            for row in batch.filter(pa.array(~whole)).to_pylist():
                 if row["bucket"] != current:
                     yield from settle(packet)
-                    packet, current = Packet(width), row["bucket"]
+                    packet, current = Packet(settings.longest), row["bucket"]
                 packet.unpack(row)
         yield from settle(packet)
 
@@ -312,14 +387,11 @@ def frequent_runs(docs: DataFrame, settings: Settings = Settings()) -> DataFrame
     and per language a row of size 0 with the number of its words. Stored."""
     rows = without_clashes(docs, "lang", "text")
     texts = rows.select(F.coalesce("lang", F.lit("und")).alias("lang"), F.coalesce("text", F.lit("")).alias("text"))
-    spark = docs.sparkSession
     size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    partitions = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // (4 * settings.bucket_bytes)))
-    buckets = max(2 * partitions, -(-size // settings.bucket_bytes))
-    flow = text_runs(texts, settings, buckets)
-    for width in range(settings.longest, 0, -1):
-        flow = flow_round(flow, width, settings.least, buckets, partitions)
-    found = flow.filter("size IS NOT NULL").select("lang", "size", "phrase", "n")
+    buckets = max(MIN_BUCKETS, -(-size // settings.bucket_bytes))
+    partitions = max(width_of(docs), -(-buckets // 4))
+    found = summed_runs(text_runs(texts, settings, buckets), settings, partitions)
+    found = found.select("lang", "size", "phrase", "n")
     # The totals of a language come from every task.
     return stored(found.groupBy("lang", "size", "phrase").agg(F.sum("n").alias("n")), "runs")
 

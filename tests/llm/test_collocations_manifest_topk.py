@@ -77,7 +77,7 @@ def test_collocations(spark, rows, least):
 
 def test_collocations_when_all_counters_collide(spark, rows):
     docs = prepare(spark).createDataFrame(rows, DOCS)
-    settings = collocations.Settings(least=9, best=50, slots=32768, bucket_bytes=4096)
+    settings = collocations.Settings(least=9, best=50, slots=1 << 20, bucket_bytes=4096)
     found = collocations.collocations(docs, settings)
     assert sorted(tuple(r) for r in found.collect()) == best_phrases(rows, 9, 50)
 
