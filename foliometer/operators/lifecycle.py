@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .. import constants as C
 from ..functions.measures import clamp_progress
+from .folds import ordered_fold
 from .skew import attach
 
 FINISHING = ("completed", "failed", "cancelled")
@@ -78,8 +80,54 @@ def event_feed(events: DataFrame, cap: int = C.EVENT_FEED_CAP) -> DataFrame:
     """
     order = W.partitionBy("job_id").orderBy("ts", "seq")
     first = events.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= cap)
-    ends = first.groupBy("job_id").agg(
-        F.min(F.when(F.col("kind").isin(*FINISHING), F.col("rank"))).alias("end")
-    )
-    joined = first.join(ends, "job_id", "inner")
-    return joined.filter(F.col("end").isNull() | (F.col("rank") <= F.col("end"))).drop("end")
+    # Over at most ``cap`` rows per job, which the ranks have brought together already.
+    so_far = order.rowsBetween(W.unboundedPreceding, -1)
+    ended = F.bool_or(F.col("kind").isin(*FINISHING)).over(so_far)
+    return first.withColumn("__ended", ended).filter(~F.coalesce("__ended", F.lit(False))).drop("__ended")
+
+
+STATE = T.StructType(
+    [
+        T.StructField("status", T.StringType()),
+        T.StructField("progress", T.IntegerType()),
+        T.StructField("error_code", T.StringType()),
+    ]
+)
+
+
+def _advance(state: tuple, columns: dict[str, list]) -> tuple:
+    """(stage, progress, error code, expired) after some more events of a job."""
+    stage, progress, code, expired = state
+    events = zip(columns["kind"], columns["progress"], columns["error_code"], strict=True)
+    for kind, reported, error in events:
+        if kind == "retry":
+            stage, progress, code, expired = "queued", 0, error, False
+        elif stage in FINISHING:
+            expired = expired or kind == "expire"
+        elif kind == "progress":
+            if reported is not None:
+                progress = max(0, min(100, reported))
+        elif kind != "expire":
+            stage, code = kind, error
+            progress = {"processing": 0, "completed": 100}.get(kind, progress)
+    return stage, progress, code, expired
+
+
+def _reached(key: tuple, state: tuple):
+    stage, progress, code, expired = state
+    yield (*key, "expired" if expired else stage, progress, code if stage == "failed" else None)
+
+
+def folded_states(events: DataFrame) -> DataFrame:
+    """Final state of each job, by an ordered fold over its events; see ``job_states``.
+
+    Events go by ``ts`` and ``seq``. A history of any length is folded piece by piece. The
+    aggregation is the better plan where one job holds a large part of all events, since an
+    ordered fold of one job takes place in one task.
+    """
+    schema = T.StructType([events.schema["job_id"], *STATE.fields])
+    rows = events.select("job_id", "ts", "seq", "kind", F.col("progress").cast("int").alias("progress"), "error_code")
+    return ordered_fold(
+        rows, ["job_id"], ["ts", "seq"], schema,
+        lambda key: ("pending", 0, None, False), _advance, _reached,
+    )

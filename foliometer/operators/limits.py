@@ -12,11 +12,12 @@ from pyspark.sql import functions as F
 from .. import constants as C
 from ..functions.text import normal_email
 from ..session import cut_lineage
+from .components import components
 from .skew import attach
 
 DAY = 86_400
-# Open submissions that one task may settle; a few megabytes.
-FOLD_ROWS = 10_000
+# Submissions of one component that are folded together; a few megabytes.
+COMPONENT_ROWS = 50_000
 # Results of rounds kept apart before they are stored as one.
 MAX_ROUND_FRAMES = 8
 
@@ -140,14 +141,14 @@ def _with_recent(rows: DataFrame, accepted: DataFrame) -> DataFrame:
 
 
 def _fold(limit: int):
-    """Verdicts of a bounded number of rows, one after the other."""
+    """Verdicts of the rows of one component, one after the other."""
 
     def fold(rows: pd.DataFrame) -> pd.DataFrame:
         taken: dict[tuple, list] = {}
         passed = []
         for row in rows.sort_values(["at", "id"]).itertuples(index=False):
             keys = [(k, v) for k, v in (("email", row.email), ("ip", row.ip)) if pd.notna(v)]
-            neighbours = {entry["id"] for entry in row.recent}
+            neighbours = set()
             for key in keys:
                 since = row.at - DAY * 1_000_000
                 taken[key] = [entry for entry in taken.get(key, []) if entry[0] >= since]
@@ -161,35 +162,50 @@ def _fold(limit: int):
     return fold
 
 
-def daily_limit(
-    submissions: DataFrame, limit: int = C.FEEDBACK_PER_DAY, fold_rows: int = FOLD_ROWS
-) -> DataFrame:
-    """A submission is rejected after ``limit`` accepted ones within a day that
-    share its e-mail address or its IP address.
+def _cell(kind: str, day=None):
+    """Name of the cell of a row: its identifier on its day. Null without the identifier."""
+    day = F.floor(F.col("at") / (DAY * 1_000_000)) if day is None else day
+    return F.concat(F.lit(f"{kind} "), day.cast("string"), F.lit(" "), F.col(kind))
 
-    ``submissions(id, email, client_ip, created_at)``. A verdict depends on earlier
-    verdicts, and keys are linked by "or". Each round accepts every open submission
-    whose day before holds no other open submission of the same keys: it is open
-    because its accepted neighbours are too few, and none can join them any more. Then
-    the open ones that now have ``limit`` accepted neighbours are rejected. Groups are
-    never collected; the number of rounds is the longest chain of dependent
-    acceptances, about the number of days a busy key spans. Once no more than
-    ``fold_rows`` submissions are open, one task settles them in order.
+
+def linked_cells(rows: DataFrame) -> DataFrame:
+    """(node, component): cells whose submissions may bear on each other, over any steps.
+
+    A cell is an identifier on one day. A submission links the cells of its e-mail and its
+    address, and an identifier links its cells of neighbouring days; whatever is further apart
+    is more than a day apart. So an identifier that is quiet for a day starts anew.
     """
-    if limit <= 0:
-        return submissions.withColumn("accepted", F.lit(True))
-    address = F.when(F.col("client_ip") != "", F.col("client_ip"))
-    open_rows = cut_lineage(
-        submissions.select(
-            F.col("id").cast("string").alias("id"),
-            normal_email("email").alias("email"),
-            address.alias("ip"),
-            F.unix_micros("created_at").alias("at"),
+    day = F.floor(F.col("at") / (DAY * 1_000_000))
+    both = rows.select(_cell("email").alias("u"), _cell("ip").alias("v"))
+    days = [
+        rows.filter(F.col(kind).isNotNull()).select(
+            F.lit(kind).alias("kind"), F.col(kind).alias("key"), day.alias("day")
         )
-    )
+        for kind in ("email", "ip")
+    ]
+    cells = days[0].unionByName(days[1]).distinct()
+
+    def name(number):
+        return F.concat("kind", F.lit(" "), number.cast("string"), F.lit(" "), "key")
+
+    # A day gives its own number and the next one's; two of the same number are neighbours.
+    pairs = cells.select(name(F.col("day")).alias("u"), name(F.col("day") + 1).alias("v"))
+    known = cells.select(name(F.col("day")).alias("v"))
+    return components(both.unionByName(pairs.join(known, "v", "left_semi").select("u", "v")))
+
+
+def _settle_in_rounds(open_rows: DataFrame, limit: int) -> DataFrame:
+    """Ids accepted among rows of any number, without collecting a component.
+
+    Each round accepts every open submission whose day before holds no other open
+    submission of the same keys: it is open because its accepted neighbours are too few, and
+    none can join them any more. Then the open ones that now have ``limit`` accepted neighbours
+    are rejected. The number of rounds is the longest chain of dependent acceptances, about the
+    number of days a busy key spans.
+    """
     rounds = [open_rows.limit(0)]
     nothing = rounds[0]
-    while open_rows.count() > fold_rows:
+    while not open_rows.isEmpty():
         fresh = _unobstructed(open_rows)
         # A single accepted neighbour decides under a limit of one; otherwise all count.
         before = reduce(DataFrame.unionByName, rounds) if limit > 1 else nothing
@@ -203,10 +219,48 @@ def daily_limit(
         if len(rounds) > MAX_ROUND_FRAMES:
             rounds = [cut_lineage(reduce(DataFrame.unionByName, rounds))]
         open_rows = settled.filter(~F.col("ok")).drop("ok")
-    accepted = reduce(DataFrame.unionByName, rounds)
-    last = _with_recent(open_rows, accepted).groupBy().applyInPandas(_fold(limit), "id string")
-    chosen = accepted.select("id").unionByName(last).select(
-        F.col("id").alias("__id"), F.lit(True).alias("__ok")
+    return reduce(DataFrame.unionByName, rounds).select("id")
+
+
+def daily_limit(
+    submissions: DataFrame, limit: int = C.FEEDBACK_PER_DAY, component_rows: int = COMPONENT_ROWS
+) -> DataFrame:
+    """A submission is rejected after ``limit`` accepted ones within a day that
+    share its e-mail address or its IP address.
+
+    ``submissions(id, email, client_ip, created_at)``. A verdict depends on earlier
+    verdicts, and keys are linked by "or". Submissions are divided into components that
+    share no identifier within a day, over any number of steps. Each is folded in order of
+    time, all side by side. Components of more than ``component_rows`` are not
+    collected; they are settled in rounds over all tasks, with the same verdicts.
+    """
+    if limit <= 0:
+        return submissions.withColumn("accepted", F.lit(True))
+    address = F.when(F.col("client_ip") != "", F.col("client_ip"))
+    rows = cut_lineage(
+        submissions.select(
+            F.col("id").cast("string").alias("id"),
+            normal_email("email").alias("email"),
+            address.alias("ip"),
+            F.unix_micros("created_at").alias("at"),
+        )
+    )
+    cells = cut_lineage(linked_cells(rows))
+    own = rows.withColumn("node", F.coalesce(_cell("email"), _cell("ip")))
+    sizes = own.filter(F.col("node").isNotNull()).groupBy("node").agg(F.count("*").alias("rows"))
+    totals = cells.join(sizes, "node").groupBy("component").agg(F.sum("rows").alias("total"))
+    named = cells.join(totals, "component")
+    placed = cut_lineage(attach(own, named, ["node"], ["id"], sizes))
+    free = placed.filter(F.col("node").isNull()).select("id")
+    large = F.col("total") > component_rows
+    small = placed.filter(F.col("node").isNotNull() & ~large)
+    folded = small.select("component", "id", "email", "ip", "at").groupBy("component").applyInPandas(
+        _fold(limit), "id string"
     )
+    accepted = free.unionByName(folded)
+    many = placed.filter(large).select("id", "email", "ip", "at")
+    if not many.isEmpty():
+        accepted = accepted.unionByName(_settle_in_rounds(many, limit))
+    chosen = accepted.select(F.col("id").alias("__id"), F.lit(True).alias("__ok"))
     joined = submissions.join(chosen, F.col("id").cast("string") == F.col("__id"), "left")
     return joined.withColumn("accepted", F.coalesce("__ok", F.lit(False))).drop("__id", "__ok")

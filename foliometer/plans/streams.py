@@ -130,10 +130,12 @@ _STATES = """WITH retried AS (SELECT job_id, max((ts, seq)) FILTER (kind = 'retr
       coalesce(progress, 0) AS progress, CASE WHEN stage = 'failed' THEN code END AS error_code
     FROM folded"""
 _STATE_COLUMNS = "job_id:i status:s progress:i error_code:s"
-for _name in ("W6_job_states", "U5_ordered_fold"):
-    query(_name, _STATE_COLUMNS, "job_events", _STATES)(
-        lambda t: lifecycle.job_states(t.job_events)
-    )
+query("W6_job_states", _STATE_COLUMNS, "job_events", _STATES)(
+    lambda t: lifecycle.job_states(t.job_events)
+)
+query("U5_ordered_fold", _STATE_COLUMNS, "job_events", _STATES)(
+    lambda t: lifecycle.folded_states(t.job_events)
+)
 query("W6_job_state_stream", _STATE_COLUMNS, "job_events", _STATES)(
     lambda t: lifecycle_stream(_stream(t, "job_events"))
 )

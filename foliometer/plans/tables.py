@@ -10,8 +10,10 @@ from ..sources import events as event_feed
 from ..sources import files as stored
 from ..sources import tables as source_tables
 from ..sources import visits as visit_source
+from ..session import scratch
+from ..streaming.runner import start
 from .registry import query
-from .testdata import EVENTS_NOW, FILES_NOW, ORDERS_NOW
+from .testdata import EVENTS_NOW, FILES_NOW, ORDERS_NOW, stream_view
 
 # ---- S: sources and sinks --------------------------------------------------------------
 
@@ -66,6 +68,30 @@ def _manifest(t):
     return stored.manifest(contents)
 
 
+# Files of more bytes than this are listed only.
+LARGEST_PAGE = 4000
+
+
+@query(
+    "S3_file_manifest",
+    "page_id:i size_bytes:i checksum_sha256:s error:s",
+    "",
+    f"""SELECT page_id, strlen(html) AS size_bytes,
+    CASE WHEN strlen(html) <= {LARGEST_PAGE} THEN sha256(html) END AS checksum_sha256,
+    CASE WHEN strlen(html) > {LARGEST_PAGE} THEN 'file_too_large' END AS error
+    FROM (SELECT page_id, CASE WHEN page_id % 50 = 0 THEN '' ELSE coalesce(html, '') END AS html FROM pages)""",
+)
+def _file_manifest(t):
+    """Every page as a file, every fiftieth an empty one, and the manifest of their folder."""
+    folder = scratch(t.spark, "files")
+    shard = F.pmod(F.col("page_id"), F.lit(16)).cast("string")
+    name = F.concat(shard, F.lit("/"), F.col("page_id").cast("string"), F.lit(".html"))
+    html = F.when(F.col("page_id") % 50 != 0, F.col("html"))
+    stored.write_contents(t.raw("pages").select(name.alias("relative_path"), html.alias("content")), folder)
+    page = F.regexp_extract("path", r"([0-9]+)\.html$", 1).cast("long")
+    return stored.file_manifest(t.spark, folder, LARGEST_PAGE).withColumn("page_id", page)
+
+
 @query(
     "S4_sharded_layout",
     "id:s stored_name:s relative_path:s",
@@ -148,6 +174,38 @@ def _job_events_decoded(t):
     return event_feed.decode_events(event_feed.encode_events(jobs_in))
 
 
+_FEED = """SELECT concat('job-events:', job_id) AS channel, CAST(job_id AS VARCHAR) AS id,
+    kind AS status, progress, error_code FROM job_events"""
+_FEED_COLUMNS = "channel:s id:s status:s progress:i error_code:s"
+
+
+def _feed_jobs(t):
+    return t.job_events.withColumnsRenamed({"job_id": "id", "kind": "status"})
+
+
+@query("S6_event_folder", _FEED_COLUMNS, "job_events", _FEED)
+def _event_folder(t):
+    """Job events appended to a folder in two batches and read back."""
+    folder = scratch(t.spark, "events")
+    jobs_in = _feed_jobs(t)
+    event_feed.publish_events(jobs_in.filter("seq % 2 = 0"), folder)
+    event_feed.publish_events(jobs_in.filter("seq % 2 <> 0"), folder)
+    return event_feed.read_events(t.spark, folder)
+
+
+@query("S6_event_stream", _FEED_COLUMNS, "job_events", _FEED)
+def _event_stream(t):
+    """Job events streamed into a folder, and streamed from there into a table."""
+    folder = scratch(t.spark, "events")
+    jobs_in = stream_view(t.spark, t.folder, "job_events")
+    jobs_in = jobs_in.withColumnsRenamed({"job_id": "id", "kind": "status"})
+    event_feed.publish_event_stream(jobs_in, folder, f"{folder}-sent").awaitTermination()
+    events = event_feed.read_event_stream(t.spark, folder)
+    writer = events.writeStream.format("parquet").option("path", f"{folder}-table")
+    start(writer, f"{folder}-received").awaitTermination()
+    return t.spark.read.schema(events.schema).parquet(f"{folder}-table")
+
+
 @query(
     "S7_seed_users",
     "id:i email:s",

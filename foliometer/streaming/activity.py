@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .. import constants as C
-from .runner import drain_updates
+from .runner import KeptTable, drain_updates, keep_updates
 
 
 def activity_windows(jobs: DataFrame, slide: str = "1 minute") -> DataFrame:
@@ -25,6 +25,14 @@ def activity_windows(jobs: DataFrame, slide: str = "1 minute") -> DataFrame:
     )
 
 
+def keep_activity(
+    jobs: DataFrame, folder: str, delay: str = "1 minute", every: str | None = None
+) -> KeptTable:
+    """Start a query that keeps the activity per window in ``folder`` current."""
+    counted = activity_windows(jobs.withWatermark("created_at", delay))
+    return keep_updates(counted, ["window_end"], folder, every)
+
+
 def activity_stream(jobs: DataFrame, delay: str = "1 minute") -> DataFrame:
     """W5 over a stream, the last value of every window."""
     counted = activity_windows(jobs.withWatermark("created_at", delay))

@@ -8,7 +8,7 @@ from pyspark.sql import types as T
 
 from ..operators.lifecycle import FINISHING, job_states
 from ..session import scratch
-from .runner import KeyedLog, drain_batches
+from .runner import KeptTable, KeyedLog, start_batches
 
 EVENT_COLUMNS = ("job_id", "kind", "ts", "seq", "progress", "error_code")
 _BEGINNING = "0001-01-01 00:00:00"
@@ -44,15 +44,13 @@ def state_as_events(states: DataFrame) -> DataFrame:
     )
 
 
-def lifecycle_stream(events: DataFrame) -> DataFrame:
-    """State of every job after all available events.
+def keep_states(events: DataFrame, folder: str, every: str | None = None) -> KeptTable:
+    """Start a query that keeps the state of every job in ``folder`` current.
 
     The states before a micro-batch enter it as events of their own, so the batch
     operator serves here as well. Events must not arrive after later ones of an
     earlier batch.
     """
-    spark = events.sparkSession
-    folder = scratch(spark, "lifecycle")
     job_id = events.schema["job_id"]
     schema = T.StructType(
         [job_id]
@@ -60,7 +58,7 @@ def lifecycle_stream(events: DataFrame) -> DataFrame:
         + [T.StructField("progress", T.IntegerType())]
         + [T.StructField("before_expiry", T.StringType())]
     )
-    log = KeyedLog(spark, f"{folder}/log", schema, ["job_id"])
+    log = KeyedLog(events.sparkSession, f"{folder}/log", schema, ["job_id"])
 
     def merge(batch: DataFrame, number: int) -> None:
         batch = batch.select(*EVENT_COLUMNS).persist()
@@ -70,5 +68,11 @@ def lifecycle_stream(events: DataFrame) -> DataFrame:
         finally:
             batch.unpersist()
 
-    drain_batches(events, merge, folder)
-    return log.read().select("job_id", "status", "progress", "error_code")
+    return KeptTable(start_batches(events, merge, folder, every=every), log)
+
+
+def lifecycle_stream(events: DataFrame, folder: str | None = None) -> DataFrame:
+    """State of every job after all available events."""
+    table = keep_states(events, folder or scratch(events.sparkSession, "lifecycle"))
+    table.query.awaitTermination()
+    return table.rows().select("job_id", "status", "progress", "error_code")
