@@ -13,7 +13,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import cut_lineage
+from ..session import write_out
+
+
+def _keep(df: DataFrame) -> DataFrame:
+    return write_out(df, "components")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -24,30 +28,35 @@ def components(links: DataFrame) -> DataFrame:
     """
     ends = F.array("u", "v")
     nodes = links.select(F.explode(ends).alias("node")).filter(F.col("node").isNotNull()).distinct()
-    trees = cut_lineage(nodes.select("node", F.col("node").alias("component")))
+    trees = _keep(nodes.select("node", F.col("node").alias("component")))
     between = links.filter("u IS NOT NULL AND v IS NOT NULL AND u <> v")
-    between = cut_lineage(between.select(F.least(*ends_of()).alias("u"), F.greatest(*ends_of()).alias("v")).distinct())
+    between = _keep(between.select(F.least(*ends_of()).alias("u"), F.greatest(*ends_of()).alias("v")).distinct())
     while not between.isEmpty():
         # Links are between roots, and u < v.
-        parents = cut_lineage(between.groupBy(F.col("v").alias("root")).agg(F.min("u").alias("parent")))
-        while True:
-            next_up = parents.select(F.col("root").alias("parent"), F.col("parent").alias("above"))
-            jumped = parents.join(next_up, "parent", "left")
-            jumped = cut_lineage(jumped.select("root", F.coalesce("above", "parent").alias("parent"), "above"))
-            parents = jumped.drop("above")
-            if jumped.filter("above IS NOT NULL").isEmpty():
-                break
+        parents = _keep(between.groupBy(F.col("v").alias("root")).agg(F.min("u").alias("parent")))
+        moved = True
+        while moved:
+            jumped = _keep(_jump(_jump(parents, parents).drop("moved"), parents))
+            moved = not jumped.filter("moved").isEmpty()
+            parents = jumped.drop("moved")
         renamed = parents.withColumnRenamed("root", "component")
         trees = trees.join(renamed, "component", "left")
-        trees = cut_lineage(trees.select("node", F.coalesce("parent", "component").alias("component")))
+        trees = _keep(trees.select("node", F.coalesce("parent", "component").alias("component")))
         for end in ("u", "v"):
             renamed = parents.select(F.col("root").alias(end), "parent")
             between = between.join(renamed, end, "left")
             between = between.withColumn(end, F.coalesce("parent", end)).drop("parent")
         between = between.filter("u <> v").select(F.least(*ends_of()).alias("u"), F.greatest(*ends_of()).alias("v"))
-        between = cut_lineage(between.distinct())
+        between = _keep(between.distinct())
     return trees
 
 
+def _jump(rows: DataFrame, parents: DataFrame) -> DataFrame:
+    """Rows (root, parent) with the parent's parent where it has one, and whether it has."""
+    above = parents.select(F.col("root").alias("parent"), F.col("parent").alias("above"))
+    jumped = rows.join(above, "parent", "left")
+    return jumped.select("root", F.coalesce("above", "parent").alias("parent"), F.col("above").isNotNull().alias("moved"))
+
+
 def ends_of():
     return F.col("u"), F.col("v")

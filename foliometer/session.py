@@ -73,3 +73,14 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(folder)
     return df.checkpoint(eager=True)
+
+
+def write_out(df: DataFrame, label: str) -> DataFrame:
+    """``df`` as a table in the shared folder, read back.
+
+    Survives lost executors as a checkpoint does. A checkpoint also keeps what the optimizer
+    has derived about the rows, which grows with every round of a loop; a table does not.
+    """
+    folder = scratch(df.sparkSession, label)
+    df.write.parquet(folder)
+    return df.sparkSession.read.schema(df.schema).parquet(folder)

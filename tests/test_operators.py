@@ -214,9 +214,9 @@ def sequential_limit(rows, limit):
 
 
 @pytest.mark.parametrize(
-    ("limit", "fold_rows", "n"), [(1, 0, 120), (2, 0, 40), (1, 60, 120), (3, 1000, 200)]
+    ("limit", "component_rows", "n"), [(1, 0, 120), (2, 0, 40), (1, 60, 120), (3, 1000, 200)]
 )
-def test_daily_limit_equals_one_by_one(frame, monkeypatch, limit, fold_rows, n):
+def test_daily_limit_equals_one_by_one(frame, monkeypatch, limit, component_rows, n):
     monkeypatch.setattr(limits, "MAX_ROUND_FRAMES", 3)
     rng = random.Random(limit)
     rows = [
@@ -226,7 +226,7 @@ def test_daily_limit_equals_one_by_one(frame, monkeypatch, limit, fold_rows, n):
         for i in range(n)
     ]
     df = frame(rows, "id string, email string, client_ip string, created_at timestamp")
-    got = limits.daily_limit(df, limit, fold_rows)
+    got = limits.daily_limit(df, limit, component_rows)
     assert got.count() == len(rows)
     assert sorted(r.id for r in got.filter("accepted").collect()) == sequential_limit(rows, limit)
 
