@@ -16,6 +16,8 @@ from ..session import scratch
 # Batches between two snapshots of a keyed log, and the buckets a snapshot is divided into.
 SNAPSHOT_EVERY = 8
 BUCKETS = 32
+# The column by which a snapshot is divided; no other may have its name.
+BUCKET = "bucket_of_key"
 # Snapshots that are kept; older ones and the batches before them are removed.
 SNAPSHOTS_KEPT = 2
 
@@ -72,9 +74,9 @@ class KeyedLog:
     def build(self, batch: int) -> str:
         """Write a snapshot up to and including ``batch``; it does not count yet."""
         name = uuid.uuid4().hex
-        rows = self._latest(self._rows(batch + 1)).withColumn("bucket", self._bucket())
-        spread = rows.repartition(self.buckets, "bucket")
-        spread.write.partitionBy("bucket").parquet(f"{self.folder}/snapshots/{name}")
+        rows = self._latest(self._rows(batch + 1)).withColumn(BUCKET, self._bucket())
+        spread = rows.repartition(self.buckets, BUCKET)
+        spread.write.partitionBy(BUCKET).parquet(f"{self.folder}/snapshots/{name}")
         return name
 
     def publish(self, name: str, batch: int) -> None:
@@ -105,12 +107,12 @@ class KeyedLog:
         last, name = pointers[-1] if pointers else (-1, None)
         rows = self.spark.createDataFrame([], self.schema)
         if name is not None:
-            layout = T.StructType([*self.schema.fields, T.StructField("bucket", T.IntegerType())])
+            layout = T.StructType([*self.schema.fields, T.StructField(BUCKET, T.IntegerType())])
             kept = self.spark.read.schema(layout).parquet(f"{self.folder}/snapshots/{name}")
             if touched is not None:
-                wanted = touched.select(self._bucket().alias("bucket")).distinct().collect()
-                kept = kept.filter(F.col("bucket").isin([row["bucket"] for row in wanted]))
-            rows = kept.drop("bucket")
+                wanted = touched.select(self._bucket().alias(BUCKET)).distinct().collect()
+                kept = kept.filter(F.col(BUCKET).isin([row[BUCKET] for row in wanted]))
+            rows = kept.drop(BUCKET)
         tail = [n for n in self._batches() if n > last and (before is None or n < before)]
         if tail:
             folder = f"{self.folder}/tail"
