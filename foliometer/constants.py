@@ -30,8 +30,8 @@ ATTACHMENT_NAME_LENGTH = 255
 RETENTION_HOURS = 24
 SCRATCH_MAX_AGE_MINUTES = 120
 LIVE_WINDOW_MINUTES = 15
-# Levels of objects that settings and their overrides may share.
-SETTINGS_DEPTH = 16
+# Levels of objects that settings and their overrides may share; 60 overflow the planner's stack.
+SETTINGS_DEPTH = 40
 EVENT_FEED_CAP = 600
 PROGRESS_CEILING = 90
 ERROR_MESSAGE_LENGTH = 500

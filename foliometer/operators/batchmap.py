@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.functions import udtf
 
 RESULT = "job_id string, position int, part int, output binary, error_code string, message string"
 
@@ -20,26 +21,30 @@ class FileError(Exception):
         self.message = message
 
 
-def batch_map(files: DataFrame, fn: Callable[[bytes, str, int], bytes | list[bytes]]) -> DataFrame:
+PerFile = Callable[[bytes, str, int], bytes | list[bytes]]
+
+
+def _outcome(fn: PerFile, row) -> Iterator[tuple]:
+    """Result rows of one file; a failure is a row too."""
+    try:
+        produced = fn(row.content, row.name, row.position)
+        parts = produced if isinstance(produced, list) else [produced]
+        for part, output in enumerate(parts):
+            yield row.job_id, row.position, part, output, None, None
+    except FileError as error:
+        yield row.job_id, row.position, None, None, error.code, error.message
+    except Exception as error:  # one bad file must not fail the others
+        message = f"Unexpected error: {error}"
+        yield row.job_id, row.position, None, None, "INTERNAL_SERVER_ERROR", message
+
+
+def batch_map(files: DataFrame, fn: PerFile) -> DataFrame:
     """Apply ``fn(content, name, position)`` to every row of ``files``.
 
     ``files(job_id, position, name, content)``. Each input yields no, one or several
     outputs (``part``); an exception becomes a row with ``error_code`` and ``message``
     and does not stop the job. Results keep ``position``, which restores input order.
     """
-
-    def outcome(row) -> Iterator[tuple]:
-        try:
-            produced = fn(row.content, row.name, row.position)
-            parts = produced if isinstance(produced, list) else [produced]
-            for part, output in enumerate(parts):
-                yield row.job_id, row.position, part, output, None, None
-        except FileError as error:
-            yield row.job_id, row.position, None, None, error.code, error.message
-        except Exception as error:  # one bad file must not fail the others
-            message = f"Unexpected error: {error}"
-            yield row.job_id, row.position, None, None, "INTERNAL_SERVER_ERROR", message
-
     columns = ["job_id", "position", "part", "output", "error_code", "message"]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -47,7 +52,7 @@ def batch_map(files: DataFrame, fn: Callable[[bytes, str, int], bytes | list[byt
             rows = [
                 result
                 for row in batch.itertuples(index=False, name="File")
-                for result in outcome(row)
+                for result in _outcome(fn, row)
             ]
             yield pd.DataFrame(rows, columns=columns).astype({"part": "Int32"})
 
@@ -55,6 +60,21 @@ def batch_map(files: DataFrame, fn: Callable[[bytes, str, int], bytes | list[byt
     return inputs.mapInPandas(run, RESULT)
 
 
+def register_batch_function(spark: SparkSession, name: str, fn: PerFile) -> None:
+    """Make ``fn`` a table function of SQL with the rows of ``batch_map``.
+
+    ``SELECT … FROM name(TABLE(files))``; the argument has the columns of ``files``, in any
+    order and among others. Rows are handled where they lie, without a shuffle, unless the
+    call says ``PARTITION BY``.
+    """
+
+    class BatchFunction:
+        def eval(self, row: Row):
+            yield from _outcome(fn, row)
+
+    spark.udtf.register(name, udtf(BatchFunction, returnType=RESULT))
+
+
 def job_outcomes(results: DataFrame) -> DataFrame:
     """First failure fails the job: verdict per job over the rows of ``batch_map``."""
     failed = F.when(F.col("error_code").isNotNull(), F.struct("position", "error_code", "message"))

@@ -166,7 +166,7 @@ def _members(value: Column) -> Column:
 
 def _laid_over(below: Column, above: Column, depth: int) -> Column:
     if not depth:
-        return F.raise_error(F.lit("settings are nested too deeply")).cast("variant")
+        return above
     both = F.map_zip_with(
         _members(below),
         _members(above),
@@ -177,17 +177,37 @@ def _laid_over(below: Column, above: Column, depth: int) -> Column:
     return F.coalesce(F.to_variant_object(both), above)
 
 
-def overlay_settings(
-    base: DataFrame, overrides: DataFrame, depth: int = C.SETTINGS_DEPTH
-) -> DataFrame:
+def _levels(value: str) -> Column:
+    """How deeply objects and lists of a JSON text lie in one another."""
+    bare = F.regexp_replace(value, r'"(?:[^"\\]|\\.)*+"', "")
+    marks = F.split(F.regexp_replace(bare, r"[^{}\[\]]+", ""), "")
+    step = lambda mark: F.when(mark.isin("{", "["), 1).when(mark.isin("}", "]"), -1).otherwise(0)
+    deepest = F.aggregate(
+        marks,
+        F.struct(F.lit(0).alias("now"), F.lit(0).alias("top")),
+        lambda seen, mark: F.struct(
+            (seen["now"] + step(mark)).alias("now"),
+            F.greatest(seen["top"], seen["now"] + step(mark)).alias("top"),
+        ),
+    )
+    return deepest["top"]
+
+
+def overlay_settings(base: DataFrame, overrides: DataFrame) -> DataFrame:
     """Settings per key with overrides laid over them: objects are merged,
     lists and scalars replaced.
 
-    Merged objects list their members by name. Objects that share names over more than
-    ``depth`` levels are an error. A key without an override, or only there, keeps its text.
+    Merged objects list their members by name. A key without an override, or only there,
+    keeps its text. A first pass counts the levels that both sides of a key have at most;
+    the expression that merges them is that deep. More than 40 levels are refused.
     """
     above = overrides.select("key", F.col("value").alias("__above"))
     joined = base.select("key", "value").join(above, "key", "full")
+    pairs = base.select("key", "value").join(above, "key")
+    shared = F.max(F.least(_levels("value"), _levels("__above")))
+    depth = pairs.agg(shared.alias("depth")).first().depth or 0
+    if depth > C.SETTINGS_DEPTH:
+        raise ValueError(f"settings share {depth} levels; at most {C.SETTINGS_DEPTH} can be merged")
     merged = F.to_json(_laid_over(F.parse_json("value"), F.parse_json("__above"), depth))
     one_side = F.col("value").isNull() | F.col("__above").isNull()
     value = F.when(one_side, F.coalesce("value", "__above")).otherwise(merged)

@@ -7,72 +7,73 @@ from pyspark.sql import functions as F
 
 from .. import constants as C
 from ..functions.text import strip
-from ..functions.udfs import count_terms, remove_terms
+from ..functions.udfs import match_terms
+from ..session import write_out
 from .documents import document_lengths
-from .options import MAX_TERMS
 from .skew import attach
 
 
+# Failed documents that may be broadcast, so that cleaned pages need not move to meet them.
+BROADCAST_FAILED = 100_000
+
+
 def term_lists(terms: DataFrame) -> DataFrame:
-    """Trimmed, de-duplicated terms per document in request order (``doc_id, pos, term``).
+    """Trimmed, de-duplicated terms per document in request order (``doc_id, terms``).
 
-    A document may name at most 50 different terms. One with more keeps no list, which
-    fails it, so the lists are bounded before they are built.
+    The terms of a document come from one request, so they fit into one row.
     """
     cleaned = terms.withColumn("term", strip("term")).filter(F.col("term") != "")
     unique = cleaned.groupBy("doc_id", "term").agg(F.min("pos").alias("pos"))
-    sizes = unique.groupBy("doc_id").agg(F.count("*").alias("n_terms"))
-    allowed = unique.join(sizes.filter(F.col("n_terms") <= MAX_TERMS), "doc_id", "left_semi")
-    lists = allowed.groupBy("doc_id").agg(
+    return unique.groupBy("doc_id").agg(
         F.transform(
             F.array_sort(F.collect_list(F.struct("pos", "term"))), lambda item: item["term"]
         ).alias("terms")
     )
-    return sizes.join(lists, "doc_id", "left")
 
 
-def term_hits(pages: DataFrame, terms: DataFrame) -> DataFrame:
-    """Occurrences of each term per document, counted on the original text.
+def _matched(pages: DataFrame, lists: DataFrame, how: str) -> DataFrame:
+    """Pages with ``__match``, the hits per term and the cleaned text.
 
-    A page carries the short list of its document's terms; the text itself is never
-    multiplied. Terms are counted by the function that also removes them: were there two
-    definitions of a match, a document could pass for clean that is not.
+    A page carries the list of its document's terms; the text itself is never multiplied.
+    One function counts and removes, so what is counted is what goes.
     """
-    lists = term_lists(terms).filter(F.col("terms").isNotNull()).select("doc_id", "terms")
-    counted = F.zip_with(
-        "terms", "counts", lambda term, n: F.struct(term.alias("term"), n.alias("n"))
-    )
-    texts = pages.select("doc_id", "page_no", "text")
+    listed = lists.withColumnRenamed("terms", "__terms")
+    planned = attach(pages, listed, ["doc_id"], ["page_no"], how=how)
+    return planned.withColumn("__match", match_terms("text", "__terms")).drop("__terms")
+
+
+def _hits(counts: DataFrame, lists: DataFrame) -> DataFrame:
+    """Totals per term from pages' hits (``doc_id, hits array``), absent terms included."""
     found = (
-        attach(texts, lists, ["doc_id"], ["page_no"], how="inner")
-        .select("doc_id", "terms", count_terms("text", "terms").alias("counts"))
-        .select("doc_id", F.explode(counted).alias("h"))
-        .groupBy("doc_id", F.col("h.term").alias("term"))
-        .agg(F.sum("h.n").alias("hits"))
+        counts.select("doc_id", F.posexplode("hits").alias("at", "n"))
+        .groupBy("doc_id", "at")
+        .agg(F.sum("n").alias("hits"))
     )
-    asked = lists.select("doc_id", F.explode("terms").alias("term"))
-    return asked.join(found, ["doc_id", "term"], "left").na.fill(0, ["hits"])
+    asked = lists.select("doc_id", F.posexplode("terms").alias("at", "term"))
+    return asked.join(found, ["doc_id", "at"], "left").na.fill(0, ["hits"]).drop("at")
 
 
-def redaction_verdicts(pages: DataFrame, terms: DataFrame) -> DataFrame:
-    """Whether each document can be redacted; one missing term fails it and is named."""
+def _verdicts(hits: DataFrame) -> DataFrame:
     missing = F.array_sort(F.collect_set(F.when(F.col("hits") == 0, F.col("term"))))
-    found = (
-        term_hits(pages, terms)
-        .groupBy("doc_id")
-        .agg(F.sum("hits").alias("regions"), missing.alias("missing"))
-    )
-    error = (
-        F.when(F.col("n_terms") > MAX_TERMS, "too_many_terms")
-        .when(F.size("missing") == F.col("n_terms"), "none_found")
-        .when(F.size("missing") > 0, "terms_missing")
+    found = hits.groupBy("doc_id").agg(
+        F.count("*").alias("n_terms"), F.sum("hits").alias("regions"), missing.alias("missing")
     )
-    return (
-        term_lists(terms)
-        .select("doc_id", "n_terms")
-        .join(found, "doc_id", "left")
-        .withColumn("error", error)
+    error = F.when(F.size("missing") == F.col("n_terms"), "none_found").when(
+        F.size("missing") > 0, "terms_missing"
     )
+    return found.withColumn("error", error)
+
+
+def term_hits(pages: DataFrame, terms: DataFrame) -> DataFrame:
+    """Occurrences of each term per document, counted on the original text."""
+    lists = term_lists(terms)
+    matched = _matched(pages.select("doc_id", "page_no", "text"), lists, "inner")
+    return _hits(matched.select("doc_id", "__match.hits"), lists)
+
+
+def redaction_verdicts(pages: DataFrame, terms: DataFrame) -> DataFrame:
+    """Whether each document can be redacted; one missing term fails it and is named."""
+    return _verdicts(term_hits(pages, terms))
 
 
 def redact(pages: DataFrame, terms: DataFrame) -> DataFrame:
@@ -80,20 +81,20 @@ def redact(pages: DataFrame, terms: DataFrame) -> DataFrame:
 
     Documents that fail (see ``redaction_verdicts``) yield no pages, so that nobody
     takes a half-cleaned document for a clean one; documents without a request keep
-    their text.
+    their text. Page text is shuffled and matched once; hits and cleaned pages are stored,
+    and the verdicts come from the stored hits.
     """
-    verdicts = redaction_verdicts(pages, terms).select(
-        "doc_id", F.col("error").isNotNull().alias("failed")
-    )
-    lists = term_lists(terms).select("doc_id", "terms")
-    plan = verdicts.join(lists, "doc_id", "inner")
-    planned = attach(pages, plan, ["doc_id"], ["page_no"])
-    kept = planned.filter(~F.coalesce("failed", F.lit(False)))
-    target = F.when(F.col("terms").isNotNull(), F.col("text"))
-    wanted = F.coalesce("terms", F.array().cast("array<string>"))
-    return kept.withColumn("text", F.coalesce(remove_terms(target, wanted), "text")).drop(
-        "terms", "failed"
-    )
+    lists = term_lists(terms)
+    text = F.coalesce("__match.clean", "text").alias("text")
+    others = [F.col(name) for name in pages.columns if name != "text"]
+    matched = _matched(pages, lists, "left").select(*others, text, F.col("__match.hits").alias("__hits"))
+    clean = write_out(matched, "redacted")
+    counts = clean.filter("__hits IS NOT NULL").select("doc_id", F.col("__hits").alias("hits"))
+    failed = _verdicts(_hits(counts, lists)).filter("error IS NOT NULL").select("doc_id")
+    failed = write_out(failed, "redaction-failed")
+    if failed.count() <= BROADCAST_FAILED:
+        failed = F.broadcast(failed)
+    return clean.join(failed, "doc_id", "left_anti").select(*pages.columns)
 
 
 def check_areas(areas: DataFrame, pages: DataFrame) -> DataFrame:

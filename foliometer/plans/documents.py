@@ -246,7 +246,26 @@ def _verdicts(t):
     return found.withColumn("missing", F.array_join("missing", ","))
 
 
-@query("D9_redact", "doc_id:i page_no:i digest:s")
+# Spans of all terms of a page, each found from left to right, and the text between them.
+_CLEAN = f"""SELECT doc_id, page_no, coalesce(string_agg(substring(text, past + 1, greatest(
+      start - past, 0)), '' ORDER BY start, stop), '') AS text
+    FROM (SELECT *, coalesce(max(stop) OVER (PARTITION BY doc_id, page_no ORDER BY start, stop
+        ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS past
+      FROM (SELECT doc_id, page_no, text, length(text) AS start, length(text) AS stop
+        FROM doc_pages
+        UNION ALL SELECT doc_id, page_no, text, start, start + length(term) FROM (
+          SELECT doc_id, page_no, text, term, k, n, (k - 1) * length(term) + CAST(sum(
+            length(parts[k])) OVER (PARTITION BY doc_id, page_no, term ORDER BY k) AS BIGINT)
+            AS start
+          FROM (SELECT *, len(parts) AS n, unnest(range(1, len(parts) + 1)) AS k FROM (
+            SELECT doc_id, page_no, text, term, string_split(lower(text), term) AS parts
+            FROM doc_pages JOIN ({_TERMS}) USING (doc_id)))) WHERE k < n))
+    WHERE doc_id NOT IN (SELECT doc_id FROM ({_HITS}) WHERE hits = 0)
+    GROUP BY doc_id, page_no"""
+
+
+@query("D9_redact", "doc_id:i page_no:i digest:s", "doc_pages",
+       f"SELECT doc_id, page_no, sha256(text) AS digest FROM ({_CLEAN})")
 def _redact(t):
     clean = redact.redact(t.doc_pages, _terms(t))
     return clean.withColumn("digest", F.sha2("text", 256))
@@ -622,21 +641,31 @@ def _batch(t):
     return batchmap.batch_map(files, _first_half)
 
 
-@query(
-    "U1_batch_map",
-    "job_id:s position:i part:i size:i error_code:s message:s",
-    "",
-    """SELECT CAST(doc_id // 20 AS VARCHAR) AS job_id, doc_id AS position, part,
+_BATCH_COLUMNS = "job_id:s position:i part:i size:i error_code:s message:s"
+_BATCH = """SELECT CAST(doc_id // 20 AS VARCHAR) AS job_id, doc_id AS position, part,
     CASE part WHEN 0 THEN n // 2 WHEN 1 THEN n - n // 2 END AS size,
     CASE WHEN part IS NULL THEN 'PROCESSING_FAILED' END AS error_code,
     CASE WHEN part IS NULL THEN concat(source, ' was refused') END AS message
     FROM (SELECT doc_id, source, octet_length(encode(text)) AS n,
-      unnest(CASE WHEN doc_id % 10 = 7 THEN [NULL] ELSE [0, 1] END) AS part FROM documents)""",
-)
+      unnest(CASE WHEN doc_id % 10 = 7 THEN [NULL] ELSE [0, 1] END) AS part FROM documents)"""
+
+
+@query("U1_batch_map", _BATCH_COLUMNS, "", _BATCH)
 def _batch_map(t):
     return _batch(t).withColumn("size", F.octet_length("output"))
 
 
+def _batch_sql(t):
+    batchmap.register_batch_function(t.spark, "first_half", _first_half)
+    t.raw("documents").createOrReplaceTempView("batch_documents")
+    return t.spark.sql("""SELECT *, octet_length(output) AS size FROM first_half(TABLE(
+        SELECT string(floor(doc_id / 20)) AS job_id, int(doc_id) AS position, source AS name,
+          encode(text, 'UTF-8') AS content FROM batch_documents))""")
+
+
+query("U1_batch_function", _BATCH_COLUMNS, "", _BATCH)(_batch_sql)
+
+
 @query(
     "U1_job_outcomes",
     "job_id:s status:s error_code:s outputs:i",
@@ -656,7 +685,8 @@ def _similarity(t):
     return both.withColumn("ratio", similarity("text_a", "text_b"))
 
 
-@query("U3_remove_terms", "doc_id:i page_no:i n:i")
+@query("U3_remove_terms", "doc_id:i page_no:i n:i", "doc_pages",
+       f"SELECT doc_id, page_no, length(text) AS n FROM ({_CLEAN})")
 def _remove_terms(t):
     clean = redact.redact(t.doc_pages, _terms(t))
     return clean.withColumn("n", F.length("text"))

@@ -401,6 +401,22 @@ def test_settings_overlay(frame):
         "a": {"b": {"c": [], "e": None}}}
 
 
+def test_overlay_of_forty_levels(frame):
+    base, override, expected = {"x": 1}, {"y": '}{"\\'}, {"x": 1, "y": '}{"\\'}
+    for level in range(39):
+        base = {"n": base, "l": [level]}
+        override = {"n": override, "r": '"{['}
+        expected = {"n": expected, "l": [level], "r": '"{['}
+    schema = "key string, value string"
+    b, o = frame([("k", json.dumps(base))], schema), frame([("k", json.dumps(override))], schema)
+    assert json.loads(maintenance.overlay_settings(b, o).first().value) == expected
+    deeper = frame([("k", json.dumps({"n": base}))], schema)
+    above = frame([("k", json.dumps({"n": override}))], schema)
+    with pytest.raises(ValueError):
+        maintenance.overlay_settings(deeper, above)
+    assert maintenance.overlay_settings(b.limit(0), o.limit(0)).isEmpty()
+
+
 def test_overlay_of_missing_sides(frame):
     base = frame([("a", '{"x": 1}')], "key string, value string")
     override = frame([("b", '{"y": 2}')], "key string, value string")
@@ -428,6 +444,23 @@ def test_batch_map_turns_errors_into_rows(frame):
     assert outcomes == [("j", "failed", "INTERNAL_SERVER_ERROR", 2), ("k", "completed", None, 2)]
 
 
+def test_batch_function_of_sql_has_the_rows_of_batch_map(spark, frame):
+    def work(content, name, position):
+        if name is None:
+            raise batchmap.FileError("CODE", "no name")
+        return [content] * position
+
+    files = frame([("j", 2, "a", b"a", 1), ("j", 0, "b", b"", 2), ("j", 1, None, b"c", 3), ("k", 1, "x", None, 4)],
+                  "job_id string, position int, name string, content binary, more int")
+    batchmap.register_batch_function(spark, "repeat_file", work)
+    files.createOrReplaceTempView("files_to_repeat")
+    found = spark.sql("SELECT * FROM repeat_file(TABLE(SELECT more, content, name, position, job_id FROM files_to_repeat))")
+    plain = batchmap.batch_map(files, work)
+    assert found.schema == plain.schema
+    assert sorted(found.collect(), key=repr) == sorted(plain.collect(), key=repr)
+    assert spark.sql("SELECT * FROM repeat_file(TABLE(SELECT * FROM files_to_repeat WHERE more > 9))").isEmpty()
+
+
 def test_a_lowered_hot_key_limit_changes_no_verdict(spark, frame):
     rows = [("b", n, "a.exe", bytearray(b"xx"), 2, "pro") for n in range(60)]
     items = frame(rows, "batch_id string, position int, filename string, head binary, size_bytes long, plan string")

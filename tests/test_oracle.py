@@ -18,9 +18,7 @@ pytestmark = pytest.mark.skipif(not os.path.isdir(FOLDER), reason="no test data"
 WITHOUT_SQL = {
     "D8_compare_pages",
     "D8_compare_documents",
-    "D9_redact",
     "U2_similarity",
-    "U3_remove_terms",
     "W8_trend_stream_approx",
 }
 
