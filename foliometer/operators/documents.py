@@ -8,16 +8,20 @@ ranges instead of a window over the document.
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.filenames import file_stem
 from ..functions.pages import fill_template, page_matches, selection_error, selection_ranges
-from ..functions.text import blank, let
+from ..functions.text import blank
 from .prefix import running_total
 from .skew import attach
 
 # Pages that are joined to ranges together.
 BLOCK = 256
+# A selection of pages: its document and a digest of its text, which is too long to go with
+# every range.
+SELECTION = ["doc_id", "selection"]
 
 
 def document_lengths(pages: DataFrame) -> DataFrame:
@@ -62,24 +66,33 @@ def merge_documents(pages: DataFrame, plan: DataFrame) -> DataFrame:
     )
 
 
-def _placed_ranges(ranges: Column) -> Column:
-    """Ranges with ``skip``: how many pages the ranges before them select."""
+def _ranges(selections: DataFrame, column: str, keys) -> DataFrame:
+    """One row per range of a selection (``keys, at, first, last``), as written."""
+    ranges = F.posexplode(selection_ranges(column)).alias("at", "r")
+    rows = selections.select(*keys, ranges).select(*keys, "at", "r.first", "r.last")
+    return rows.filter("first <= last")
 
-    def placed(kept: Column) -> Column:
-        def skipped(index: Column) -> Column:
-            return _covered(F.slice(kept, F.lit(1), index))
 
-        return F.transform(
-            kept,
-            lambda r, i: F.struct(
-                r["first"].alias("first"), r["last"].alias("last"), skipped(i).alias("skip")
-            ),
-        )
+def _placed_ranges(selections: DataFrame, column: str, keys) -> DataFrame:
+    """Ranges ``r`` with ``skip``: how many pages the ranges before them select.
+
+    The rows of a group come from the text of one selection.
+    """
+    rows = _ranges(selections, column, keys)
+    earlier = W.partitionBy(*keys).orderBy("at").rowsBetween(W.unboundedPreceding, -1)
+    skip = F.coalesce(F.sum(F.col("last") - F.col("first") + 1).over(earlier), F.lit(0))
+    return rows.select(*keys, F.struct("first", "last", skip.alias("skip")).alias("r"))
+
 
-    return let(F.filter(ranges, lambda r: r["first"] <= r["last"]), placed)
+def _disjoint_ranges(rows: DataFrame, keys) -> DataFrame:
+    """Ranges that cover the same pages once: each starts behind all that start before it."""
+    order = W.partitionBy(*keys).orderBy("first", "last")
+    reached = F.max("last").over(order.rowsBetween(W.unboundedPreceding, -1))
+    start = F.greatest("first", F.coalesce(reached, F.lit(-1)) + 1)
+    return rows.withColumn("start", start).filter("start <= last").drop("first").withColumnRenamed("start", "first")
 
 
-def _pages_in(pages: DataFrame, ranges: DataFrame) -> DataFrame:
+def _pages_in(pages: DataFrame, ranges: DataFrame, how: str = "inner") -> DataFrame:
     """Pages joined to the ranges (``r``) of their document that contain them.
 
     Pages meet ranges block by block: a long document is spread over tasks, and a page
@@ -92,27 +105,15 @@ def _pages_in(pages: DataFrame, ranges: DataFrame) -> DataFrame:
     touched = F.explode(F.sequence(block(F.col("r.first")), block(F.col("r.last"))))
     blocks = ranges.withColumn("block", touched)
     keyed = pages.withColumn("block", block(F.col("page_no")))
-    within = F.col("page_no").between(F.col("r.first"), F.col("r.last"))
-    return keyed.join(blocks, ["doc_id", "block"], "inner").filter(within).drop("block")
-
-
-def _disjoint_ranges(ranges: Column) -> Column:
-    """Sorted ranges without overlap that cover the same pages."""
-
-    def cut(ordered: Column) -> Column:
-        def reached(index: Column) -> Column:
-            earlier = F.slice(ordered, F.lit(1), index)
-            return F.coalesce(F.array_max(F.transform(earlier, lambda r: r["last"])), F.lit(0))
-
-        return F.transform(
-            ordered,
-            lambda r, i: F.struct(
-                F.greatest(r["first"], reached(i) + 1).alias("first"), r["last"].alias("last")
-            ),
-        )
-
-    ordered = F.array_sort(F.filter(ranges, lambda r: r["first"] <= r["last"]))
-    return F.filter(let(ordered, cut), lambda r: r["first"] <= r["last"])
+    p, b = keyed.alias("p"), blocks.alias("b")
+    within = (
+        (F.col("p.doc_id") == F.col("b.doc_id"))
+        & (F.col("p.block") == F.col("b.block"))
+        & F.col("p.page_no").between(F.col("b.r.first"), F.col("b.r.last"))
+    )
+    own = [F.col(f"p.{name}") for name in pages.columns]
+    others = [F.col(f"b.{name}") for name in ranges.columns if name != "doc_id"]
+    return p.join(b, within, how).select(*own, *others)
 
 
 def _checked(specs: DataFrame, pages: DataFrame, selection: str = "pages") -> DataFrame:
@@ -122,34 +123,29 @@ def _checked(specs: DataFrame, pages: DataFrame, selection: str = "pages") -> Da
     error = F.when(F.col("n_pages").isNull(), "no_pages").otherwise(
         selection_error(selection, "n_pages")
     )
-    return known.withColumn("error", error)
+    return known.withColumns({"error": error, "selection": F.md5(selection)})
 
 
 def selection_errors(specs: DataFrame, pages: DataFrame, deleting: bool = False) -> DataFrame:
     """Selections that fail, with their error; for a deletion also those that take all pages."""
     checked = _checked(specs, pages)
     if deleting:
-        checked = checked.withColumn("error", F.coalesce("error", _all_deleted()))
+        usable = checked.filter(F.col("error").isNull())
+        single = _disjoint_ranges(_ranges(usable, "pages", SELECTION), SELECTION)
+        covered = single.groupBy(*SELECTION).agg(
+            F.sum(F.col("last") - F.col("first") + 1).alias("covered")
+        )
+        everything = F.when(F.col("covered") >= F.col("n_pages"), "all_pages")
+        checked = checked.join(covered, SELECTION, "left").withColumn(
+            "error", F.coalesce("error", everything)
+        )
     return checked.filter(F.col("error").isNotNull()).select("doc_id", "pages", "error")
 
 
-def _covered(ranges: Column) -> Column:
-    return F.aggregate(
-        ranges, F.lit(0).cast("long"), lambda total, r: total + r["last"] - r["first"] + 1
-    )
-
-
-def _all_deleted() -> Column:
-    covered = _covered(_disjoint_ranges(selection_ranges("pages")))
-    return F.when(covered >= F.col("n_pages"), "all_pages")
-
-
 def extract_pages(pages: DataFrame, specs: DataFrame) -> DataFrame:
     """Selected pages in the order given, repeats kept (``specs(doc_id, pages)``)."""
     usable = _checked(specs, pages).filter(F.col("error").isNull())
-    ranges = usable.select(
-        "doc_id", F.explode(_placed_ranges(selection_ranges("pages"))).alias("r")
-    )
+    ranges = _placed_ranges(usable, "pages", SELECTION).drop("selection")
     return _pages_in(pages, ranges).select(
         "doc_id",
         (F.col("r.skip") + F.col("page_no") - F.col("r.first") + 1).alias("out_page"),
@@ -170,13 +166,8 @@ def split_documents(pages: DataFrame, specs: DataFrame) -> DataFrame:
     by_range = sized.filter(~F.col("every_page") & ~faulty).select(
         "doc_id", "name", F.posexplode("ranges").alias("part", "label")
     )
-    pieces = by_range.select(
-        "doc_id",
-        "name",
-        (F.col("part") + 1).cast("long").alias("part"),
-        "label",
-        F.explode(_placed_ranges(selection_ranges("label"))).alias("r"),
-    )
+    numbered = by_range.withColumn("part", (F.col("part") + 1).cast("long"))
+    pieces = _placed_ranges(numbered, "label", ["doc_id", "name", "part", "label"])
     ranged = _pages_in(pages, pieces).select(
         "doc_id",
         "name",
@@ -213,22 +204,26 @@ def delete_pages(pages: DataFrame, specs: DataFrame) -> DataFrame:
     Failed selections, among them those that would leave no page, yield no rows; see
     ``selection_errors``.
     """
-    checked = _checked(specs, pages).filter(F.col("error").isNull())
-    usable = checked.filter(_all_deleted().isNull()).select(
-        "doc_id", _disjoint_ranges(selection_ranges("pages")).alias("gone")
-    )
-    page = F.col("page_no")
-    doomed = F.exists("gone", lambda r: page.between(r["first"], r["last"]))
-    below = F.aggregate(
-        "gone",
-        F.lit(0).cast("long"),
-        lambda total, r: total
-        + F.greatest(F.lit(0), F.least(r["last"], page - 1) - r["first"] + 1),
+    usable = _checked(specs, pages).filter(F.col("error").isNull())
+    # A page 0 in front of every document lets each gap follow a deleted range.
+    keys = [*SELECTION, "n_pages"]
+    front = usable.select(*keys, F.lit(-1).alias("at"), *[F.lit(0).cast("long").alias(n) for n in ("first", "last")])
+    gone = _disjoint_ranges(_ranges(usable, "pages", keys).unionByName(front), keys)
+    order = W.partitionBy(*keys).orderBy("first", "last")
+    next_gone = F.coalesce(F.lead("first").over(order), F.col("n_pages") + 1)
+    removed = F.sum(F.col("last") - F.col("first") + 1).over(
+        order.rowsBetween(W.unboundedPreceding, W.currentRow)
     )
-    return (
-        _to_pages(pages, usable, "inner")
-        .filter(~doomed)
-        .select("doc_id", (page - below).alias("out_page"), "page_no", "text")
+    left = gone.select(
+        "doc_id",
+        F.struct(
+            (F.col("last") + 1).alias("first"),
+            (next_gone - 1).alias("last"),
+            (removed - 1).alias("removed"),
+        ).alias("r"),
+    ).filter("r.first <= r.last")
+    return _pages_in(pages, left).select(
+        "doc_id", (F.col("page_no") - F.col("r.removed")).alias("out_page"), "page_no", "text"
     )
 
 
@@ -278,28 +273,30 @@ def rotate_pages(pages: DataFrame, specs: DataFrame) -> DataFrame:
         (F.col("angle") % 90 != 0) | (F.col("angle") % 360 == 0), "invalid_angle"
     )
     page_error = F.when(~blank("pages"), selection_error("pages", "n_pages"))
-    checked = specs.join(lengths, "doc_id", "inner").select(
-        "doc_id",
-        "angle",
-        "apply_to",
-        F.when(~blank("pages"), selection_ranges("pages")).alias("chosen"),
-        F.coalesce(angle_error, page_error).alias("error"),
+    keys = ["doc_id", "angle", "apply_to", "error", "n_pages"]
+    checked = specs.join(lengths, "doc_id", "inner").withColumn(
+        "error", F.coalesce(angle_error, page_error)
     )
-    page = F.col("page_no")
-    selected = F.col("chosen").isNull() | F.exists(
-        "chosen", lambda r: page.between(r["first"], r["last"])
+    # A document with an error carries it on all its pages.
+    whole = blank("pages") | F.col("error").isNotNull()
+    first, last = F.lit(1).cast("long").alias("first"), F.col("n_pages").cast("long").alias("last")
+    all_pages = checked.filter(whole).select(*keys, first, last)
+    some_pages = _disjoint_ranges(_ranges(checked.filter(~whole), "pages", keys), keys).drop("at")
+    ranges = all_pages.unionByName(some_pages).select(
+        "doc_id", "angle", "apply_to", "error", F.struct("first", "last").alias("r")
     )
+    page = F.col("page_no")
     parity = (
         F.when(F.col("apply_to") == "odd", page % 2 == 1)
         .when(F.col("apply_to") == "even", page % 2 == 0)
         .otherwise(F.lit(True))
     )
-    turned = F.col("angle").isNotNull() & F.col("error").isNull() & selected & parity
+    turned = F.col("r").isNotNull() & F.col("error").isNull() & parity
     rotation = F.when(turned, F.pmod(F.col("rotation") + F.col("angle"), F.lit(360)))
     return (
-        _to_pages(pages, checked)
+        _pages_in(pages, ranges, "left")
         .withColumn("rotation", F.coalesce(rotation, "rotation"))
-        .drop("angle", "apply_to", "chosen")
+        .drop("angle", "apply_to", "r")
     )
 
 
