@@ -178,18 +178,30 @@ def unpack_file(data: bytes, code: Code, crc: int):
     return part, seq, start, names, np.split(ids, np.cumsum(lengths[:-1].astype(np.int64)))
 
 
-def tokenized(docs: DataFrame, path: str | None = None, end: int | None = 1, key: str = "doc_id") -> DataFrame:
-    """(key long, ids binary): ids of each whole text as little-endian 32-bit integers."""
+def id_type(path: str, end: int | None) -> str:
+    """The narrowest unsigned integers that hold every id of a vocabulary and ``end``."""
+    largest = max(max(word_ids(path).tokenizer.get_vocab().values()), end or 0)
+    return "<u2" if largest < 2**16 else "<u4"
+
+
+def tokenized(
+    docs: DataFrame, path: str | None = None, end: int | None = 1, key: str = "doc_id", kind: str = "<u4"
+) -> DataFrame:
+    """(key long, ids binary): ids of each whole text as little-endian integers of ``kind``.
+
+    A null or empty text has no ids but ``end``; no row is left out.
+    """
     path = path or vocabulary()
 
     def start():
         known = word_ids(path)
+        width = np.dtype(kind).itemsize
 
         def work(batch):
             ids, lengths = known.of(batch.column(1).to_pylist(), end)
             offsets = np.zeros(len(lengths) + 1, np.int64)
-            np.cumsum(4 * lengths, out=offsets[1:])
-            data = pa.py_buffer(ids.astype("<u4").tobytes())
+            np.cumsum(width * lengths, out=offsets[1:])
+            data = pa.py_buffer(ids.astype(kind).tobytes())
             large = pa.Array.from_buffers(pa.large_binary(), len(lengths), [None, pa.py_buffer(offsets), data])
             yield [batch.column(0), large.cast(pa.binary())]
 
@@ -199,14 +211,14 @@ def tokenized(docs: DataFrame, path: str | None = None, end: int | None = 1, key
     return map_batches(rows, start, f"{key} long, ids binary")
 
 
-def id_counts(tokens: DataFrame) -> np.ndarray:
+def id_counts(tokens: DataFrame, kind: str = "<u4") -> np.ndarray:
     """How often each id occurs in all documents; at most one row per vocabulary entry."""
 
     def run(batches):
         total = np.zeros(0, np.int64)
         for batch in batches:
             for data in batch.column(0).to_pylist():
-                found = np.bincount(np.frombuffer(data, "<u4"))
+                found = np.bincount(np.frombuffer(data, kind))
                 if len(found) > len(total):
                     total, found = found, total
                 total[: len(found)] += found
@@ -230,7 +242,9 @@ class TokenFiles:
     parts: DataFrame
 
 
-def write_tokens(tokens: DataFrame, key: str = "doc_id", folder: str | None = None) -> TokenFiles:
+def write_tokens(
+    tokens: DataFrame, key: str = "doc_id", folder: str | None = None, kind: str = "<u4"
+) -> TokenFiles:
     """Encode a stored table of ``tokenized`` documents into files in ascending key order.
 
     Null keys come first, rows of equal keys in the order of a hash of their ids. Documents
@@ -239,7 +253,7 @@ def write_tokens(tokens: DataFrame, key: str = "doc_id", folder: str | None = No
     """
     spark = tokens.sparkSession
     folder = folder or scratch(spark, "tokens")
-    counts = id_counts(tokens)
+    counts = id_counts(tokens, kind)
     limit = max(SHORTEST_LIMIT, int(np.ceil(np.log2(max(2, np.count_nonzero(counts))))) + 1)
     lengths = code_lengths(counts, limit)
     write_file(f"{folder}/code", "lengths.bin", lengths.tobytes())
@@ -261,7 +275,7 @@ def write_tokens(tokens: DataFrame, key: str = "doc_id", folder: str | None = No
         for batch in batches:
             for name, data in zip(*(column.to_pylist() for column in batch.columns), strict=True):
                 keys.append(name)
-                ids.append(np.frombuffer(data, "<u4"))
+                ids.append(np.frombuffer(data, kind))
                 n_ids += len(ids[-1])
                 if n_ids >= FILE_IDS:
                     yield finish()
@@ -315,6 +329,11 @@ def read_tokens(spark, files: TokenFiles, key: str = "doc_id", keep_ids: bool =
 
 
 def round_trip(docs: DataFrame, path: str | None = None, end: int | None = 1) -> DataFrame:
-    """Encode all documents into token files and read them back."""
-    tokens = stored(tokenized(docs, path, end), "ids")
-    return read_tokens(docs.sparkSession, write_tokens(tokens))
+    """Encode all documents into token files and read them back.
+
+    A null text counts as empty, an empty table gives no rows, other columns are passed over.
+    """
+    path = path or vocabulary()
+    kind = id_type(path, end)
+    tokens = stored(tokenized(docs, path, end, kind=kind), "ids")
+    return read_tokens(docs.sparkSession, write_tokens(tokens, kind=kind))
