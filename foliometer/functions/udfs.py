@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..constants import DIFF_LINES, UNCHANGED_RATIO
+from .matching import below, ratio
 from .text import SPACE
 
 # A changed line of a diff; one that starts with three marks counts as a heading.
@@ -28,29 +29,19 @@ def nfkc(text: pd.Series) -> pd.Series:
     return text.map(lambda value: unicodedata.normalize("NFKC", value), na_action="ignore")
 
 
-def _ratio(left: str, right: str) -> float:
-    return difflib.SequenceMatcher(None, left, right).ratio()
-
-
 @F.pandas_udf(T.DoubleType())
 def similarity(left: pd.Series, right: pd.Series) -> pd.Series:
     """Similarity of two texts in [0, 1]; NULL on the left stays NULL."""
     pairs = zip(left, right, strict=True)
-    return pd.Series([None if a is None else _ratio(a, b) for a, b in pairs], dtype="float64")
-
-
-def _differs(left: str, right: str) -> bool:
-    """Whether the ratio is below the threshold, cheapest upper bound first."""
-    matcher = difflib.SequenceMatcher(None, left, right)
-    bounds = (matcher.real_quick_ratio, matcher.quick_ratio, matcher.ratio)
-    return any(bound() < UNCHANGED_RATIO for bound in bounds)
+    return pd.Series([None if a is None else ratio(a, b) for a, b in pairs], dtype="float64")
 
 
 @F.pandas_udf(T.BooleanType())
 def differs(left: pd.Series, right: pd.Series) -> pd.Series:
     """Whether two texts are less than 99.9 % similar; NULL on the left stays NULL."""
     pairs = zip(left, right, strict=True)
-    return pd.Series([None if a is None else _differs(a, b) for a, b in pairs], dtype="object")
+    found = [None if a is None else below(a, b, UNCHANGED_RATIO) for a, b in pairs]
+    return pd.Series(found, dtype="object")
 
 
 def _diff_lines(left: str, right: str) -> list[str]:

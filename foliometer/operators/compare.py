@@ -41,12 +41,12 @@ def compare_pages(pages: DataFrame, pairs: DataFrame) -> DataFrame:
     )
 
 
-def page_changes(pages: DataFrame, pairs: DataFrame) -> DataFrame:
-    """Whether each page changed, without its exact similarity.
+def settled_changes(pages: DataFrame, pairs: DataFrame) -> DataFrame:
+    """Both texts of each page and ``settled``: whether it changed, where lengths tell.
 
-    Twice the shorter length over the common length bounds the similarity from above,
-    which settles most pages in the JVM; the rest are tried against tighter bounds
-    before the full comparison.
+    Equal texts have not changed. Twice the shorter length over the common length bounds the
+    similarity from above; it is 0 for a page that one document lacks. Where neither decides,
+    ``settled`` is NULL.
     """
     both = paired_pages(pages, pairs)
     size_a, size_b = F.length("text_a"), F.length("text_b")
@@ -54,7 +54,16 @@ def page_changes(pages: DataFrame, pairs: DataFrame) -> DataFrame:
     settled = F.when(F.col("text_a") == F.col("text_b"), F.lit(False)).when(
         bound < UNCHANGED_RATIO, F.lit(True)
     )
-    known = both.withColumn("settled", settled)
+    return both.withColumn("settled", settled)
+
+
+def page_changes(pages: DataFrame, pairs: DataFrame) -> DataFrame:
+    """Whether each page changed, without its exact similarity.
+
+    Most pages are settled in the JVM. For the rest the characters they share and the
+    blocks found so far bound the similarity, until a bound decides.
+    """
+    known = settled_changes(pages, pairs)
     # Settled pages are sent as NULL; the long texts stay behind.
     open_a = F.when(F.col("settled").isNull(), F.col("text_a"))
     open_b = F.when(F.col("settled").isNull(), F.col("text_b"))

@@ -190,6 +190,23 @@ def _compare_documents(t):
     return compare.compare_documents(t.doc_pages, _pairs(t))
 
 
+@query(
+    "D8_settled_pages",
+    "pair_id:i page_no:i settled:b",
+    "doc_pages",
+    """SELECT pair_id, page_no, CASE WHEN text_a = text_b THEN false
+      WHEN 2.0 * least(length(text_a), length(text_b)) / (length(text_a) + length(text_b)) < 0.999
+      THEN true END AS settled
+    FROM (SELECT pair_id, page_no, coalesce(a.text, '') AS text_a, coalesce(b.text, '') AS text_b
+      FROM (SELECT doc_id AS pair_id, page_no, text FROM doc_pages) a
+      FULL JOIN (SELECT doc_id - 1 AS pair_id, page_no, text FROM doc_pages
+        WHERE doc_id - 1 IN (SELECT doc_id FROM documents)) b
+      USING (pair_id, page_no))""",
+)
+def _settled(t):
+    return compare.settled_changes(t.doc_pages, _pairs(t))
+
+
 @query(
     "D8_copies",
     "pair_id:i changed_pages:i total_pages:i",
