@@ -22,10 +22,8 @@ from ..operators.skew import attach
 from .banding import BAND_ROWS, band_keys, bucket_links, indexed_across, linked, local_stars
 from .common import STEP, map_batches, mixed, multipliers, only_ids, stored, windows, without_clashes
 
-# Lines whose signatures a task computes together.
-BLOCK = 512
-# A-Z to a-z.
-LOWER = {upper: upper + 32 for upper in range(65, 91)}
+# Characters whose signatures a task computes together; they fit the processor's cache.
+BLOCK_CHARS = 65_536
 BLANK = " \t\n\r\x0b\x0c"
 
 
@@ -50,8 +48,8 @@ EVERY_LINE = Settings(least_chars=1)
 
 
 def plain(line: str) -> str:
-    """A line as it is compared."""
-    return line.strip(BLANK).translate(LOWER)
+    """A line as it is compared; bytes lower only A-Z."""
+    return line.encode().lower().decode().strip(BLANK)
 
 
 def line_node(line: str) -> int:
@@ -75,25 +73,29 @@ def char_hashes(lines: list[str], size: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def signatures(lines: list[str], factors: np.ndarray, size: int) -> np.ndarray:
-    """Minima (permutations x lines). Lines are sorted by length into dense blocks."""
-    order = np.argsort([len(line) for line in lines], kind="stable")
+    """Minima (permutations x lines) of lines of at least ``size`` characters."""
     minima = np.empty((len(factors), len(lines)), np.uint32)
-    for at in range(0, len(order), BLOCK):
-        block = order[at : at + BLOCK]
-        hashes, counts = char_hashes([lines[i] for i in block], size)
-        # Short lines repeat their last shingle to the length of the longest of the block.
+    ends = np.cumsum([len(line) for line in lines])
+    at = 0
+    while at < len(lines):
+        before = ends[at - 1] if at else 0
+        past = max(at + 1, int(np.searchsorted(ends, before + BLOCK_CHARS, "right")))
+        hashes, counts = char_hashes(lines[at:past], size)
         starts = np.cumsum(counts) - counts
-        step = np.minimum(np.arange(counts.max())[:, None], counts - 1)
-        dense = hashes[starts + step]
+        permuted = np.empty_like(hashes)
         for number, factor in enumerate(factors):
-            minima[number, block] = (dense * factor).min(axis=0)
+            np.multiply(hashes, factor, out=permuted)
+            minima[number, at:past] = np.minimum.reduceat(permuted, starts)
+        at = past
     return minima
 
 
 def lines_of(text: str | None, settings: Settings):
     """(position, compared line) of the lines that take part."""
-    for number, line in enumerate((text or "").split("\n")):
-        line = plain(line)
+    # As ``plain``, but lowered at once for the whole text.
+    lowered = (text or "").encode().lower().decode()
+    for number, line in enumerate(lowered.split("\n")):
+        line = line.strip(BLANK)
         if len(line) >= settings.least_chars:
             yield number, line
 
