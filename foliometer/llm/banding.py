@@ -110,9 +110,17 @@ def indexed_across(items: DataFrame, shingles, percent: int, block: int = BLOCK_
     ``items`` is (node, item), ``shingles`` gives the distinct shingle hashes of a list of
     items and how many each has. A bucket of more than ``block`` members is cut into parts
     by hash, and every two parts meet in a task of their own.
+
+    A bucket of two members has no pair but its link, which has been tried. Of buckets with
+    the same members, told by two 64-bit sums over them, one is compared.
     """
 
     def across(members):
+        members = members.filter("members > 2")
+        digests = [F.sum(F.xxhash64(F.lit(seed), "node").cast("decimal(20,0)")).alias(f"d{seed}") for seed in (1, 2)]
+        same = members.groupBy("key", "members").agg(*digests).groupBy("members", "d1", "d2")
+        chosen = stored(same.agg(F.min("key").alias("key")).select("key"), "open-buckets")
+        members = members.join(chosen, "key", "left_semi")
         parts = F.ceil(F.col("members") / block).cast("int")
         part = F.pmod(F.xxhash64("node"), parts).cast("int")
         rows = members.withColumn("part", part).withColumn("other", F.explode(F.sequence(F.lit(0), parts - 1)))
