@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -21,6 +22,8 @@ from .graph import components
 BAND_ROWS = "key long, node long, rep long"
 # Nodes of a bucket that a task compares together.
 BLOCK_MEMBERS = 5000
+# Text whose shingles a task makes at once.
+PIECE_BYTES = 2_000_000
 
 
 def band_keys(minima: np.ndarray, bands: int, rows: int) -> np.ndarray:
@@ -131,35 +134,46 @@ def indexed_across(items: DataFrame, shingles, percent: int, block: int = BLOCK_
         ordered = rows.repartition("key", "one", "two").sortWithinPartitions("key", "one", "two")
         return ordered.select("key", "one", "two", "node", "component", "item").mapInArrow(run, "a long, b long").distinct()
 
-    def finish(table):
-        nodes, groups = (table.column(c).to_numpy() for c in ("node", "component"))
-        hashes, sizes = shingles(table.column("item").to_pylist())
-        return across_links(nodes, groups, hashes, sizes, percent)
-
     def run(batches):
-        parts, current = [], None
+        current, held = None, []
 
         def links():
-            a, b = finish(pa.Table.from_batches(parts))
+            a, b = across_links(*map(np.concatenate, zip(*held, strict=True)), percent)
             return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
 
         for batch in batches:
-            keys = list(zip(*(batch.column(c).to_pylist() for c in ("key", "one", "two")), strict=True))
-            cuts = [0, *[i for i in range(1, len(keys)) if keys[i] != keys[i - 1]], len(keys)]
-            for first, last in zip(cuts, cuts[1:], strict=False):
-                if first == last:
-                    continue
-                if parts and keys[first] != current:
-                    yield links()
-                    parts = []
-                current = keys[first]
-                parts.append(batch.slice(first, last - first))
-        if parts:
+            for piece in pieces(batch):
+                keys = [piece.column(c).to_numpy() for c in ("key", "one", "two")]
+                nodes, groups = (piece.column(c).to_numpy() for c in ("node", "component"))
+                hashes, sizes = shingles(piece.column("item").to_pylist())
+                ends = np.concatenate([[0], np.cumsum(sizes)])
+                new = np.logical_or.reduce([key[1:] != key[:-1] for key in keys])
+                cuts = [0, *(np.flatnonzero(new) + 1), len(nodes)]
+                for first, last in zip(cuts, cuts[1:], strict=False):
+                    bucket = tuple(key[first] for key in keys)
+                    if held and bucket != current:
+                        yield links()
+                        held.clear()
+                    current = bucket
+                    rows = slice(first, last)
+                    held.append((nodes[rows], groups[rows], hashes[ends[first] : ends[last]], sizes[rows]))
+        if held:
             yield links()
 
     return across
 
 
+def pieces(batch: pa.RecordBatch):
+    """Runs of rows of a batch whose items together are not much longer than PIECE_BYTES."""
+    taken = np.cumsum(pc.binary_length(batch.column("item")).to_numpy(zero_copy_only=False))
+    first = 0
+    while first < batch.num_rows:
+        before = taken[first - 1] if first else 0
+        past = max(first + 1, int(np.searchsorted(taken, before + PIECE_BYTES, "right")))
+        yield batch.slice(first, past - first)
+        first = past
+
+
 def across_links(nodes, groups, hashes, sizes, percent):
     """Links (a, b) between similar sets of different groups; at least one for each two groups.
 
@@ -170,10 +184,13 @@ def across_links(nodes, groups, hashes, sizes, percent):
     if len(names) < 2:
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
     owner = np.repeat(np.arange(len(nodes)), sizes)
-    order = np.argsort(hashes, kind="stable")
+    order = np.argsort(hashes)
     posted, sorted_hashes = owner[order], hashes[order]
-    begin = np.searchsorted(sorted_hashes, hashes, "left")
-    end = np.searchsorted(sorted_hashes, hashes, "right")
+    # Where the entries with the same hash begin and end among the sorted ones.
+    edges = np.flatnonzero(np.concatenate([[True], sorted_hashes[1:] != sorted_hashes[:-1], [True]]))
+    same = np.diff(edges)
+    begin, end = np.empty_like(order), np.empty_like(order)
+    begin[order], end[order] = np.repeat(edges[:-1], same), np.repeat(edges[1:], same)
     starts = np.cumsum(sizes) - sizes
     out_a, out_b = [], []
     for at in np.flatnonzero(group != np.argmax(members)):

@@ -20,7 +20,7 @@ from pyspark.sql.types import StructType
 
 from ..operators.skew import attach
 from .banding import BAND_ROWS, band_keys, bucket_links, indexed_across, linked, local_stars
-from .common import STEP, map_batches, mixed, multipliers, only_ids, stored, windows, without_clashes
+from .common import STEP, map_batches, mixed, multipliers, only_ids, stored, without_clashes
 
 # Characters whose signatures a task computes together; they fit the processor's cache.
 BLOCK_CHARS = 65_536
@@ -56,8 +56,8 @@ def line_node(line: str) -> int:
     return xxhash.xxh3_64_intdigest(line.encode())
 
 
-def char_hashes(lines: list[str], size: int) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of all character shingles of lines of at least ``size``, and how many each has."""
+def wide_hashes(lines: list[str], size: int) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of all shingles of lines of at least ``size``, and how many each has."""
     codes = np.frombuffer("".join(lines).encode("utf-32-le"), np.uint32).astype(np.uint64)
     last = len(codes) - size + 1
     run = codes[:last].copy()
@@ -69,7 +69,13 @@ def char_hashes(lines: list[str], size: int) -> tuple[np.ndarray, np.ndarray]:
     counts = lengths - size + 1
     before = np.cumsum(counts) - counts
     inside = np.repeat(starts - before, counts) + np.arange(counts.sum())
-    return (mixed(run[inside]) >> np.uint64(32)).astype(np.uint32), counts
+    return mixed(run[inside]), counts
+
+
+def char_hashes(lines: list[str], size: int) -> tuple[np.ndarray, np.ndarray]:
+    """``wide_hashes`` cut to 32 bits."""
+    hashes, counts = wide_hashes(lines, size)
+    return (hashes >> np.uint64(32)).astype(np.uint32), counts
 
 
 def signatures(lines: list[str], factors: np.ndarray, size: int) -> np.ndarray:
@@ -184,17 +190,18 @@ def similar(percent: int, size: int):
     return run
 
 
-@lru_cache(maxsize=20_000)
-def line_shingles(line: str, size: int) -> np.ndarray:
-    """64-bit hashes of the distinct character shingles of a line."""
-    codes = np.frombuffer(line.encode("utf-32-le"), np.uint32).astype(np.uint64)
-    return np.unique(windows(codes, size))
-
-
 def distinct_shingles(lines: list[str], size: int) -> tuple[np.ndarray, np.ndarray]:
-    """The sets of lines one after another, and how many hashes each has."""
-    sets = [line_shingles(line, size) for line in lines]
-    return np.concatenate(sets), np.array([len(found) for found in sets])
+    """64-bit hashes of the distinct shingles of lines of at least ``size``, one set after
+    another, and how many each has."""
+    hashes, counts = wide_hashes(lines, size)
+    ends = np.cumsum(counts)
+    starts = ends - counts
+    for first, past in zip(starts, ends, strict=True):
+        hashes[first:past].sort()
+    new = np.ones(len(hashes), bool)
+    new[1:] = hashes[1:] != hashes[:-1]
+    new[starts] = True
+    return hashes[new], np.add.reduceat(new, starts, dtype=np.int64)
 
 
 def removed_lines(docs: DataFrame, settings: Settings) -> DataFrame:
