@@ -142,7 +142,7 @@ def indexed_across(items: DataFrame, shingles, percent: int, block: int = BLOCK_
             return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
 
         for batch in batches:
-            for piece in pieces(batch):
+            for piece in pieces(batch, "item"):
                 keys = [piece.column(c).to_numpy() for c in ("key", "one", "two")]
                 nodes, groups = (piece.column(c).to_numpy() for c in ("node", "component"))
                 hashes, sizes = shingles(piece.column("item").to_pylist())
@@ -163,9 +163,9 @@ def indexed_across(items: DataFrame, shingles, percent: int, block: int = BLOCK_
     return across
 
 
-def pieces(batch: pa.RecordBatch):
-    """Runs of rows of a batch whose items together are not much longer than PIECE_BYTES."""
-    taken = np.cumsum(pc.binary_length(batch.column("item")).to_numpy(zero_copy_only=False))
+def pieces(batch: pa.RecordBatch, *texts: str):
+    """Runs of rows of a batch whose texts together are not much longer than PIECE_BYTES."""
+    taken = np.cumsum(sum(pc.binary_length(batch.column(c)).to_numpy(zero_copy_only=False).astype(np.int64) for c in texts))
     first = 0
     while first < batch.num_rows:
         before = taken[first - 1] if first else 0

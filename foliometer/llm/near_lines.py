@@ -9,7 +9,7 @@ every component the first line (by doc_id, then position) stays.
 from __future__ import annotations
 
 from dataclasses import dataclass
-from functools import lru_cache, partial
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from ..operators.skew import attach
-from .banding import BAND_ROWS, band_keys, bucket_links, indexed_across, linked, local_stars
+from .banding import BAND_ROWS, band_keys, bucket_links, indexed_across, linked, local_stars, pieces
 from .common import STEP, map_batches, mixed, multipliers, only_ids, stored, without_clashes
 
 # Characters whose signatures a task computes together; they fit the processor's cache.
@@ -169,23 +169,35 @@ def line_texts(docs: DataFrame, wanted: DataFrame, settings: Settings) -> DataFr
     return map_batches(joined, start, "node long, line string").dropDuplicates(["node"])
 
 
+def shared_shingles(sides: np.ndarray, hashes: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """How many shingles the two lines of each row of ``sides`` share; they number the sets
+    of ``distinct_shingles``."""
+    lengths = sizes[sides].ravel()
+    before = np.cumsum(lengths) - lengths
+    starts = (np.cumsum(sizes) - sizes)[sides].ravel()
+    both = hashes[np.repeat(starts - before, lengths) + np.arange(lengths.sum())]
+    firsts = before[::2]
+    lasts = np.append(firsts[1:], len(both))
+    for first, past in zip(firsts, lasts, strict=True):
+        both[first:past].sort()
+    # Within a set no hash is there twice, so equal neighbours are one from each.
+    twice = np.append(both[1:] == both[:-1], False)
+    twice[lasts - 1] = False
+    return np.add.reduceat(twice, firsts, dtype=np.int64)
+
+
 def similar(percent: int, size: int):
     """Whether two texts have sets of character shingles that are similar enough."""
 
     def run(batches):
-        # The smallest line of a bucket meets many others one after another.
-        @lru_cache(maxsize=1024)
-        def shingles(line):
-            return {line[i : i + size] for i in range(len(line) - size + 1)}
-
         for batch in batches:
-            keep = []
-            for one, two in zip(*(batch.column(c).to_pylist() for c in ("line_a", "line_b")), strict=True):
-                x, y = shingles(one), shingles(two)
-                shared = len(x & y)
-                keep.append(100 * shared >= percent * (len(x) + len(y) - shared))
-            chosen = batch.filter(pa.array(keep, pa.bool_()))
-            yield pa.RecordBatch.from_arrays([chosen.column("a"), chosen.column("b")], ["a", "b"])
+            for piece in pieces(batch, "line_a", "line_b"):
+                lines = pa.concat_arrays([piece.column("line_a"), piece.column("line_b")]).dictionary_encode()
+                hashes, sizes = distinct_shingles(lines.dictionary.to_pylist(), size)
+                sides = lines.indices.to_numpy().reshape(2, -1).T
+                shared = shared_shingles(sides, hashes, sizes)
+                keep = pa.array(100 * shared >= percent * (sizes[sides].sum(axis=1) - shared))
+                yield pa.RecordBatch.from_arrays([piece.column(c).filter(keep) for c in ("a", "b")], ["a", "b"])
 
     return run
 
