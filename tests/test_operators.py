@@ -231,6 +231,27 @@ def test_daily_limit_equals_one_by_one(frame, monkeypatch, limit, component_rows
     assert sorted(r.id for r in got.filter("accepted").collect()) == sequential_limit(rows, limit)
 
 
+@pytest.mark.parametrize("limit", [1, 3])
+def test_daily_limit_drops_repeats_of_an_instant_before_it_counts_components(frame, monkeypatch, limit):
+    rng = random.Random(limit)
+    rows = [
+        (f"{i:04d}", rng.choice(["a@x", "b@x", None]), rng.choice(["1", "2", None]), T0 + timedelta(hours=8 * rng.randrange(4)))
+        for i in range(600)
+    ]
+    df = frame(rows, "id string, email string, client_ip string, created_at timestamp")
+    monkeypatch.setattr(limits, "_settle_in_rounds", lambda *_: pytest.fail("settled in rounds"))
+    got = limits.daily_limit(df, limit, 8 * 4 * limit)
+    expected, taken = set(), []
+    for name, email, ip, at in sorted(rows, key=lambda row: (row[3], row[0])):
+        since = at - timedelta(days=1)
+        near = [t for t in taken if t[2] >= since and ((email and t[0] == email) or (ip and t[1] == ip))]
+        if len(near) < limit:
+            expected.add(name)
+            taken.append((email, ip, at))
+    assert {row.id for row in got.filter("accepted").collect()} == expected
+    assert got.count() == len(rows)
+
+
 def test_daily_limit_can_be_switched_off(frame):
     df = frame([("1", "a", "b", T0)] * 2, "id string, email string, client_ip string, created_at timestamp")
     assert limits.daily_limit(df, 0).filter("accepted").count() == 2
