@@ -147,3 +147,8 @@ def match_terms(text: pd.Series, terms: pd.Series) -> pd.DataFrame:
         else:
             found.append(_terms_of(tuple(wanted)).match(value))
     return pd.DataFrame(found, columns=["hits", "clean"])
+
+
+# Unrolling the hits makes Spark infer a filter on them, for which it would call the function a
+# second time, in a second worker, if it took it for deterministic.
+match_terms = match_terms.asNondeterministic()

@@ -18,6 +18,8 @@ RUNTIME_SETTINGS = {
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
     # Apply "first n per group" before the shuffle for every request limit in use.
     "spark.sql.optimizer.windowGroupLimitThreshold": "100000",
+    # Bytes of an Arrow batch: a Python worker holds a batch several times over.
+    "spark.sql.execution.arrow.maxBytesPerBatch": str(4 << 20),
 }
 
 
