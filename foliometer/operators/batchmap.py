@@ -3,13 +3,28 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from typing import NamedTuple
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.functions import udtf
 
 RESULT = "job_id string, position int, part int, output binary, error_code string, message string"
+ARROW_RESULT = pa.schema(
+    [
+        ("job_id", pa.string()),
+        ("position", pa.int32()),
+        ("part", pa.int32()),
+        ("output", pa.binary()),
+        ("error_code", pa.string()),
+        ("message", pa.string()),
+    ]
+)
+# Bytes of results that a task sends on together.
+RESULT_BYTES = 4 << 20
+# Small results that a task sends on together.
+RESULT_ROWS = 10_000
 
 
 class FileError(Exception):
@@ -24,6 +39,18 @@ class FileError(Exception):
 PerFile = Callable[[bytes, str, int], bytes | list[bytes]]
 
 
+class File(NamedTuple):
+    job_id: str
+    position: int
+    name: str
+    content: bytes
+
+
+def _batch(rows: list[tuple]) -> pa.RecordBatch:
+    columns = zip(zip(*rows, strict=True), ARROW_RESULT, strict=True)
+    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in columns], schema=ARROW_RESULT)
+
+
 def _outcome(fn: PerFile, row) -> Iterator[tuple]:
     """Result rows of one file; a failure is a row too."""
     try:
@@ -44,20 +71,25 @@ def batch_map(files: DataFrame, fn: PerFile) -> DataFrame:
     ``files(job_id, position, name, content)``. Each input yields no, one or several
     outputs (``part``); an exception becomes a row with ``error_code`` and ``message``
     and does not stop the job. Results keep ``position``, which restores input order.
+    A task holds a batch of files and some megabytes of results, however many there are.
     """
-    columns = ["job_id", "position", "part", "output", "error_code", "message"]
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows, size = [], 0
         for batch in batches:
-            rows = [
-                result
-                for row in batch.itertuples(index=False, name="File")
-                for result in _outcome(fn, row)
-            ]
-            yield pd.DataFrame(rows, columns=columns).astype({"part": "Int32"})
+            for at in range(batch.num_rows):
+                # One file at a time leaves the batch.
+                (values,) = batch.slice(at, 1).to_pylist()
+                for result in _outcome(fn, File(**values)):
+                    rows.append(result)
+                    size += len(result[3] or b"")
+                    if size >= RESULT_BYTES or len(rows) >= RESULT_ROWS:
+                        yield _batch(rows)
+                        rows, size = [], 0
+        if rows:
+            yield _batch(rows)
 
     inputs = files.select("job_id", F.col("position").cast("int"), "name", "content")
-    return inputs.mapInPandas(run, RESULT)
+    return inputs.mapInArrow(run, RESULT)
 
 
 def register_batch_function(spark: SparkSession, name: str, fn: PerFile) -> None:
