@@ -85,3 +85,21 @@ def test_a_long_page_takes_seconds():
     assert not matching.below(left, right, 0.999)
     assert matching.below(left, left[::-1], 0.999)
     assert time.monotonic() - start < 60
+
+
+def test_short_texts_are_matched_with_their_runs_listed_once(monkeypatch):
+    rng = random.Random(7)
+    pairs = [("", ""), ("", "a"), ("a", "")]
+    for letters in ("ab", "abc ", "etaoin shrdlucmfwypvbgkqjxzäöü€😀"):
+        for size_a, size_b in [(1, 40), (150, 150), (900, 199), (250, 900), (700, 700)]:
+            pairs.append(tuple("".join(rng.choices(letters, k=size)) for size in (size_a, size_b)))
+        text = pairs[-1][0]
+        pairs.append((text, text[:300] + "b" + text[340:]))
+    expected = [difflib.SequenceMatcher(None, a, b).ratio() for a, b in pairs]
+    assert [matching.ratio(a, b) for a, b in pairs] == expected
+    # Too many equal characters are not listed; the figures stay.
+    monkeypatch.setattr(matching, "RUN_POINTS", 50)
+    assert [matching.ratio(a, b) for a, b in pairs] == expected
+    monkeypatch.undo()
+    monkeypatch.setattr(matching.difflib, "SequenceMatcher", None)
+    assert matching.ratio(*pairs[-1]) == expected[-1]
