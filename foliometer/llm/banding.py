@@ -20,8 +20,6 @@ from .common import MIX_1, STEP, mixed, stored
 from .graph import components
 
 BAND_ROWS = "key long, node long, rep long"
-# Nodes of a bucket that a task compares together.
-BLOCK_MEMBERS = 5000
 # Text whose shingles a task makes at once.
 PIECE_BYTES = 2_000_000
 
@@ -93,38 +91,32 @@ def linked(buckets: DataFrame, confirm, across) -> DataFrame:
     return components(first.union(second))
 
 
-def all_across(confirm, tried: DataFrame):
-    """``across`` by pairs: those of different components that are not in ``tried``."""
-
-    def across(members):
-        one, two = (
-            members.select("key", F.col("node").alias(n), F.col("component").alias(c))
-            for n, c in (("a", "of_a"), ("b", "of_b"))
-        )
-        pairs = one.join(two, "key").filter("a < b AND of_a <> of_b").select("a", "b").distinct()
-        return confirm(pairs.join(tried.select("a", "b").distinct(), ["a", "b"], "left_anti"))
-
-    return across
-
-
-def indexed_across(items: DataFrame, shingles, percent: int, block: int = BLOCK_MEMBERS):
+def indexed_across(items: DataFrame, sets, percent: int, block: int, close=None):
     """``across`` by an inverted index per bucket, without a row per pair.
 
-    ``items`` is (node, item), ``shingles`` gives the distinct shingle hashes of a list of
-    items and how many each has. A bucket of more than ``block`` members is cut into parts
-    by hash, and every two parts meet in a task of their own.
+    ``items`` is (node, item, other columns); ``sets`` gives the distinct shingle hashes of a
+    column of items and how many each has. A bucket of more than ``block`` members, or entries
+    where ``items`` counts them as ``entries``, is cut into parts by hash, and every two parts
+    meet in a task of their own. ``close`` takes the other columns of a bucket by name and
+    returns a function that says which of its members may be similar to one of them; without
+    it, all are looked up.
 
     A bucket of two members has no pair but its link, which has been tried. Of buckets with
     the same members, told by two 64-bit sums over them, one is compared.
     """
+    others = [c for c in items.columns if c not in ("node", "item", "entries")]
 
     def across(members):
         members = members.filter("members > 2")
+        if "entries" in items.columns:
+            members = members.join(items.select("node", "entries"), "node")
+        else:
+            members = members.withColumn("entries", F.lit(1))
         digests = [F.sum(F.xxhash64(F.lit(seed), "node").cast("decimal(20,0)")).alias(f"d{seed}") for seed in (1, 2)]
-        same = members.groupBy("key", "members").agg(*digests).groupBy("members", "d1", "d2")
-        chosen = stored(same.agg(F.min("key").alias("key")).select("key"), "open-buckets")
-        members = members.join(chosen, "key", "left_semi")
-        parts = F.ceil(F.col("members") / block).cast("int")
+        same = members.groupBy("key", "members").agg(F.sum("entries").alias("total"), *digests)
+        chosen = same.groupBy("members", "total", "d1", "d2").agg(F.min("key").alias("key")).select("key", "total")
+        members = members.join(stored(chosen, "open-buckets"), "key")
+        parts = F.ceil(F.col("total") / block).cast("int")
         part = F.pmod(F.xxhash64("node"), parts).cast("int")
         rows = members.withColumn("part", part).withColumn("other", F.explode(F.sequence(F.lit(0), parts - 1)))
         rows = rows.select(
@@ -132,20 +124,22 @@ def indexed_across(items: DataFrame, shingles, percent: int, block: int = BLOCK_
         )
         rows = stored(rows, "open-members").join(items, "node")
         ordered = rows.repartition("key", "one", "two").sortWithinPartitions("key", "one", "two")
-        return ordered.select("key", "one", "two", "node", "component", "item").mapInArrow(run, "a long, b long").distinct()
+        chosen = ordered.select("key", "one", "two", "node", "component", "item", *others)
+        return chosen.mapInArrow(run, "a long, b long").distinct()
 
     def run(batches):
-        current, held = None, []
+        current, held, more = None, [], []
 
         def links():
-            a, b = across_links(*map(np.concatenate, zip(*held, strict=True)), percent)
+            may = close and close({c: pa.concat_arrays([m[c] for m in more]) for c in others})
+            a, b = across_links(*map(np.concatenate, zip(*held, strict=True)), percent, may, unite=True)
             return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
 
         for batch in batches:
             for piece in pieces(batch, "item"):
                 keys = [piece.column(c).to_numpy() for c in ("key", "one", "two")]
                 nodes, groups = (piece.column(c).to_numpy() for c in ("node", "component"))
-                hashes, sizes = shingles(piece.column("item").to_pylist())
+                hashes, sizes = sets(piece.column("item"))
                 ends = np.concatenate([[0], np.cumsum(sizes)])
                 new = np.logical_or.reduce([key[1:] != key[:-1] for key in keys])
                 cuts = [0, *(np.flatnonzero(new) + 1), len(nodes)]
@@ -154,18 +148,26 @@ def indexed_across(items: DataFrame, shingles, percent: int, block: int = BLOCK_
                     if held and bucket != current:
                         yield links()
                         held.clear()
+                        more.clear()
                     current = bucket
                     rows = slice(first, last)
                     held.append((nodes[rows], groups[rows], hashes[ends[first] : ends[last]], sizes[rows]))
+                    more.append({c: piece.column(c).slice(first, last - first) for c in others})
         if held:
             yield links()
 
     return across
 
 
-def pieces(batch: pa.RecordBatch, *texts: str):
-    """Runs of rows of a batch whose texts together are not much longer than PIECE_BYTES."""
-    taken = np.cumsum(sum(pc.binary_length(batch.column(c)).to_numpy(zero_copy_only=False).astype(np.int64) for c in texts))
+def column_bytes(column: pa.Array) -> np.ndarray:
+    """Bytes of each text, or of each list of longs."""
+    sizes = pc.multiply(pc.list_value_length(column), 8) if pa.types.is_list(column.type) else pc.binary_length(column)
+    return sizes.to_numpy(zero_copy_only=False).astype(np.int64)
+
+
+def pieces(batch: pa.RecordBatch, *items: str):
+    """Runs of rows of a batch whose items together are not much longer than PIECE_BYTES."""
+    taken = np.cumsum(sum(column_bytes(batch.column(c)) for c in items))
     first = 0
     while first < batch.num_rows:
         before = taken[first - 1] if first else 0
@@ -174,11 +176,13 @@ def pieces(batch: pa.RecordBatch, *texts: str):
         first = past
 
 
-def across_links(nodes, groups, hashes, sizes, percent):
+def across_links(nodes, groups, hashes, sizes, percent, close=None, unite=False):
     """Links (a, b) between similar sets of different groups; at least one for each two groups.
 
     ``hashes`` holds the sets one after another, ``sizes`` how many entries each has. Sets of
-    the largest group are looked up by those of the others.
+    the largest group are looked up by those of the others. ``close(at)`` says which sets may
+    be similar to that at ``at``. With ``unite``, groups become one as soon as they are linked,
+    so that there are fewer links than groups.
     """
     names, group, members = np.unique(groups, return_inverse=True, return_counts=True)
     if len(names) < 2:
@@ -194,15 +198,21 @@ def across_links(nodes, groups, hashes, sizes, percent):
     starts = np.cumsum(sizes) - sizes
     out_a, out_b = [], []
     for at in np.flatnonzero(group != np.argmax(members)):
+        apart = group != group[at]
+        if close:
+            apart &= close(at)
+        if not apart.any():
+            continue
         mine = slice(starts[at], starts[at] + sizes[at])
         length = end[mine] - begin[mine]
         before = np.cumsum(length) - length
         found = posted[np.repeat(begin[mine] - before, length) + np.arange(length.sum())]
         shared = np.bincount(found, minlength=len(nodes))
-        close = (100 * shared >= percent * (sizes[at] + sizes - shared)) & (group != group[at])
-        hits = np.flatnonzero(close)
+        hits = np.flatnonzero(apart & (100 * shared >= percent * (sizes[at] + sizes - shared)))
         if len(hits):
-            _, once = np.unique(group[hits], return_index=True)
+            linked_groups, once = np.unique(group[hits], return_index=True)
             out_a += [nodes[at]] * len(once)
             out_b += nodes[hits[once]].tolist()
+            if unite:
+                group[np.isin(group, linked_groups)] = group[at]
     return np.array(out_a, np.int64), np.array(out_b, np.int64)

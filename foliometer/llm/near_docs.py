@@ -14,12 +14,13 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from .banding import BAND_ROWS, all_across, band_keys, bucket_links, linked, local_stars
+from .banding import BAND_ROWS, band_keys, bucket_links, indexed_across, linked, local_stars
 from .common import (
     long_lists,
     map_batches,
@@ -55,6 +56,8 @@ class Settings:
 
 PACKED = 8  # longs of a signature: 256 minima of 2 bits
 LOW_BITS = 0x5555555555555555
+# Shingles of the sets of a bucket that a task compares together.
+BLOCK_SHINGLES = 500_000
 
 
 def set_node(shingles: np.ndarray) -> int:
@@ -167,6 +170,34 @@ def estimate(one: str, two: str, bits: int = 2) -> Column:
     return (agreeing - chance) / (1 - chance)
 
 
+def closeness(settings: Settings):
+    """For ``indexed_across``: the members of a bucket that ``estimate`` does not rule out."""
+
+    def close(columns):
+        column = columns["signature"]
+        known = column.is_valid().to_numpy(zero_copy_only=False)
+        packs = np.zeros((len(column), PACKED), np.uint64)
+        packs[known] = column.drop_null().flatten().to_numpy().view(np.uint64).reshape(-1, PACKED)
+        least = settings.percent / 100 - settings.slack
+
+        def may(at):
+            if not known[at]:
+                return np.ones(len(packs), bool)
+            apart = packs ^ packs[at]
+            either = (apart | (apart >> np.uint64(1))) & np.uint64(LOW_BITS)
+            agreeing = 1 - np.bitwise_count(either).sum(axis=1) / (PACKED * 32)
+            return ((agreeing - 0.25) / 0.75 >= least) | ~known
+
+        return may
+
+    return close
+
+
+def list_sets(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """All entries of a column of lists, and how many each has."""
+    return column.flatten().to_numpy(), pc.list_value_length(column).to_numpy()
+
+
 def document_groups(docs: DataFrame, settings: Settings) -> tuple[DataFrame, DataFrame]:
     """The set of every row of ``docs`` (doc_id, text, other keys), and per node its component.
 
@@ -200,7 +231,9 @@ def document_groups(docs: DataFrame, settings: Settings) -> tuple[DataFrame, Dat
         union = F.size("shingles_a") + F.size("shingles_b") - shared
         return both.filter(100 * shared >= settings.percent * union).select("a", "b")
 
-    groups = linked(buckets, confirm, all_across(confirm, buckets))
+    items = full.select("node", F.col("shingles").alias("item"), F.size("shingles").alias("entries"), "signature")
+    across = indexed_across(items, list_sets, settings.percent, BLOCK_SHINGLES, closeness(settings))
+    groups = linked(buckets, confirm, across)
     named = nodes.join(groups, "node", "left")
     named = named.withColumn("component", F.coalesce("component", "node"))
     return sets, stored(named, "node-groups")

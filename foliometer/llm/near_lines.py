@@ -9,7 +9,6 @@ every component the first line (by doc_id, then position) stays.
 from __future__ import annotations
 
 from dataclasses import dataclass
-from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -24,6 +23,8 @@ from .common import STEP, map_batches, mixed, multipliers, only_ids, stored, wit
 
 # Characters whose signatures a task computes together; they fit the processor's cache.
 BLOCK_CHARS = 65_536
+# Lines of a bucket that a task compares together.
+BLOCK_LINES = 5000
 BLANK = " \t\n\r\x0b\x0c"
 
 
@@ -235,9 +236,10 @@ def removed_lines(docs: DataFrame, settings: Settings) -> DataFrame:
             pairs = pairs.join(texts.select(F.col("node").alias(side), F.col("line").alias(f"line_{side}")), side)
         return pairs.mapInArrow(similar(settings.percent, settings.shingle), "a long, b long")
 
-    across = indexed_across(
-        texts.withColumnRenamed("line", "item"), partial(distinct_shingles, size=settings.shingle), settings.percent
-    )
+    def sets(lines):
+        return distinct_shingles(lines.to_pylist(), settings.shingle)
+
+    across = indexed_across(texts.withColumnRenamed("line", "item"), sets, settings.percent, BLOCK_LINES)
     groups = linked(buckets, confirm, across)
     named = nodes.join(groups, "node", "left").withColumn("component", F.coalesce("component", "node"))
     named = stored(named, "line-groups")
