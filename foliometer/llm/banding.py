@@ -1,10 +1,10 @@
 """Candidate links from bands of minima, without emitting all pairs of a bucket.
 
 A bucket is a band key and the nodes that have it. Each task first links the nodes of a
-bucket that it sees together to the smallest of them and sends only that one on, so a
-bucket of any size reaches the shuffle with one row per batch of input. After the
-shuffle the rest is linked to the smallest node of all. Links keep their key, so the
-whole bucket can be told from them.
+bucket that it sees together to the smallest of them. Its entries (key, node, smallest node)
+are sorted by key and sent in runs, one row per batch and range of keys, so that the shuffle
+moves few rows. After it the smallest nodes of a bucket are linked to the least of all. Links
+keep their key, so the whole bucket can be told from them.
 """
 
 from __future__ import annotations
@@ -13,13 +13,16 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import MIX_1, STEP, mixed, stored
 from .graph import components
 
-BAND_ROWS = "key long, node long, rep long"
+BAND_ROWS = "part int, entries binary"
+# Keys are dealt into 2^12 ranges, of which a task holds one at a time.
+PART_BITS = 12
+# Entries of a range, 24 bytes each, that are held before they are reduced to one a bucket.
+MOST_ENTRIES = 2_000_000
 # Text whose shingles a task makes at once.
 PIECE_BYTES = 2_000_000
 
@@ -37,30 +40,68 @@ def band_keys(minima: np.ndarray, bands: int, rows: int) -> np.ndarray:
 
 
 def local_stars(keys: np.ndarray, nodes: np.ndarray) -> list[pa.Array]:
-    """Band rows of a batch: (key, node, smallest node with that key in the batch)."""
-    key = keys.ravel().view(np.int64)
-    node = np.tile(nodes.view(np.int64), len(keys))
-    order = np.lexsort((node, key))
+    """Band rows of a batch: per range of keys its entries (key, node, smallest node with that key)."""
+    key, node = keys.ravel(), np.tile(nodes.view(np.int64), len(keys))
+    order = np.argsort(key)
     key, node = key[order], node[order]
-    first = np.ones(len(key), bool)
-    first[1:] = key[1:] != key[:-1]
-    rep = node[first][np.cumsum(first) - 1]
-    keep = first | (node != rep)
-    return [pa.array(x[keep]) for x in (key, node, rep)]
+    starts, counts = runs(key)
+    rep = np.repeat(np.minimum.reduceat(node, starts), counts)
+    entries = np.stack([key.view(np.int64), node, rep], axis=1)
+    part = (key >> np.uint64(64 - PART_BITS)).astype(np.int32)
+    begin = runs(part)[0]
+    ends = np.append(begin, len(key)).astype(np.int32) * np.int32(24)
+    buffers = [None, pa.py_buffer(ends), pa.py_buffer(entries)]
+    return [pa.array(part[begin]), pa.Array.from_buffers(pa.binary(), len(begin), buffers)]
+
+
+def runs(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where runs of equal values begin, and how long they are."""
+    edges = np.flatnonzero(np.concatenate([[True], values[1:] != values[:-1], [True]]))
+    return edges[:-1], np.diff(edges)
 
 
 def bucket_links(rows: DataFrame) -> DataFrame:
-    """(key, a, b) from band rows: ``b`` linked to a smaller ``a`` of its bucket; stored."""
-    bucket = W.partitionBy("key")
-    rows = rows.withColumn("least", F.min("rep").over(bucket))
-    inner = F.when(F.col("node") != F.col("rep"), F.struct(F.col("rep").alias("a"), F.col("node").alias("b")))
-    outer = F.when(
-        (F.col("node") == F.col("rep")) & (F.col("rep") != F.col("least")),
-        F.struct(F.col("least").alias("a"), F.col("node").alias("b")),
-    )
-    link = F.coalesce(inner, outer)
-    found = rows.select("key", link.alias("link")).filter("link IS NOT NULL")
-    return stored(found.select("key", "link.a", "link.b"), "buckets")
+    """(key, a, b, many) from band rows: ``b`` linked to a smaller ``a`` of its bucket; stored.
+
+    ``many`` is false only where the bucket has no other link.
+    """
+    parts = rows.repartition("part").sortWithinPartitions("part")
+    return stored(parts.mapInArrow(stars, "key long, a long, b long, many boolean"), "buckets")
+
+
+def stars(batches):
+    """Links of the band rows of each range; rows of a range come one after another."""
+    current, held, carried = None, [], np.zeros((0, 3), np.int64)
+
+    def links(more):
+        """The links of what is held, and one entry per bucket in its place."""
+        entries = np.concatenate([carried, *held])
+        entries = entries[np.argsort(entries[:, 0])]
+        key, node, rep = entries.T
+        starts, counts = runs(key)
+        least = np.minimum.reduceat(rep, starts)
+        a = np.where(node != rep, rep, np.repeat(least, counts))
+        link = a != node
+        # Where entries were reduced before, other links of a bucket may have gone out already.
+        many = np.repeat((np.add.reduceat(link, starts, dtype=np.int64) > 1) | more, counts)
+        columns = [pa.array(x[link]) for x in (key, a, node, many)]
+        return pa.RecordBatch.from_arrays(columns, ["key", "a", "b", "many"]), np.stack([key[starts], least, least], axis=1)
+
+    for batch in batches:
+        part = batch.column(0).to_numpy()
+        for first, count in zip(*runs(part), strict=True) if len(part) else ():
+            if held and part[first] != current:
+                yield links(len(carried) > 0)[0]
+                held, carried = [], carried[:0]
+            current = part[first]
+            entries = b"".join(batch.column(1).slice(first, count).to_pylist())
+            held.append(np.frombuffer(entries, np.int64).reshape(-1, 3))
+            if sum(map(len, held)) > MOST_ENTRIES:
+                found, carried = links(True)
+                held = [carried[:0]]
+                yield found
+    if held:
+        yield links(len(carried) > 0)[0]
 
 
 def linked(buckets: DataFrame, confirm, across) -> DataFrame:
@@ -74,9 +115,9 @@ def linked(buckets: DataFrame, confirm, across) -> DataFrame:
     """
     first = stored(confirm(buckets.select("a", "b").distinct()), "links")
     groups = components(first)
-    members = buckets.select("key", F.col("a").alias("node")).union(
-        buckets.select("key", F.col("b").alias("node"))
-    )
+    # A bucket with one link has no other pair.
+    many = buckets.filter("many")
+    members = many.select("key", F.col("a").alias("node")).union(many.select("key", F.col("b").alias("node")))
     labelled = members.distinct().join(groups, "node", "left").select(
         "key", "node", F.coalesce("component", "node").alias("component")
     )
@@ -187,22 +228,17 @@ def across_links(nodes, groups, hashes, sizes, percent, close=None, unite=False)
     names, group, members = np.unique(groups, return_inverse=True, return_counts=True)
     if len(names) < 2:
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    owner = np.repeat(np.arange(len(nodes)), sizes)
-    order = np.argsort(hashes)
-    posted, sorted_hashes = owner[order], hashes[order]
-    # Where the entries with the same hash begin and end among the sorted ones.
-    edges = np.flatnonzero(np.concatenate([[True], sorted_hashes[1:] != sorted_hashes[:-1], [True]]))
-    same = np.diff(edges)
-    begin, end = np.empty_like(order), np.empty_like(order)
-    begin[order], end[order] = np.repeat(edges[:-1], same), np.repeat(edges[1:], same)
-    starts = np.cumsum(sizes) - sizes
+    index = None
     out_a, out_b = [], []
     for at in np.flatnonzero(group != np.argmax(members)):
         apart = group != group[at]
+        apart &= 100 * np.minimum(sizes, sizes[at]) >= percent * np.maximum(sizes, sizes[at])
         if close:
             apart &= close(at)
         if not apart.any():
             continue
+        if index is None:
+            index = posted, starts, begin, end = posting_lists(hashes, sizes)
         mine = slice(starts[at], starts[at] + sizes[at])
         length = end[mine] - begin[mine]
         before = np.cumsum(length) - length
@@ -216,3 +252,13 @@ def across_links(nodes, groups, hashes, sizes, percent, close=None, unite=False)
             if unite:
                 group[np.isin(group, linked_groups)] = group[at]
     return np.array(out_a, np.int64), np.array(out_b, np.int64)
+
+
+def posting_lists(hashes, sizes):
+    """The sets of all entries by their hash, where each set starts, and per entry the run of its hash."""
+    owner = np.repeat(np.arange(len(sizes)), sizes)
+    order = np.argsort(hashes)
+    edges, same = runs(hashes[order])
+    begin, end = np.empty_like(order), np.empty_like(order)
+    begin[order], end[order] = np.repeat(edges, same), np.repeat(edges + same, same)
+    return owner[order], np.cumsum(sizes) - sizes, begin, end

@@ -224,11 +224,13 @@ def removed_lines(docs: DataFrame, settings: Settings) -> DataFrame:
     place = F.struct(
         F.col("doc_id").isNull().alias("last"), "doc_id", "row", "line_no"
     )
+    members = buckets.select(F.col("a").alias("node")).union(buckets.select(F.col("b").alias("node"))).distinct()
+    members = members.withColumn("member", F.lit(True))
     nodes = every.groupBy("node").agg(F.min(place).alias("first"), F.count("*").alias("rows"))
-    nodes = stored(nodes, "line-nodes")
+    # Lines that are in no bucket and have no copy stay.
+    nodes = stored(nodes.join(members, "node", "left").filter("member OR rows > 1"), "line-nodes")
 
-    members = buckets.select(F.col("a").alias("node")).union(buckets.select(F.col("b").alias("node"))).distinct()
-    wanted = nodes.join(members, "node", "left_semi").select("node", "first.row", "first.line_no")
+    wanted = nodes.filter("member").select("node", "first.row", "first.line_no")
     texts = stored(line_texts(docs, stored(wanted, "wanted"), settings), "line-texts")
 
     def confirm(pairs):
