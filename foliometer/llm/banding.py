@@ -23,6 +23,8 @@ BAND_ROWS = "part int, entries binary"
 PART_BITS = 12
 # Entries of a range, 24 bytes each, that are held before they are reduced to one a bucket.
 MOST_ENTRIES = 2_000_000
+# Sets times entries of a bucket up to which a table of both is filled in.
+DENSE_CELLS = 1_000_000
 # Text whose shingles a task makes at once.
 PIECE_BYTES = 2_000_000
 
@@ -228,22 +230,30 @@ def across_links(nodes, groups, hashes, sizes, percent, close=None, unite=False)
     names, group, members = np.unique(groups, return_inverse=True, return_counts=True)
     if len(names) < 2:
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    index = None
+    probes = np.flatnonzero(group != np.argmax(members))
+    index, shares = None, {}
+    if len(nodes) * len(hashes) <= DENSE_CELLS:
+        counts = shared_counts(probes, hashes, sizes)
+        hits = 100 * counts >= percent * (sizes[probes, None] + sizes - counts)
+        some = np.flatnonzero((hits & (group[probes, None] != group)).any(axis=1))
+        probes, shares = probes[some], dict(zip(probes[some].tolist(), counts[some], strict=True))
     out_a, out_b = [], []
-    for at in np.flatnonzero(group != np.argmax(members)):
+    for at in probes.tolist():
         apart = group != group[at]
         apart &= 100 * np.minimum(sizes, sizes[at]) >= percent * np.maximum(sizes, sizes[at])
         if close:
             apart &= close(at)
         if not apart.any():
             continue
-        if index is None:
-            index = posted, starts, begin, end = posting_lists(hashes, sizes)
-        mine = slice(starts[at], starts[at] + sizes[at])
-        length = end[mine] - begin[mine]
-        before = np.cumsum(length) - length
-        found = posted[np.repeat(begin[mine] - before, length) + np.arange(length.sum())]
-        shared = np.bincount(found, minlength=len(nodes))
+        shared = shares.get(at)
+        if shared is None:
+            if index is None:
+                index = posted, starts, begin, end = posting_lists(hashes, sizes)
+            mine = slice(starts[at], starts[at] + sizes[at])
+            length = end[mine] - begin[mine]
+            before = np.cumsum(length) - length
+            found = posted[np.repeat(begin[mine] - before, length) + np.arange(length.sum())]
+            shared = np.bincount(found, minlength=len(nodes))
         hits = np.flatnonzero(apart & (100 * shared >= percent * (sizes[at] + sizes - shared)))
         if len(hits):
             linked_groups, once = np.unique(group[hits], return_index=True)
@@ -254,6 +264,16 @@ def across_links(nodes, groups, hashes, sizes, percent, close=None, unite=False)
     return np.array(out_a, np.int64), np.array(out_b, np.int64)
 
 
+def shared_counts(probes, hashes, sizes):
+    """How many entries the sets at ``probes`` share with each set, by a table of sets and entries."""
+    order = np.argsort(hashes)
+    counts = runs(hashes[order])[1]
+    entry = np.repeat(np.arange(len(counts)), counts)
+    table = np.zeros((len(sizes), entry[-1] + 1), np.float32)
+    table[np.repeat(np.arange(len(sizes)), sizes)[order], entry] = 1
+    return (table[probes] @ table.T).astype(np.int64)
+
+
 def posting_lists(hashes, sizes):
     """The sets of all entries by their hash, where each set starts, and per entry the run of its hash."""
     owner = np.repeat(np.arange(len(sizes)), sizes)

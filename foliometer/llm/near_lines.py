@@ -19,7 +19,7 @@ from pyspark.sql.types import StructType
 
 from ..operators.skew import attach
 from .banding import BAND_ROWS, band_keys, bucket_links, indexed_across, linked, local_stars, pieces
-from .common import STEP, map_batches, mixed, multipliers, only_ids, stored, without_clashes
+from .common import STEP, map_batches, mixed, multipliers, only_ids, raw_texts, stored, without_clashes
 
 # Characters whose signatures a task computes together; they fit the processor's cache.
 BLOCK_CHARS = 65_536
@@ -53,8 +53,8 @@ def plain(line: str) -> str:
     return line.encode().lower().decode().strip(BLANK)
 
 
-def line_node(line: str) -> int:
-    return xxhash.xxh3_64_intdigest(line.encode())
+def line_node(line: bytes) -> int:
+    return xxhash.xxh3_64_intdigest(line)
 
 
 def wide_hashes(lines: list[str], size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -97,13 +97,14 @@ def signatures(lines: list[str], factors: np.ndarray, size: int) -> np.ndarray:
     return minima
 
 
-def lines_of(text: str | None, settings: Settings):
-    """(position, compared line) of the lines that take part."""
+def lines_of(text: bytes, settings: Settings):
+    """(position, compared line) of the lines of a UTF-8 text that take part."""
     # As ``plain``, but lowered at once for the whole text.
-    lowered = (text or "").encode().lower().decode()
-    for number, line in enumerate(lowered.split("\n")):
-        line = line.strip(BLANK)
-        if len(line) >= settings.least_chars:
+    least = settings.least_chars
+    for number, line in enumerate(text.lower().split(b"\n")):
+        line = line.strip(BLANK.encode())
+        # A character has one to four bytes.
+        if len(line) >= 4 * least or (len(line) >= least and len(line.decode()) >= least):
             yield number, line
 
 
@@ -113,7 +114,7 @@ def occurrences(docs: DataFrame, settings: Settings) -> DataFrame:
     def start():
         def work(batch):
             rows, numbers, nodes = [], [], []
-            for row, text in enumerate(batch.column(2).to_pylist()):
+            for row, text in enumerate(raw_texts(batch.column(2))):
                 for number, line in lines_of(text, settings):
                     rows.append(row)
                     numbers.append(number)
@@ -136,10 +137,12 @@ def band_rows(docs: DataFrame, settings: Settings) -> DataFrame:
         factors = multipliers(settings.bands * settings.rows)
 
         def work(batch):
-            lines = {line for text in batch.column(0).to_pylist() for _, line in lines_of(text, settings)}
-            lines = sorted(line for line in lines if len(line) >= settings.shingle)
-            if lines:
-                nodes = np.array([line_node(line) for line in lines], np.uint64)
+            found = sorted({line for text in raw_texts(batch.column(0)) for _, line in lines_of(text, settings)})
+            lines = [line.decode() for line in found]
+            nodes = [line_node(line) for line, text in zip(found, lines, strict=True) if len(text) >= settings.shingle]
+            if nodes:
+                nodes = np.array(nodes, np.uint64)
+                lines = [line for line in lines if len(line) >= settings.shingle]
                 keys = band_keys(signatures(lines, factors, settings.shingle), settings.bands, settings.rows)
                 yield local_stars(keys, nodes)
 
@@ -155,13 +158,13 @@ def line_texts(docs: DataFrame, wanted: DataFrame, settings: Settings) -> DataFr
     def start():
         def work(batch):
             nodes, lines = [], []
-            for text, numbers in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for text, numbers in zip(raw_texts(batch.column(0)), batch.column(1).to_pylist(), strict=True):
                 numbers = set(numbers)
                 for number, line in lines_of(text, settings):
                     if number in numbers:
                         nodes.append(line_node(line))
                         lines.append(line)
-            yield [pa.array(nodes, pa.uint64()).view(pa.int64()), pa.array(lines, pa.string())]
+            yield [pa.array(nodes, pa.uint64()).view(pa.int64()), pa.array(lines, pa.binary()).cast(pa.string())]
 
         return work
 

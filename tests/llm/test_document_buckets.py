@@ -6,6 +6,7 @@ import random
 
 import numpy as np
 import pyarrow as pa
+import pytest
 from pyspark.sql import functions as F
 
 from foliometer.llm import banding, near_docs
@@ -21,7 +22,9 @@ def component_ids(sets, label):
     return [label.index(x) for x in label]
 
 
-def test_linked_groups_of_a_bucket_become_one():
+@pytest.mark.parametrize("cells", [0, 10**9])
+def test_linked_groups_of_a_bucket_become_one(monkeypatch, cells):
+    monkeypatch.setattr(banding, "DENSE_CELLS", cells)
     rng = random.Random(5)
     sets = [set(range(at, at + 60)) for at in range(0, 400, 4)] + [set(rng.sample(range(1000), 50)) for _ in range(20)]
     rng.shuffle(sets)
