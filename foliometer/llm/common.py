@@ -16,7 +16,7 @@ from ..session import configure, scratch
 # Rows per Arrow batch. Texts vary from a word to many pages, so batches are small.
 BATCH_ROWS = 1000
 # Words a Python worker remembers the hash of; the table is emptied when it is full.
-KNOWN_WORDS = 500_000
+KNOWN_WORDS = 100_000
 # Ids that may be broadcast to filter a table before its shuffle: 16 MB of them. With more,
 # the table is shuffled to meet them.
 BROADCAST_IDS = 2_000_000

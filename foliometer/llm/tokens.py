@@ -12,7 +12,7 @@ from tokenizers import Tokenizer
 WORD_BPE = "word_bpe_49k.json"
 # Words a Python worker remembers the ids of, about 200 bytes each; the table is emptied
 # when it is full.
-KNOWN = 1_000_000
+KNOWN = 400_000
 # Punctuation that always ends a run of letters. The apostrophe is not among it, because
 # it starts contractions, nor are the signs around special tokens.
 ENDS = ".,;:!?|#$%&*+-/=@^_~()[]{}"

@@ -7,8 +7,10 @@ from collections import Counter, defaultdict
 import numpy as np
 import pyarrow as pa
 import pytest
+import xxhash
 
 from foliometer.llm import banding
+from foliometer.llm.common import WordHashes
 
 
 @pytest.mark.parametrize("most", [10**6, 20])
@@ -34,3 +36,10 @@ def test_links_reach_all_of_a_bucket(monkeypatch, most):
         old, new = label[key][b], label[key][a]
         label[key] = {n: new if x == old else x for n, x in label[key].items()}
     assert all(len(set(groups.values())) == 1 for groups in label.values())
+
+
+def test_words_a_worker_remembers_stay_few():
+    known = WordHashes()
+    words = [b"w%d" % i for i in range(120_000)]
+    assert known.of(words).tolist() == [xxhash.xxh3_64_intdigest(word) for word in words]
+    assert len(known) <= 100_000
