@@ -10,6 +10,8 @@ from .. import constants as C
 from ..functions.text import compact
 from .skew import attach
 
+IMAGE_TRAITS = ("diagonal", "transparent", "centred", "big")
+
 
 def _diagonal_angle(degrees: Column) -> Column:
     turned = F.pmod(degrees, F.lit(90.0))
@@ -42,6 +44,25 @@ def _traits(spans: DataFrame) -> DataFrame:
     )
 
 
+def _packed(traits: tuple[str, ...]) -> Column:
+    """Boolean columns in one number, two bits each: true, known. An aggregate's buffer takes
+    eight bytes for every column, so four maxima of booleans fill a third of it."""
+    bits = F.lit(0)
+    for at, name in enumerate(traits):
+        true = F.when(F.col(name), 3 << 2 * at).when(~F.col(name), 2 << 2 * at).otherwise(0)
+        bits = bits.bitwiseOR(true)
+    return bits
+
+
+def _unpacked(bits: str, traits: tuple[str, ...]) -> list[Column]:
+    """What ``max`` of each trait gives, from ``bit_or`` of their packed form."""
+    found = []
+    for at, name in enumerate(traits):
+        true, known = (F.col(bits).bitwiseAND(bit << 2 * at) != 0 for bit in (1, 2))
+        found.append(F.when(known, true).alias(name))
+    return found
+
+
 def detect_marks(spans: DataFrame, lengths: DataFrame) -> DataFrame:
     """Text marks per document (``lengths(doc_id, n_pages)``).
 
@@ -102,17 +123,16 @@ def detect_image_marks(placements: DataFrame, lengths: DataFrame) -> DataFrame:
             & (F.col("ratio") <= C.IMAGE_MAX_RATIO),
         )
         .withColumn("big", F.col("ratio").between(C.IMAGE_BIG_RATIO, C.IMAGE_MAX_RATIO))
+        .withColumn("seen", _packed(IMAGE_TRAITS))
         .groupBy("doc_id", "digest", "page_no")
-        .agg(
-            F.count("*").alias("n"),
-            *[F.max(name).alias(name) for name in ("diagonal", "transparent", "centred", "big")],
-        )
+        .agg(F.count("*").alias("n"), F.bit_or("seen").alias("seen"))
         .groupBy("doc_id", "digest")
         .agg(
             F.count("*").alias("n_pages"),
             F.max("n").alias("most_per_page"),
-            *[F.max(name).alias(name) for name in ("diagonal", "transparent", "centred", "big")],
+            F.bit_or("seen").alias("seen"),
         )
+        .select("doc_id", "digest", "n_pages", "most_per_page", *_unpacked("seen", IMAGE_TRAITS))
     )
     totals = lengths.select("doc_id", F.col("n_pages").alias("total_pages"))
     placed = F.col("centred") | F.col("big") | (F.col("most_per_page") >= C.TILE_COUNT)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -23,14 +24,31 @@ RUNTIME_SETTINGS = {
 }
 
 
+# Megabytes that one task reads, from files or from a shuffle; a session's smaller values stay. A
+# megabyte of compressed rows takes some 15 MB in the hash table of an aggregate.
+TASK_MEGABYTES = {
+    "spark.sql.files.maxPartitionBytes": 32,
+    "spark.sql.adaptive.advisoryPartitionSizeInBytes": 16,
+}
+
+
 def configure(spark: SparkSession) -> SparkSession:
     """Apply the runtime settings to ``spark``, touching only those that differ."""
     for key, value in RUNTIME_SETTINGS.items():
         if spark.conf.get(key, None) != value:
             spark.conf.set(key, value)
+    for key, most in TASK_MEGABYTES.items():
+        if size_in_bytes(spark.conf.get(key)) > most << 20:
+            spark.conf.set(key, f"{most}m")
     return spark
 
 
+def size_in_bytes(text: str) -> int:
+    """A size as Spark's settings write it: ``64MB``, ``16m``, ``134217728b`` or plain bytes."""
+    number, unit = re.fullmatch(r"\s*(\d+)\s*([a-z]*)\s*", text.lower()).groups()
+    return int(number) << 10 * " kmgtp".index(unit.strip("ib") or " ")
+
+
 def local_session(cores: int | str = "*", shuffle_partitions: int = 8) -> SparkSession:
     """Session for tests and benchmarks on one machine."""
     spark = (
