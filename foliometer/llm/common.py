@@ -101,9 +101,12 @@ def word_hashes() -> WordHashes:
 
 def mixed(values: np.ndarray) -> np.ndarray:
     """Spread 64-bit values so that all their bits depend on all bits."""
-    values = (values ^ (values >> np.uint64(33))) * MIX_1
-    values = (values ^ (values >> np.uint64(33))) * MIX_2
-    return values ^ (values >> np.uint64(33))
+    shifted = values >> np.uint64(33)
+    values = values ^ shifted
+    for factor in (MIX_1, MIX_2):
+        values *= factor
+        values ^= np.right_shift(values, np.uint64(33), out=shifted)
+    return values
 
 
 def windows(hashes: np.ndarray, size: int) -> np.ndarray:

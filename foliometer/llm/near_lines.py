@@ -60,17 +60,28 @@ def line_node(line: bytes) -> int:
 def wide_hashes(lines: list[str], size: int) -> tuple[np.ndarray, np.ndarray]:
     """64-bit hashes of all shingles of lines of at least ``size``, and how many each has."""
     codes = np.frombuffer("".join(lines).encode("utf-32-le"), np.uint32).astype(np.uint64)
-    last = len(codes) - size + 1
-    run = codes[:last].copy()
-    for shift in range(1, size):
-        run *= STEP
-        run += codes[shift : last + shift]
+    run = polynomials(codes, size)
     lengths = np.array([len(line) for line in lines])
-    starts = np.cumsum(lengths) - lengths
-    counts = lengths - size + 1
-    before = np.cumsum(counts) - counts
-    inside = np.repeat(starts - before, counts) + np.arange(counts.sum())
-    return mixed(run[inside]), counts
+    # What begins in the last characters of a line goes past its end.
+    inside = np.ones(len(codes), bool)
+    inside[np.cumsum(lengths)[:, None] - np.arange(1, size)] = False
+    return mixed(run[inside[: len(run)]]), lengths - size + 1
+
+
+def polynomials(codes: np.ndarray, size: int) -> np.ndarray:
+    """The sum of ``codes[i + k] * STEP ** (size - 1 - k)`` over every window, by doubling its size."""
+    run, spare, width = codes.copy(), np.empty_like(codes), 1
+    for bit in f"{size:b}"[1:]:
+        last = len(codes) - 2 * width + 1
+        np.multiply(run[:last], np.uint64(pow(int(STEP), width, 2**64)), out=spare[:last])
+        spare[:last] += run[width : last + width]
+        run, spare, width = spare, run, 2 * width
+        if bit == "1":
+            last -= 1
+            run[:last] *= STEP
+            run[:last] += codes[width : last + width]
+            width += 1
+    return run[: len(codes) - size + 1]
 
 
 def char_hashes(lines: list[str], size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -113,15 +124,16 @@ def occurrences(docs: DataFrame, settings: Settings) -> DataFrame:
 
     def start():
         def work(batch):
-            rows, numbers, nodes = [], [], []
-            for row, text in enumerate(raw_texts(batch.column(2))):
+            counts, numbers, nodes = [], [], []
+            for text in raw_texts(batch.column(2)):
+                before = len(nodes)
                 for number, line in lines_of(text, settings):
-                    rows.append(row)
                     numbers.append(number)
                     nodes.append(line_node(line))
-            take = pa.array(rows, pa.int64())
-            signed = pa.array(nodes, pa.uint64()).view(pa.int64())
-            yield [batch.column(0).take(take), batch.column(1).take(take), pa.array(numbers, pa.int32()), signed]
+                counts.append(len(nodes) - before)
+            take = np.repeat(np.arange(len(counts)), counts)
+            signed = pa.array(np.array(nodes, np.uint64).view(np.int64))
+            yield [batch.column(0).take(take), batch.column(1).take(take), pa.array(np.array(numbers, np.int32)), signed]
 
         return work
 
@@ -153,7 +165,7 @@ def band_rows(docs: DataFrame, settings: Settings) -> DataFrame:
 
 def line_texts(docs: DataFrame, wanted: DataFrame, settings: Settings) -> DataFrame:
     """(node, line): one text per wanted node, from its first occurrence."""
-    places = wanted.groupBy("row").agg(F.collect_set("line_no").alias("numbers"))
+    places = wanted.groupBy("row").agg(F.collect_list("line_no").alias("numbers"))
 
     def start():
         def work(batch):
@@ -169,7 +181,8 @@ def line_texts(docs: DataFrame, wanted: DataFrame, settings: Settings) -> DataFr
         return work
 
     rows = only_ids(docs.select("row", "text"), stored(places.select("row"), "rows"), "row")
-    joined = rows.join(places, "row").select("text", "numbers")
+    # Hashing the numbers, texts need not be sorted.
+    joined = rows.join(places.hint("shuffle_hash"), "row").select("text", "numbers")
     return map_batches(joined, start, "node long, line string").dropDuplicates(["node"])
 
 
@@ -273,8 +286,8 @@ def dedup_lines(docs: DataFrame, settings: Settings = Settings(), keep: tuple[st
     """
     columns = ["doc_id", "text", *[c for c in keep if c not in ("doc_id", "text")]]
     docs = with_rows(without_clashes(docs, *columns))
-    gone = removed_lines(docs, settings).groupBy("row").agg(F.collect_set("line_no").alias("gone"))
-    joined = docs.join(gone, "row", "left").drop("row")
+    gone = removed_lines(docs, settings).groupBy("row").agg(F.collect_list("line_no").alias("gone"))
+    joined = docs.join(gone.hint("shuffle_hash"), "row", "left").drop("row")
     at = joined.columns.index("text")
     fields = [f for f in joined.schema if f.name != "gone"]
     schema = StructType(fields).add("n_lines", "long").add("n_removed", "long")
@@ -282,14 +295,17 @@ def dedup_lines(docs: DataFrame, settings: Settings = Settings(), keep: tuple[st
     def start():
         def work(batch):
             lines, removed, texts = [], [], []
-            for text, numbers in zip(batch.column(at).to_pylist(), batch.column("gone").to_pylist(), strict=True):
-                parts = [] if text is None else text.split("\n")
-                numbers = set(numbers or ())
-                lines.append(len(parts))
-                removed.append(len(numbers))
-                texts.append(None if text is None else "\n".join(x for i, x in enumerate(parts) if i not in numbers))
+            column = batch.column(at).cast(pa.binary()).to_pylist()
+            for text, numbers in zip(column, batch.column("gone").to_pylist(), strict=True):
+                count = 0 if text is None else text.count(b"\n") + 1
+                if numbers:
+                    gone = set(numbers)
+                    text = b"\n".join([line for i, line in enumerate(text.split(b"\n")) if i not in gone])
+                lines.append(count)
+                removed.append(len(numbers or ()))
+                texts.append(text)
             columns = [batch.column(i) for i in range(batch.num_columns) if batch.schema.names[i] != "gone"]
-            columns[at] = pa.array(texts, pa.string())
+            columns[at] = pa.array(texts, pa.binary()).cast(pa.string())
             yield [*columns, pa.array(lines, pa.int64()), pa.array(removed, pa.int64())]
 
         return work
