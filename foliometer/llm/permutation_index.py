@@ -1,16 +1,16 @@
 """Approximate nearest neighbours by a permutation index.
 
 Pivots are a bounded sample of the vectors. A vector is represented by its nearest pivots
-in order. The index posts it under each of them, with the place the pivot has; a query
-collects the postings of its own nearest pivots, ranks what it finds by footrule distance
-(how far the pivots' places are apart; a missing pivot stands behind the last place), and
-compares the best ranked by exact inner product. How many are compared is measured: every
-shard looks up the true neighbours of some of its own vectors and sees how far down the
-ranking they stand.
+in order. The index holds the place each pivot has; queries rank the vectors by Spearman's
+rho (the squares of how far the pivots' places are apart; a missing pivot stands behind the
+last place), a block of queries at once by one matrix product, and compare the best ranked
+by exact inner product. How many are compared is measured: every shard looks up the true
+neighbours of some of its own vectors and sees how far down the ranking they stand.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -21,17 +21,20 @@ from pyspark.sql import functions as F
 
 from .common import mixed, stored, without_clashes
 
+# Queries that are ranked by one matrix product: 32 MB of products with a whole shard.
+AT_ONCE = 256
+
 
 @dataclass(frozen=True)
 class Settings:
     """Parameters of index and search.
 
     ``pivots`` bounds the sample: that many vectors, whatever the size of the table. ``near``
-    is how many of them represent a vector. The best of each shard's vectors by footrule
-    distance are compared exactly: so many that they hold the share ``recall`` of the true
-    neighbours of ``probes`` of the shard's vectors, not fewer than the share ``rerank`` of
-    the shard, and not fewer than ``least``. Measured recall is in the README. Shards hold
-    about ``shard_rows`` vectors and query blocks ``block_rows`` queries.
+    is how many of them represent a vector. The best of each shard's vectors by rho are
+    compared exactly: so many that they hold the share ``recall`` of the true neighbours of
+    ``probes`` of the shard's vectors, not fewer than the share ``rerank`` of the shard, and
+    not fewer than ``least``. Measured recall is in the README. Shards hold about
+    ``shard_rows`` vectors and query blocks ``block_rows`` queries.
     """
 
     pivots: int = 256
@@ -95,45 +98,68 @@ def nearest_pivots(vectors: np.ndarray, pivots: np.ndarray, near: int) -> np.nda
     return np.take_along_axis(chosen, order, axis=1)
 
 
+def weights(places: np.ndarray, n_pivots: int) -> np.ndarray:
+    """How far before the end of each permutation every pivot stands, 0 if it is missing.
+
+    All rows have the same squares, so Spearman's rho falls as the product of two rows
+    rises. Products are whole numbers, exact in any order of summation.
+    """
+    near = places.shape[1]
+    most = near * (near + 1) * (2 * near + 1) // 6
+    out = np.zeros((len(places), n_pivots), np.float32 if most < 2**24 else np.float64)
+    np.put_along_axis(out, places, np.arange(near, 0, -1, dtype=out.dtype)[None], axis=1)
+    return out
+
+
 class Shard:
-    """The pivot inverted files of one shard of vectors."""
+    """The permutations of one shard of vectors."""
 
     def __init__(self, vectors: np.ndarray, places: np.ndarray, n_pivots: int):
         self.vectors = vectors
-        order = np.argsort(places.ravel(), kind="stable")
-        near = places.shape[1]
-        self.near = near
-        self.posted = order // near  # vector numbers, by pivot
-        self.place = (order % near).astype(np.int16)
-        self.starts = np.searchsorted(places.ravel()[order], np.arange(n_pivots + 1))
-
-    def footrule(self, pivots: np.ndarray) -> np.ndarray:
-        """Distance of every vector to a query, less what two strangers are apart."""
-        distance = np.zeros(len(self.vectors), np.int32)
-        for place, pivot in enumerate(pivots):
-            part = slice(self.starts[pivot], self.starts[pivot + 1])
-            there = self.place[part]
-            # Found: |place - there|. Missing on either side costs near - place and near - there.
-            distance[self.posted[part]] += np.abs(place - there) - (self.near - place) - (self.near - there)
-        return distance
-
-    def best(self, pivots: np.ndarray, count: int) -> np.ndarray:
-        """The ``count`` vectors ranked first, and all that tie with the last of them."""
-        distance = self.footrule(pivots)
-        if count >= len(distance):
-            return np.arange(len(distance))
-        return np.flatnonzero(distance <= np.partition(distance, count - 1)[count - 1])
+        self.weights = weights(places, n_pivots)
+        with np.errstate(over="ignore"):
+            self.longest = float(np.linalg.norm(vectors, axis=1).max())
+
+    def likeness(self, places: np.ndarray) -> np.ndarray:
+        """(queries x vectors): the larger, the smaller rho is."""
+        return weights(places, self.weights.shape[1]) @ self.weights.T
+
+    def best(self, places: np.ndarray, count: int) -> Iterator[np.ndarray]:
+        """For each query the ``count`` vectors ranked first, and all that tie with the last of them."""
+        size = len(self.vectors)
+        for at in range(0, len(places), AT_ONCE):
+            part = places[at : at + AT_ONCE]
+            if count >= size:
+                yield from [np.arange(size)] * len(part)
+                continue
+            likeness = self.likeness(part)
+            for row in likeness:
+                yield np.flatnonzero(row >= np.partition(row, size - count)[size - count])
+
+    def nearest(self, chosen: np.ndarray, vector: np.ndarray, count: int) -> tuple[np.ndarray, np.ndarray]:
+        """The ``count`` + 1 nearest of the chosen and what ties with the last, nearest first; their scores."""
+        if len(chosen) > count + 1:
+            # Products of another order of summation differ by less than this.
+            with np.errstate(over="ignore"):
+                slack = 4 * np.finfo(float).eps * len(vector) * np.linalg.norm(vector) * self.longest
+            if np.isfinite(slack):
+                rough = self.vectors[chosen] @ vector
+                least = np.partition(rough, -count - 1)[-count - 1]
+                chosen = chosen[rough >= least - slack - np.finfo(float).tiny]
+        scores = inner(self.vectors[chosen], vector)
+        order = np.argsort(-scores, kind="stable")
+        order = order[scores[order] >= scores[order[min(count, len(order) - 1)]]]
+        return chosen[order], scores[order]
 
     def enough(self, places: np.ndarray, probes: np.ndarray, settings: Settings) -> int:
         """How many of the first ranked hold ``settings.recall`` of the probes' true neighbours."""
         few = min(settings.neighbours, len(self.vectors) - 1)
         ranks = []
-        for probe in probes:
+        for probe, likeness in zip(probes, self.likeness(places[probes]), strict=True):
             scores = self.vectors @ self.vectors[probe]
             scores[probe] = -np.inf
-            distance = self.footrule(places[probe])
             true = np.argpartition(-scores, few - 1)[:few]
-            ranks.append(np.searchsorted(np.sort(distance), distance[true], "right"))
+            ranks.append(np.searchsorted(np.sort(-likeness), -likeness[true], "right"))
         return int(np.quantile(np.concatenate(ranks), settings.recall, method="higher"))
 
 
@@ -182,12 +208,10 @@ def search(rows: DataFrame, settings: Settings = Settings()) -> DataFrame:  # no
                 probes = np.argsort(lots, kind="stable")[: settings.probes]
                 count = max(count, shard.enough(places, probes, settings))
             out: list[list] = [[], [], []]
-            for name, vector, near in zip(names, wanted, nearest_pivots(wanted, pivots, settings.near), strict=True):
-                chosen = shard.best(near, count)
-                scores = inner(base[chosen], vector)
-                order = np.argsort(-scores, kind="stable")
-                last = scores[order[min(settings.neighbours, len(order) - 1)]]
-                pairs = [(-scores[i], vec_id) for i in order if scores[i] >= last for vec_id in ids[chosen[i]] if vec_id != name]
+            ranked = shard.best(nearest_pivots(wanted, pivots, settings.near), count)
+            for name, vector, chosen in zip(names, wanted, ranked, strict=True):
+                near, scores = shard.nearest(chosen, vector, settings.neighbours)
+                pairs = [(-score, vec_id) for i, score in zip(near, scores, strict=True) for vec_id in ids[i] if vec_id != name]
                 for score, vec_id in sorted(pairs)[: settings.neighbours]:
                     for column, value in zip(out, (name, vec_id, -score), strict=True):
                         column.append(value)
