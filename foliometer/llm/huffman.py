@@ -198,7 +198,7 @@ def tokenized(
         width = np.dtype(kind).itemsize
 
         def work(batch):
-            ids, lengths = known.of(batch.column(1).to_pylist(), end)
+            ids, lengths = known.of(batch.column(1), end)
             offsets = np.zeros(len(lengths) + 1, np.int64)
             np.cumsum(width * lengths, out=offsets[1:])
             data = pa.py_buffer(ids.astype(kind).tobytes())

@@ -39,7 +39,7 @@ def token_pieces(
         known = word_ids(path)
 
         def work(batch):
-            ids, lengths = known.of(batch.column(1).to_pylist(), end)
+            ids, lengths = known.of(batch.column(1), end)
             at, rows, out = 0, [], [[] for _ in range(5)]
             for row, length in enumerate(lengths.tolist()):
                 for piece, first in enumerate(range(0, length, capacity)):

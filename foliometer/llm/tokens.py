@@ -7,6 +7,8 @@ from functools import lru_cache
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
+import pyarrow.compute as pc
 from tokenizers import Tokenizer
 
 WORD_BPE = "word_bpe_49k.json"
@@ -32,9 +34,9 @@ class WordIds(dict):
     """Ids of texts from the ids of their words.
 
     This vocabulary splits at white space before anything else, so the ids of a text are
-    those of its words one after another. A word of plain letters, with or without
-    punctuation behind it, goes to the BPE model itself; every other word goes through the
-    whole tokenizer. Both are remembered. Equality with encoding the whole text at once is
+    those of its words one after another. A word of plain letters goes to the BPE model
+    itself, without the punctuation behind it; every other word goes through the whole
+    tokenizer. Both are remembered, each word as it stands in the text. Equality with encoding the whole text at once is
     tested.
     """
 
@@ -48,47 +50,67 @@ class WordIds(dict):
     def _reset(self):
         self.clear()
         self.starts, self.counts, self.pool = array("q"), array("q"), array("I")
-        self._add("", [])
-
-    def _add(self, word: str, ids) -> int:
-        known = self[word] = len(self.starts)
-        self.starts.append(len(self.pool))
-        self.counts.append(len(ids))
-        self.pool.extend(ids)
-        return known
-
-    def _of_word(self, word: str):
-        known = self.get(word)
-        if known is None:
-            known = self._add(word, self._ids(word))
-        start = self.starts[known]
-        return self.pool[start : start + self.counts[known]]
-
-    def _ids(self, word: str):
-        core = word.rstrip(ENDS)
-        if core.isalpha():
-            if core != word:
-                return self._of_word(core) + self._of_word(word[len(core) :])
-            if word.isascii() or (max(word) < SIMPLE and DOTTED_I not in word):
-                written = word.lower()
-                if not word.isascii():
-                    written = written.encode().decode("latin-1").translate(self.letters)
-                return [token.id for token in self.model.tokenize(written)]
-        return self.tokenizer.encode(word, add_special_tokens=False).ids
+        self.new: list[str] = []
 
     def __missing__(self, word: str) -> int:
-        return self._add(word, self._ids(word))
+        """The word's number; its ids follow with those of all new words of a batch."""
+        known = self[word] = len(self)
+        self.new.append(word)
+        return known
 
-    def of(self, texts: list[str], end: int | None = None) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of all texts in a row, and how many each has; ``end`` is put behind each."""
-        if len(self.starts) > KNOWN:
+    def _settle(self):
+        """Ids of the new words, in the order of their numbers."""
+        tokenize, get, settled = self.model.tokenize, self.get, len(self.starts)
+        starts, counts, pool, tails = self.starts, self.counts, self.pool, {}
+        found: list[int] = []
+        ends = array("q")
+        for word in self.new:
+            core = word.rstrip(ENDS)
+            # Others can have marks behind them after normalization, which join punctuation.
+            if core.isalpha() and (core.isascii() or (max(core) < SIMPLE and DOTTED_I not in core)):
+                known = get(core, settled)
+                if known < settled:
+                    found += pool[starts[known] : starts[known] + counts[known]]
+                else:
+                    written = core.lower()
+                    if not core.isascii():
+                        written = written.encode().decode("latin-1").translate(self.letters)
+                    found += [token.id for token in tokenize(written)]
+                if core != word:
+                    tail = word[len(core) :]
+                    if tail not in tails:
+                        tails[tail] = self._whole(tail)
+                    found += tails[tail]
+            else:
+                found += self._whole(word)
+            ends.append(len(found))
+        before = len(pool)
+        at = np.frombuffer(ends, np.int64)
+        sizes = np.diff(at, prepend=0)
+        starts.frombytes((before + at - sizes).tobytes())
+        counts.frombytes(sizes.tobytes())
+        pool.extend(found)
+        self.new = []
+
+    def _whole(self, text: str) -> list[int]:
+        return self.tokenizer.encode(text, add_special_tokens=False).ids
+
+    def of(self, texts: pa.Array | list, end: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts in a row, and how many each has; ``end`` is put behind each.
+
+        Each word of the batch is looked up once.
+        """
+        if len(self) > KNOWN:
             self._reset()
-        found, words = [], np.zeros(len(texts), np.int64)
-        for at, text in enumerate(texts):
-            parts = (text or "").replace("\n", " ").split(" ")
-            found.append(np.fromiter(map(self.__getitem__, parts), np.int64, len(parts)))
-            words[at] = len(parts)
-        which = np.concatenate(found) if found else np.zeros(0, np.int64)
+        column = pa.array(texts, pa.string()) if isinstance(texts, list) else texts
+        parts = pc.split_pattern(pc.replace_substring(column.fill_null(""), "\n", " "), " ")
+        words = pc.list_value_length(parts).to_numpy()
+        every = parts.flatten().dictionary_encode()
+        names = every.dictionary.to_numpy(zero_copy_only=False).tolist()
+        numbers = np.fromiter(map(self.__getitem__, names), np.int64, len(names))
+        if self.new:
+            self._settle()
+        which = numbers[every.indices.to_numpy()]
         starts, pool = np.frombuffer(self.starts, np.int64), np.frombuffer(self.pool, np.uint32)
         counts = np.frombuffer(self.counts, np.int64)[which]
         before = np.concatenate([[0], np.cumsum(counts)])
